@@ -6,7 +6,11 @@ import os
 import tempfile
 import uuid
 
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: A side of a join is broadcast only when a count showed at most so many narrow rows (16 bytes each: 32 MB).
@@ -64,15 +68,18 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def link_buckets(members: DataFrame, verify, small: int = 64, pivot_rounds: int = 4) -> DataFrame:
+def link_buckets(members: DataFrame, info: DataFrame, verify, compare, block: int = 2048, pivot_rounds: int = 3) -> DataFrame:
     """Components of the graph whose links are the true pairs among rows that share a bucket.
 
     ``members`` has (key, id, pivot, n): buckets of at least two ids, each with its smallest id and its size.
-    ``verify`` takes pairs (a, b), a < b, and returns those that are true links. All pairs of a bucket are never
-    listed while one component holds it: first every member is held against the pivot; then only buckets whose
-    other members are still in several components go on. Small ones (at most ``small`` members) list their pairs
-    across components; larger ones take another pivot a round; after ``pivot_rounds`` what is left, if anything,
-    lists its pairs across components too, so that no link is lost. Returns (id, label) for linked ids.
+    ``info(ids)`` gives (id, size, sketch) of the rows of ``ids`` at least. ``verify`` takes pairs (a, b), a < b, and returns those that are true links.
+    ``compare(size, sketch)`` takes the sizes (array) and sketches (list of bytes) of some rows in order of size, and
+    yields for each row i the later rows j that may be linked with it, as (i, array of j).
+
+    Pairs of a bucket are not listed while one component holds it: first every member is held against the pivot;
+    then only buckets whose other members still are in several components go on. Those over ``block`` members take
+    more pivots first. What is left is compared across components in cells of two blocks of bounded size each, and only
+    pairs that pass ``compare`` are listed and verified, so that no link is lost. Returns (id, label) for linked ids.
     """
     links = stage(verify(members.filter("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()))
     labels = components(links)
@@ -81,18 +88,53 @@ def link_buckets(members: DataFrame, verify, small: int = 64, pivot_rounds: int
         named = rest.join(labels, "id", "left").select("key", "id", F.coalesce("label", "id").alias("label"))
         state = named.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min("id").alias("pivot"), F.min_by("label", "id").alias("pivot_label"), F.count("*").alias("n")).filter("lo <> hi")
         rest = stage(named.join(state.drop("lo", "hi"), "key"))
-        if rest.isEmpty():
+        if turn == pivot_rounds or rest.filter(F.col("n") > block).isEmpty():
             break
-        cut = small if turn < pivot_rounds else (1 << 62)
-        x, y = rest.filter(F.col("n") <= cut), rest.filter(F.col("n") <= cut).select("key", F.col("id").alias("b"), F.col("label").alias("other"))
-        within = x.join(y, "key").filter("id < b and label <> other").select(F.col("id").alias("a"), "b")
-        across = rest.filter(F.col("n") > cut).filter("label <> pivot_label").select(F.col("pivot").alias("a"), F.col("id").alias("b"))
-        found = stage(verify(within.unionByName(across).distinct()))
-        if not found.isEmpty():
-            links = links.unionByName(found)
-            labels = components(links)
-        rest = rest.filter(F.col("n") > cut).filter("id <> pivot").select("key", "id")
-    return labels
+        hot = rest.filter(F.col("n") > block)
+        pairs = hot.filter("label <> pivot_label").select(F.col("pivot").alias("a"), F.col("id").alias("b"))
+        links = links.unionByName(stage(verify(pairs.distinct())))
+        labels = components(links)
+        rest = rest.filter((F.col("n") <= block) | (F.col("id") != F.col("pivot"))).select("key", "id")
+    if rest.isEmpty():
+        return labels
+    found = stage(verify(_compared(rest, info, compare, block).distinct()))
+    return labels if found.isEmpty() else components(links.unionByName(found))
+
+
+def _compared(rest: DataFrame, info: DataFrame, compare, block: int) -> DataFrame:
+    """Pairs (a, b) across components that pass ``compare``, from rows (key, id, label, n)."""
+
+    def cells(batches):
+        held, rows = None, []
+
+        def pairs():
+            rows.sort()
+            size = np.array([r[0] for r in rows])
+            label, part = np.array([r[2] for r in rows]), np.array([r[3] for r in rows])
+            a, b = [], []
+            if (label != label[0]).any():
+                for i, js in compare(size, [r[4] for r in rows]):
+                    js = js[(label[js] != label[i]) & ((part[js] != part[i]) | (held[1] == held[2]))]
+                    a += [rows[i][1]] * len(js)
+                    b += [rows[j][1] for j in js]
+            low, high = [min(x) for x in zip(a, b, strict=True)], [max(x) for x in zip(a, b, strict=True)]
+            return pa.RecordBatch.from_arrays([pa.array(low, pa.int64()), pa.array(high, pa.int64())], names=["a", "b"])
+
+        for batch in batches:
+            for key, lo, hi, *row in zip(*(batch.column(i).to_pylist() for i in range(8)), strict=True):
+                if held != (key, lo, hi):
+                    if len(rows) > 1:
+                        yield pairs()
+                    held, rows = (key, lo, hi), []
+                rows.append(tuple(row))
+        if len(rows) > 1:
+            yield pairs()
+
+    blocks = F.ceil(F.col("n") / block).cast("int")
+    part = F.pmod(F.xxhash64("id"), blocks).cast("int")
+    dealt = rest.join(info(rest.select("id").distinct()), "id").withColumn("part", part).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    cell = dealt.select("key", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"), "size", "id", "label", "part", "sketch")
+    return cell.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi").mapInArrow(cells, "a long, b long")
 
 
 def multi_buckets(keys: DataFrame) -> DataFrame:
@@ -103,3 +145,35 @@ def multi_buckets(keys: DataFrame) -> DataFrame:
     """
     stats = keys.groupBy("key").agg(F.min("id").alias("pivot"), F.max("id").alias("last"), F.count("*").alias("n")).filter("pivot <> last").drop("last")
     return keys.join(stats, "key")
+
+
+def numbered(df: DataFrame, by: list[str], order: list[str], name: str) -> DataFrame:
+    """``df`` with a gapless number from 0 in each group of ``by``, in the order of ``order``.
+
+    Rows are dealt by range over groups and order together, so a group of any size spreads over many tasks; the
+    starts of a group's parts come from sums of counts. ``by`` has one integer column, without nulls.
+    """
+    (key,) = by
+    spark = df.sparkSession
+    width = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
+
+    def local(batches):
+        part, last, n = TaskContext.get().partitionId(), None, 0
+        for batch in batches:
+            values = batch.column(batch.schema.get_field_index(key)).to_numpy(zero_copy_only=False)
+            if not len(values):
+                continue
+            starts = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]]))
+            index = np.arange(len(values)) - np.repeat(starts, np.diff(np.append(starts, len(values))))
+            if values[0] == last:
+                index[: starts[1] if len(starts) > 1 else len(values)] += n
+            last, n = values[-1], int(index[-1]) + 1
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(len(values), part)), pa.array(index)], names=[*batch.schema.names, "_part", "_index"])
+
+    dealt = df.repartitionByRange(width, *by, *order).sortWithinPartitions(*by, *order)
+    kept = stage(dealt.mapInArrow(local, f"{schema}, _part long, _index long"))
+    counts = kept.groupBy(key, "_part").agg(F.max("_index").alias("_most"))
+    before = W.partitionBy(key).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    starts = counts.select(key, "_part", F.coalesce(F.sum(F.col("_most") + 1).over(before), F.lit(0)).alias("_start"))
+    return kept.join(small_side(stage(starts)), [key, "_part"]).withColumn(name, F.col("_start") + F.col("_index")).drop("_part", "_index", "_start")

@@ -177,6 +177,21 @@ def verified(docs: DataFrame, info: DataFrame, width: int, percent: int):
     return verify
 
 
+def near(percent: int):
+    """For link_buckets: the rows whose sketches, folded to one width, are near enough to be linked."""
+
+    def compare(size, sketches):
+        width = min(map(len, sketches))
+        bits = np.stack([np.bitwise_xor.reduce(np.frombuffer(s, np.uint8).reshape(-1, width), axis=0) for s in sketches])
+        bits = bits.view(np.uint64)
+        for i in range(len(size) - 1):
+            end = int(np.searchsorted(size, size[i] * 100 // percent, "right"))
+            apart = np.bitwise_count(bits[i + 1 : end] ^ bits[i]).sum(axis=1)
+            yield i, i + 1 + np.flatnonzero(apart <= most_apart(size[i + 1 : end], size[i], percent))
+
+    return compare
+
+
 def jaccard_classes(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (the smallest doc_id reachable by links).
 
@@ -191,7 +206,8 @@ def jaccard_classes(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     firsts = stage(sets.filter("n > 0").groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("id")))
     info = made.join(firsts.select(F.col("id").alias("doc_id")), "doc_id", "left_semi")
     keys = info.select(F.explode("keys").alias("key"), F.col("doc_id").alias("id"))
-    labels = link_buckets(stage(multi_buckets(keys)), verified(docs, made.select("doc_id", "n", "sketch"), width, percent))
+    sketches = made.select(F.col("doc_id").alias("id"), F.col("n").alias("size"), "sketch")
+    labels = link_buckets(stage(multi_buckets(keys)), lambda ids: sketches, verified(docs, made.select("doc_id", "n", "sketch"), width, percent), near(percent))
     named = firsts.join(labels, "id", "left").select("n", "h1", "h2", F.coalesce("label", "id").alias("component_id"))
     return sets.join(named, ["n", "h1", "h2"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
