@@ -81,11 +81,41 @@ def within(a: str, b: str, t: int) -> bool:
     return bool(states[t] >> r & 1)
 
 
-def lines_of(docs: DataFrame, min_chars: int, min_words: int) -> DataFrame:
-    """(doc_id, line_no, id, line) of the lines that may be duplicates; lines are trimmed, and parted by line feeds."""
-    each = docs.select(F.col("doc_id").cast("long"), F.posexplode(F.split("text", "\n", -1)).alias("line_no", "raw")).withColumn("line", F.trim(F.regexp_replace("raw", "\r$", "")))
-    some = (F.char_length("line") >= min_chars) & (F.size(F.split("line", " +")) >= min_words)
-    return each.filter(some).select("doc_id", "line_no", F.xxhash64("line").alias("id"), "line")
+def lines_of(docs: DataFrame, edits: int, fuzzy_chars: int, min_chars: int, min_words: int) -> DataFrame:
+    """(doc_id, line_no, id, keys) of the lines that may be duplicates; keys are null for short lines, and for lines
+    that the same task met a little before."""
+
+    def run(batches):
+        probes = Probes(edits)
+        seen: set[int] = set()
+        for batch in batches:
+            for start in range(0, batch.num_rows, 128):
+                part = batch.slice(start, 128)
+                out: tuple[list, ...] = ([], [], [], [])
+                for doc_id, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                    for line_no, raw in enumerate((text or "").split("\n")):
+                        line = trimmed(raw)
+                        if len(line) < min_chars or len(line.split()) < min_words:
+                            continue
+                        name = xxhash.xxh3_64_intdigest(line.encode("utf-8", "surrogatepass"))
+                        keys = None
+                        if len(line) >= fuzzy_chars and name not in seen:
+                            if len(seen) > 500_000:
+                                seen.clear()
+                            seen.add(name)
+                            wide = line.encode("utf-32-le", "surrogatepass")
+                            keys = np.array([xxhash.xxh3_64_intdigest(wide[4 * a : 4 * b], n * 8 + k) for n, k, a, b in probes[len(line)]], np.uint64).view(np.int64)
+                        for column, value in zip(out, (doc_id, line_no, name, keys), strict=True):
+                            column.append(value)
+                kinds = (pa.int64(), pa.int32(), None, pa.list_(pa.int64()))
+                names = np.array(out[2], np.uint64).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(names) if k is None else pa.array(x, k) for x, k in zip(out, kinds, strict=True)], names=["doc_id", "line_no", "id", "keys"])
+
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, line_no int, id long, keys array<long>")
+
+
+def trimmed(raw: str) -> str:
+    return raw.strip(" \t\r")
 
 
 def line_classes(docs: DataFrame, edits: int = 2, fuzzy_chars: int = 48, min_chars: int = 16, min_words: int = 4) -> DataFrame:
@@ -98,28 +128,17 @@ def line_classes(docs: DataFrame, edits: int = 2, fuzzy_chars: int = 48, min_cha
     left out; repeated rows count as lines of their own, of which one is kept in any order. An empty table gives an
     empty result.
     """
-    lines = lines_of(docs.filter("doc_id is not null").select("doc_id", "text"), min_chars, min_words)
-
-    def keys(batches):
-        probes = Probes(edits)
-        seen: set[int] = set()
-        for batch in batches:
-            ids, found = [], []
-            for i, line in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if i in seen:
-                    continue
-                if len(seen) > 500_000:
-                    seen.clear()
-                seen.add(i)
-                raw = line.encode("utf-32-le", "surrogatepass")
-                ids.append(i)
-                found.append([xxhash.xxh3_64_intdigest(raw[4 * a : 4 * b], n * 8 + k) for n, k, a, b in probes[len(line)]])
-            offsets = np.concatenate([[0], np.cumsum([len(f) for f in found])]).astype(np.int32)
-            flat = np.array([k for f in found for k in f], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat, pa.int64()))], names=["id", "keys"])
+    docs = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long"), "text")
+    made = stage(lines_of(docs, edits, fuzzy_chars, min_chars, min_words))
+    lines = made.select("doc_id", "line_no", "id")
 
     def texts(ids: DataFrame) -> DataFrame:
-        return lines.select("id", "line").join(small_side(stage(ids)), "id", "left_semi").groupBy("id").agg(F.max("line").alias("line"))
+        """(id, line), each line read from the first document that has it."""
+        where = lines.join(small_side(stage(ids)), "id", "left_semi").groupBy("id").agg(F.min(F.struct("doc_id", "line_no")).alias("at"))
+        places = stage(where.select("id", "at.doc_id", "at.line_no"))
+        found = docs.join(small_side(places), "doc_id")
+        line = F.element_at(F.split("text", "\n", -1), F.col("line_no") + 1)
+        return found.select("id", F.trim(line, F.lit(" \t\r")).alias("line")).dropDuplicates(["id"])
 
     def near(batches):
         for batch in batches:
@@ -141,10 +160,9 @@ def line_classes(docs: DataFrame, edits: int = 2, fuzzy_chars: int = 48, min_cha
     def info(ids: DataFrame) -> DataFrame:
         return texts(ids).select("id", F.char_length("line").cast("long").alias("size"), F.col("line").cast("binary").alias("sketch"))
 
-    made = stage(lines.filter(F.char_length("line") >= fuzzy_chars).select("id", "line").mapInArrow(keys, "id long, keys array<long>"))
     members = stage(multi_buckets(made.select(F.explode("keys").alias("key"), "id")).distinct())
     labels = link_buckets(members, info, verify, compare)
-    rows = stage(lines.select("doc_id", "line_no", "id").join(small_side(labels), "id", "left").select("doc_id", "line_no", F.coalesce("label", "id").alias("class_id")))
+    rows = stage(lines.join(small_side(labels), "id", "left").select("doc_id", "line_no", F.coalesce("label", "id").alias("class_id")))
     first = rows.groupBy("class_id").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.count("*").alias("class_lines"))
     kept = (F.col("class_lines") == 1) | (F.struct("doc_id", "line_no") == F.col("first"))
     return rows.join(first, "class_id").select("doc_id", "line_no", "class_id", "class_lines", kept.alias("kept"))
