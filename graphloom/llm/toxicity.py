@@ -39,7 +39,7 @@ class OrdinalModel:
         return 1 / (1 + np.exp(-np.clip(score[:, None] - np.array(self.thresholds)[None, :], -60, 60)))
 
 
-def fit_ordinal(x: np.ndarray, grade: np.ndarray, levels: int, penalty: float = 0.0001, steps: int = 800, rate: float = 0.05) -> tuple[np.ndarray, np.ndarray]:
+def fit_ordinal(x: np.ndarray, grade: np.ndarray, levels: int, penalty: float = 0.0001, steps: int = 400, rate: float = 0.05) -> tuple[np.ndarray, np.ndarray]:
     """Weights and thresholds of the cumulative-link model, by full-batch Adam on the mean likelihood of the thresholds' binary splits."""
     w, cuts = np.zeros(x.shape[1]), np.linspace(1.0, 2.0, levels - 1)
     target = (grade[:, None] > np.arange(levels - 1)[None, :]).astype(float)
@@ -53,7 +53,7 @@ def fit_ordinal(x: np.ndarray, grade: np.ndarray, levels: int, penalty: float =
     return w, cuts
 
 
-def train(docs: DataFrame, labels: DataFrame, max_rows: int = 8000, max_features: int = 1024, min_count: int = 5, min_chi: float = 30.0) -> OrdinalModel | None:
+def train(docs: DataFrame, labels: DataFrame, max_rows: int = 8000, max_features: int = 256, min_count: int = 5, min_chi: float = 30.0) -> OrdinalModel | None:
     """Fit on at most ``max_rows`` labelled documents, chosen by a hash of doc_id; None if one label is missing.
 
     Features are counted by Spark over the sample; at most ``max_features`` of them, and the sample's rows of those
@@ -89,7 +89,7 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 8000, max_features
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(hits, pa.list_(pa.int32()))], names=["doc_id", "toxic", "at"])
 
     held = sample.select(F.col("doc_id").cast("long"), "text", F.col("toxic").cast("int")).mapInArrow(present, "doc_id long, toxic int, at array<int>").orderBy("doc_id").collect()
-    x = np.zeros((len(held), len(top)), np.float32)
+    x = np.zeros((len(held), len(top)))
     for i, r in enumerate(held):
         x[i, r["at"]] = 1
     toxic = np.array([r["toxic"] for r in held])
