@@ -137,14 +137,35 @@ def _compared(rest: DataFrame, info: DataFrame, compare, block: int) -> DataFram
     return cell.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi").mapInArrow(cells, "a long, b long")
 
 
-def multi_buckets(keys: DataFrame) -> DataFrame:
-    """From (key, id) the rows of keys with two different ids or more, with the smallest id and the bucket's size.
+def multi_buckets(keyed: DataFrame) -> DataFrame:
+    """From (id, keys) the rows (key, id, pivot, n) of keys with two rows or more; pivot is the key's smallest id, n its rows.
 
-    The count is aggregated before the shuffle, and the join that follows can be split by AQE, so that a hot key
-    loads no single task.
+    Each batch of a task sends one row a key at most to the shuffle, and so a hot key no more than one a batch; the
+    other rows of that key in the batch are joined to the key's pivot afterwards. Keys of a single row go there.
     """
-    stats = keys.groupBy("key").agg(F.min("id").alias("pivot"), F.max("id").alias("last"), F.count("*").alias("n")).filter("pivot <> last").drop("last")
-    return keys.join(stats, "key")
+
+    def led(want: bool):
+        def run(batches):
+            for batch in batches:
+                lists = batch.column(1)
+                sizes = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+                key = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+                name = np.repeat(batch.column(0).to_numpy(), sizes)
+                order = np.lexsort((name, key))
+                key, name = key[order], name[order]
+                starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.empty(0, np.int64)
+                more = np.diff(np.append(starts, len(key))) - 1
+                take = starts if want else np.setdiff1d(np.arange(len(key)), starts, assume_unique=True)
+                columns = [key[take], name[take], *([more] if want else [])]
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["key", "id", "more"][: len(columns)])
+
+        return keyed.select("id", "keys").mapInArrow(run, "key long, id long" + ", more long" * want)
+
+    by = W.partitionBy("key")
+    heads = led(True).withColumn("pivot", F.min("id").over(by)).withColumn("n", F.count("*").over(by) + F.sum("more").over(by))
+    heads = stage(heads.filter("n > 1").drop("more"))
+    tails = led(False).join(heads.select("key", "pivot", "n").distinct(), "key")
+    return heads.unionByName(tails.select("key", "id", "pivot", "n"))
 
 
 def numbered(df: DataFrame, by: list[str], order: list[str], name: str) -> DataFrame:

@@ -160,7 +160,7 @@ def line_classes(docs: DataFrame, edits: int = 2, fuzzy_chars: int = 48, min_cha
     def info(ids: DataFrame) -> DataFrame:
         return texts(ids).select("id", F.char_length("line").cast("long").alias("size"), F.col("line").cast("binary").alias("sketch"))
 
-    members = stage(multi_buckets(made.select(F.explode("keys").alias("key"), "id")).distinct())
+    members = stage(multi_buckets(made.filter("keys is not null").select("id", "keys")).distinct())
     labels = link_buckets(members, info, verify, compare)
     rows = stage(lines.join(small_side(labels), "id", "left").select("doc_id", "line_no", F.coalesce("label", "id").alias("class_id")))
     first = rows.groupBy("class_id").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.count("*").alias("class_lines"))

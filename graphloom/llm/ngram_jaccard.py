@@ -204,8 +204,7 @@ def jaccard_classes(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     made = stage(features(docs.filter("doc_id is not null"), width, percent))
     sets = made.select("doc_id", "n", "h1", "h2")
     firsts = stage(sets.filter("n > 0").groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("id")))
-    info = made.join(firsts.select(F.col("id").alias("doc_id")), "doc_id", "left_semi")
-    keys = info.select(F.explode("keys").alias("key"), F.col("doc_id").alias("id"))
+    keys = made.select(F.col("doc_id").alias("id"), "keys").join(small_side(firsts.select("id")), "id", "left_semi")
     sketches = made.select(F.col("doc_id").alias("id"), F.col("n").alias("size"), "sketch")
     labels = link_buckets(stage(multi_buckets(keys)), lambda ids: sketches, verified(docs, made.select("doc_id", "n", "sketch"), width, percent), near(percent))
     named = firsts.join(labels, "id", "left").select("n", "h1", "h2", F.coalesce("label", "id").alias("component_id"))
