@@ -10,35 +10,83 @@ from __future__ import annotations
 
 import re
 from collections import defaultdict
+from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.llm.common import numbered, stage, table
 
-#: The tokenizer drops white space, so what these part is tokenized on its own.
-CHUNK = re.compile(r"[^ \n\r\t]+")
+#: Printable ASCII and the letters of Latin-1, which the tokenizer's normal form leaves as they are but for the case.
+PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]+")
+#: How the tokenizer parts a lower-case chunk of those; every part is one word of its model.
+PART = re.compile("'(?:s|t|re|ve|m|ll|d)|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
 
 
-class Chunks(dict):
-    """Chunk of text to token ids; forgets everything at a bounded size."""
+class Words(dict):
+    """Lower-case plain word to token ids; forgets everything at a bounded size."""
 
-    def __init__(self, path: str):
-        import tokenizers
+    def __init__(self, model):
+        from tokenizers.pre_tokenizers import ByteLevel
 
-        self.tokenizer = tokenizers.Tokenizer.from_file(path)
+        self.model = model
+        bytes_of = ByteLevel(add_prefix_space=False, use_regex=False)
+        self.letters = {i: bytes_of.pre_tokenize_str(chr(i))[0][0] for i in range(0xDF, 0x100)}
 
-    def __missing__(self, chunk: str) -> list[int]:
-        if len(self) > 200_000:
+    def __missing__(self, word: str) -> list[int]:
+        if len(self) > 400_000:
             self.clear()
-        ids = self.tokenizer.encode(chunk, add_special_tokens=False).ids
-        if len(chunk) < 64:
-            self[chunk] = ids
+        ids = [t.id for t in self.model.tokenize(word if word.isascii() else word.translate(self.letters))]
+        if len(word) < 64:
+            self[word] = ids
         return ids
 
 
+class Chunks:
+    """Token ids of texts, by way of the chunks between white space, which the tokenizer drops."""
+
+    def __init__(self, path: str):
+        import tokenizers
+
+        self.tokenizer = tokenizers.Tokenizer.from_file(path)
+        self.words = Words(self.tokenizer.model)
+
+    def chunk(self, chunk: str) -> list[int]:
+        """The ids of a text without white space. What is not plain, or may hold a special token, goes to the tokenizer."""
+        if not PLAIN.fullmatch(chunk) or "<|" in chunk:
+            return self.tokenizer.encode(chunk, add_special_tokens=False).ids
+        words = self.words
+        lower = chunk.lower()
+        if lower.isalpha():
+            return words[lower]
+        return [i for w in PART.findall(lower) for i in words[w]]
+
+    def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the texts one after the other, each text closed by id 0; and the number of ids of each."""
+        lists = pc.ascii_split_whitespace(pc.fill_null(texts.cast(pa.string()), ""))
+        coded = lists.flatten().dictionary_encode()
+        found = [self.chunk(c) for c in coded.dictionary.to_pylist()]
+        sizes = np.fromiter(map(len, found), np.int64, len(found))
+        flat = np.fromiter(chain.from_iterable(found), np.uint32, int(sizes.sum()))
+        first = np.cumsum(sizes) - sizes
+        code = coded.indices.to_numpy(zero_copy_only=False)
+        each = sizes[code]
+        ends = np.concatenate([[0], np.cumsum(each)])
+        every = flat[np.repeat(first[code] - ends[:-1], each) + np.arange(ends[-1])]
+        stops = ends[np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))]
+        return np.insert(every, stops, 0).astype("<u4"), np.diff(stops, prepend=0) + 1
+
+
+@lru_cache(maxsize=1)
+def chunks(path: str) -> Chunks:
+    """One tokenizer with its known words for all tasks of a Python worker."""
+    return Chunks(path)
+
+
 def pieces(docs: DataFrame, capacity: int, path: str | None = None) -> DataFrame:
     """(doc_id, piece, start, length, ids): each document's ids and then id 0, cut only where longer than ``capacity``.
 
@@ -48,30 +96,25 @@ def pieces(docs: DataFrame, capacity: int, path: str | None = None) -> DataFrame
     def run(batches):
         import public_tokenizers
 
-        known = Chunks(path or public_tokenizers.path("word_bpe_49k.json"))
+        known = chunks(path or public_tokenizers.path("word_bpe_49k.json"))
         for batch in batches:
-            out = [[], [], [], [], []]
-            held = 0
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids = []
-                for chunk in CHUNK.findall(text or ""):
-                    ids += known[chunk]
-                ids.append(0)
-                packed = np.array(ids, "<u4")
-                for piece, start in enumerate(range(0, len(packed), capacity)):
-                    part = packed[start : start + capacity]
-                    for column, value in zip(out, (doc_id, piece, start, len(part), part.tobytes()), strict=True):
-                        column.append(value)
-                    held += len(part)
-                if held > 2_000_000:
-                    yield made(out)
-                    out, held = [[], [], [], [], []], 0
-            if out[0]:
-                yield made(out)
-
-    def made(out):
-        kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary())
-        return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds, strict=True)], names=["doc_id", "piece", "start", "length", "ids"])
+            sizes = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            share = np.cumsum(sizes) // 8_000_000
+            for rows in np.split(np.arange(batch.num_rows), np.flatnonzero(np.diff(share)) + 1):
+                if len(rows):
+                    part = batch.slice(rows[0], len(rows))
+                    yield cut(part.column(0).to_numpy(zero_copy_only=False), *known.ids(part.column(1)))
+
+    def cut(doc_id, ids, sizes):
+        count = -(-sizes // capacity)
+        row = np.repeat(np.arange(len(sizes)), count)
+        piece = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+        start = piece * capacity
+        length = np.minimum(capacity, sizes[row] - start)
+        offsets = np.concatenate([[0], np.cumsum(4 * length)]).astype(np.int32)
+        held = pa.Array.from_buffers(pa.binary(), len(row), [None, pa.py_buffer(offsets), pa.py_buffer(ids)])
+        columns = [pa.array(doc_id, pa.int64(), from_pandas=True).take(pa.array(row)), pa.array(piece, pa.int32()), pa.array(start), pa.array(length), held]
+        return pa.RecordBatch.from_arrays(columns, names=["doc_id", "piece", "start", "length", "ids"])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, piece int, start long, length long, ids binary")
 
