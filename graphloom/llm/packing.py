@@ -10,7 +10,6 @@ from __future__ import annotations
 
 import re
 from collections import defaultdict
-from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -38,7 +37,7 @@ class Words(dict):
         self.letters = {i: bytes_of.pre_tokenize_str(chr(i))[0][0] for i in range(0xDF, 0x100)}
 
     def __missing__(self, word: str) -> list[int]:
-        if len(self) > 400_000:
+        if len(self) > 200_000:
             self.clear()
         ids = [t.id for t in self.model.tokenize(word if word.isascii() else word.translate(self.letters))]
         if len(word) < 64:
@@ -81,12 +80,6 @@ class Chunks:
         return np.insert(every, stops, 0).astype("<u4"), np.diff(stops, prepend=0) + 1
 
 
-@lru_cache(maxsize=1)
-def chunks(path: str) -> Chunks:
-    """One tokenizer with its known words for all tasks of a Python worker."""
-    return Chunks(path)
-
-
 def pieces(docs: DataFrame, capacity: int, path: str | None = None) -> DataFrame:
     """(doc_id, piece, start, length, ids): each document's ids and then id 0, cut only where longer than ``capacity``.
 
@@ -96,10 +89,10 @@ def pieces(docs: DataFrame, capacity: int, path: str | None = None) -> DataFrame
     def run(batches):
         import public_tokenizers
 
-        known = chunks(path or public_tokenizers.path("word_bpe_49k.json"))
+        known = Chunks(path or public_tokenizers.path("word_bpe_49k.json"))
         for batch in batches:
             sizes = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-            share = np.cumsum(sizes) // 8_000_000
+            share = np.cumsum(sizes) // 4_000_000
             for rows in np.split(np.arange(batch.num_rows), np.flatnonzero(np.diff(share)) + 1):
                 if len(rows):
                     part = batch.slice(rows[0], len(rows))
