@@ -191,6 +191,20 @@ def test_packing(docs, texts):
     assert Counter(r.doc_id for r in rows) == {i: -(-len(x) // 32) for i, x in ids.items()}
 
 
+def test_token_ids_of_odd_texts():
+    import public_tokenizers
+    import pyarrow as pa
+    import tokenizers
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    texts = ["don't STOP,'s '' it's'LL 12ab <|endoftext|>x<|start", "ÀÖß'S éa1ÿ,ö×÷ªµº É", "Écolé İ a\x0bb\x0cc \x1f d e\u0301 ", "", None, "  ", "A" * 100 + " x", "\x00 a\x85b", "ΣΑΣ ß ﬁ"]
+    whole = tokenizers.Tokenizer.from_file(path)
+    want = [whole.encode(x or "", add_special_tokens=False).ids + [0] for x in texts]
+    ids, sizes = packing.Chunks(path).ids(pa.array(texts))
+    assert sizes.tolist() == [len(x) for x in want]
+    assert ids.tolist() == [i for x in want for i in x]
+
+
 def test_leaks_with_other_numbers(spark):
     rng = random.Random(3)
     other = sentence(rng, 40)
