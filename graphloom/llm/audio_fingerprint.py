@@ -9,6 +9,8 @@ The tables hold no sound, so the query renders each embedding to a recording: on
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -22,6 +24,17 @@ CUTS, GRAY = (-0.12, 0.0, 0.12), np.array([0, 1, 3, 2], np.uint64)
 NOTE_SECONDS = 0.2
 
 
+@lru_cache(maxsize=1)
+def pitches() -> tuple[np.ndarray, np.ndarray]:
+    """Which bins of a spectrum count, and the pitch class of each as a matrix."""
+    hertz = np.arange(FRAME // 2 + 1) * RATE / FRAME
+    use = (hertz > 100) & (hertz < 2600)
+    pitch = np.round(12 * np.log2(hertz[use] / 440)).astype(int) % 12
+    fold = np.zeros((int(use.sum()), 12))
+    fold[np.arange(len(pitch)), pitch] = 1
+    return use, fold
+
+
 def chroma(pcm: np.ndarray) -> np.ndarray:
     """Frames by 12 pitch classes, smoothed over time and scaled to unit sum."""
     n = (len(pcm) - FRAME) // HOP + 1
@@ -29,11 +42,7 @@ def chroma(pcm: np.ndarray) -> np.ndarray:
         return np.empty((0, 12))
     frames = np.lib.stride_tricks.sliding_window_view(pcm.astype(np.float32), FRAME)[::HOP] * np.hanning(FRAME).astype(np.float32)
     power = np.abs(np.fft.rfft(frames, axis=1)) ** 2
-    hertz = np.arange(power.shape[1]) * RATE / FRAME
-    use = (hertz > 100) & (hertz < 2600)
-    pitch = np.round(12 * np.log2(hertz[use] / 440)).astype(int) % 12
-    fold = np.zeros((int(use.sum()), 12))
-    fold[np.arange(len(pitch)), pitch] = 1
+    use, fold = pitches()
     image = power[:, use] @ fold
     padded = np.pad(image, ((1, 1), (0, 0)), mode="edge")
     image = padded[:-2] * 0.5 + padded[1:-1] + padded[2:] * 0.5
@@ -78,15 +87,19 @@ def fingerprint(pcm: np.ndarray) -> np.ndarray:
     return out
 
 
+@lru_cache(maxsize=1)
+def notes() -> np.ndarray:
+    """One note of each pitch class, with its octave."""
+    turn = 2 * np.pi * (220 * 2 ** (np.arange(12) / 12))[:, None] * (np.arange(int(NOTE_SECONDS * RATE)) / RATE)[None, :]
+    return np.sin(turn) + 0.4 * np.sin(2 * turn)
+
+
 def render(vector: list[float] | None) -> np.ndarray:
     """A recording of a vector: a note and its octave for each dimension, pitch by value and loudness by size."""
     value = np.nan_to_num(np.array([0.0 if x is None else x for x in vector or ()], float), posinf=0, neginf=0)
     if not len(value):
         return np.empty(0, np.int16)
-    hertz = 220 * 2 ** (np.floor(value * 60) % 12 / 12)
-    t = np.arange(int(NOTE_SECONDS * RATE)) / RATE
-    turn = 2 * np.pi * hertz[:, None] * t[None, :]
-    wave = (np.sin(turn) + 0.4 * np.sin(2 * turn)) * (0.4 + 0.6 * np.minimum(1, np.abs(value) * 5))[:, None]
+    wave = notes()[(np.floor(value * 60) % 12).astype(int)] * (0.4 + 0.6 * np.minimum(1, np.abs(value) * 5))[:, None]
     return np.round(wave.ravel() * 9000).astype(np.int16)
 
 
