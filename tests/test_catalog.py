@@ -5,8 +5,11 @@ import os
 import duckdb
 import pytest
 
-from graphloom import catalog
+from graphloom import catalog, catalog_rules  # noqa: F401 (registers its queries)
 from graphloom.operators import graph as G
+from graphloom.operators import rules as R
+from graphloom.plans import lift
+from graphloom.sources.snapshot import read_graph, write_graph
 
 DIR = "/root/testdata/sf0.001"
 
@@ -40,3 +43,24 @@ def test_longest_prefix_takes_whole_segments(spark):
     rows = spark.createDataFrame([("1", "a/b/c"), ("2", "a/bc"), ("3", None)], "id string, path string")
     owners = spark.createDataFrame([("o1", "a"), ("o2", "a/b")], "id string, path string")
     assert {r["id"]: r["owner"] for r in G.longest_prefix(rows, "path", owners).collect()} == {"1": "o2", "2": "o1", "3": None}
+
+
+def test_impact_walks_ownership_upward_only(spark):
+    edges = spark.createDataFrame([("CONTAINS", "own", "x"), ("CONTAINS", "x", "part"), ("CALLS", "y", "x"), ("READS_FROM", "x", "y"), ("CALLS", "z", "y")], "type string, source_id string, target_id string")
+    anchors = spark.createDataFrame([("x",)], "id string")
+    assert {tuple(r) for r in R.impact_candidates(edges, anchors, 2).collect()} == {("x", 0, 0), ("own", 1, 1), ("y", 1, 2), ("z", 2, 1)}
+    assert R.impact_candidates(edges, anchors.filter("false"), 2).count() == 0
+
+
+def test_effective_takes_the_later_of_equal_ranks(spark):
+    rows = spark.createDataFrame([(1, 2, 10, "a"), (1, 1, 11, "b"), (1, 1, 12, "c"), (2, 3, 13, None)], "k int, level int, pos int, v string")
+    assert {tuple(r) for r in R.effective(rows, "k", rows["level"], "pos", "v").collect()} == {(1, "c", 12, 3), (2, None, 13, 1)}
+
+
+def test_snapshot_round_trip(spark, tmp_path):
+    nodes, edges = lift.nodes(spark, DIR), lift.edges(spark, DIR, ("CONTAINS", "PUBLISHES"))
+    write_graph(nodes, edges, f"file://{tmp_path}/graph")
+    back, linked = read_graph(spark, f"file://{tmp_path}/graph")
+    assert back.select(nodes.columns).exceptAll(nodes).isEmpty() and back.count() == nodes.count()
+    assert linked.select(edges.columns).exceptAll(edges).isEmpty() and linked.count() == edges.count()
+    assert read_graph(spark, f"file://{tmp_path}/graph", ("CONTAINS",))[1].count() == edges.filter("type = 'CONTAINS'").count()
