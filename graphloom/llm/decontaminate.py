@@ -3,6 +3,7 @@
 Numbers, names and units of a text become typed placeholders, so that a question with other numbers or names has the
 same template. Windows of eight template tokens of all documents are hash-joined with those of the benchmark, and the
 values that fill the slots of an aligned match must agree: one benchmark value stands for one value throughout.
+Windows that are mostly placeholders say too little as templates; like all windows they are searched word for word.
 """
 
 from __future__ import annotations
@@ -46,36 +47,78 @@ def windows(df: DataFrame, column: str) -> DataFrame:
     return out
 
 
+def exact_key(hashed: Column, width: Column) -> Column:
+    """The key of a window of plain tokens; no template window of the same tokens has it."""
+    return F.xxhash64(hashed, width)
+
+
 def benchmark_windows(benchmark: DataFrame) -> DataFrame:
-    """(item_id, b_pos, key, slots, n_windows): windows with at least four plain words; slots are (place, value)."""
+    """(item_id, b_pos, width, exact, key, slots, n_windows, n_open): the windows that documents are searched for.
+
+    Every window is there with its plain tokens (exact); those of at least four plain words, n_open of them, are there
+    as templates too, whose slots are (place, value). An item of fewer than eight tokens is one exact window.
+    """
     base = benchmark.filter("text is not null").select("item_id", joined_numbers(F.col("text")).alias("text"))
-    rows = windows(base.select("item_id", tokens(F.col("text")).alias("plain"), template(F.col("text")).alias("canon")), "canon")
-    each = rows.select("item_id", "plain", "canon", F.size("w").alias("n_windows"), F.posexplode_outer("w").alias("b_pos", "key")).filter("key is not null")
+    both = base.select("item_id", tokens(F.col("text")).alias("plain"), template(F.col("text")).alias("canon"))
     typed = lambda t: t.isin(NUMBER, NAME, UNIT) | t.startswith(NUMBER)
     places = F.sequence(F.lit(0), F.lit(WINDOW - 1))
     at = lambda column, k: F.element_at(column, F.col("b_pos") + k + 1)
     slots = F.transform(F.filter(places, lambda k: typed(at("canon", k))), lambda k: F.struct(k.alias("place"), at("plain", k).alias("value")))
-    return each.select("item_id", "b_pos", "key", "n_windows", slots.alias("slots")).filter(F.size("slots") <= WINDOW - 4)
+    filled = F.transform("w", lambda _, i: F.size(F.filter(F.slice("canon", i + 1, WINDOW), typed)))
+    rows = windows(both, "canon").withColumn("n_open", F.size(F.filter(filled, lambda n: n <= WINDOW - 4)))
+    each = rows.select("item_id", "plain", "canon", F.size("w").alias("n_windows"), "n_open", F.posexplode_outer("w").alias("b_pos", "key")).filter("key is not null")
+    columns = ["item_id", "b_pos", F.lit(WINDOW).alias("width"), F.lit(False).alias("exact"), "key", slots.alias("slots"), "n_windows", "n_open"]
+    opened = each.select(columns).filter(F.size("slots") <= WINDOW - 4)
+    none = F.filter(F.array(F.struct(F.lit(0).alias("place"), F.lit("").alias("value"))), lambda _: F.lit(False))
+    plain = windows(rows.drop("w"), "plain").select("item_id", F.size("w").alias("n_windows"), "n_open", F.posexplode_outer("w").alias("b_pos", "key")).filter("key is not null")
+    whole = plain.select("item_id", "b_pos", F.lit(WINDOW).alias("width"), F.lit(True).alias("exact"), exact_key(F.col("key"), F.lit(WINDOW)).alias("key"), none.alias("slots"), "n_windows", "n_open")
+    short = both.filter((F.size("plain") < WINDOW) & (F.element_at("plain", 1) != "")).withColumn("width", F.size("plain"))
+    short = short.select("item_id", F.lit(0).alias("b_pos"), "width", F.lit(True).alias("exact"), exact_key(F.col("plain"), F.col("width")).alias("key"), none.alias("slots"), F.lit(1).alias("n_windows"), F.lit(0).alias("n_open"))
+    return opened.unionByName(whole).unionByName(short)
+
+
+def document_windows(base: DataFrame, widths: list[int]) -> DataFrame:
+    """(doc_id, pos, key) of (doc_id, text): template windows, and exact ones of ``widths`` tokens, which have no pos."""
+    both = base.select("doc_id", tokens(F.col("text")).alias("plain"), template(F.col("text")).alias("canon"))
+    rows = windows(both, "canon").withColumn("found", F.transform("w", lambda x, i: F.struct(i.alias("pos"), x.alias("key"))))
+    nowhere = F.lit(None).cast("int").alias("pos")
+    parts = ["found"]
+    if WINDOW in widths:
+        rows = windows(rows.drop("w"), "plain")
+        parts.append(F.transform(F.array_distinct("w"), lambda x: F.struct(nowhere, exact_key(x, F.lit(WINDOW)).alias("key"))))
+    for width in (n for n in widths if n < WINDOW):
+        starts = F.when(F.size("plain") >= width, F.sequence(F.lit(1), F.size("plain") - width + 1)).otherwise(F.array().cast("array<int>"))
+        length = F.lit(width)
+        keys = F.transform(starts, lambda i: exact_key(F.slice("plain", i, length), length))  # noqa: B023
+        parts.append(F.transform(F.array_distinct(keys), lambda x: F.struct(nowhere, x.alias("key"))))
+    return rows.select("doc_id", F.explode_outer(F.concat(*parts)).alias("at")).select("doc_id", "at.pos", "at.key").filter("key is not null")
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, least: int = 6) -> DataFrame:
     """doc_id, item_id, n_matched, n_windows, n_slots, n_consistent: the documents that hold benchmark items.
 
-    A document holds an item if at least ``least`` of the item's windows (half of them, if that is less) occur in
-    it, and at least half of the slots are filled consistently where there are slots. Items of fewer than eight tokens
-    are too short to be found. Null and empty texts hold nothing; repeated documents and items are found like one.
-    Rows with a null doc_id are left out. Empty tables give an empty result.
+    A document holds an item if it has at least ``least`` of the item's windows (half of them, if that is less) word
+    for word, or that many as templates among those with at least four plain words, or that many in either way; where
+    they aren't word for word, at least half of the slots must be filled consistently. Items of fewer than eight tokens
+    are found where they occur word for word. n_windows counts all windows of the item. Null and empty texts hold
+    nothing; repeated documents and items are found like one. Rows with a null doc_id are left out. Empty tables give
+    an empty result.
     """
     text = F.coalesce("text", F.lit(""))
     base = docs.filter("doc_id is not null").select("doc_id", joined_numbers(text).alias("text"))
     bench = stage(benchmark_windows(benchmark))
-    each = windows(base.select("doc_id", template(F.col("text")).alias("canon")), "canon").select("doc_id", F.posexplode_outer("w").alias("pos", "key")).filter("key is not null")
-    hits = stage(each.join(small_side(bench), "key").select("doc_id", "item_id", "pos", "b_pos", "n_windows", "slots").distinct())
-    found = hits.groupBy("doc_id", "item_id").agg(F.count_distinct("b_pos").alias("n_matched"), F.max("n_windows").cast("long").alias("n_windows"))
-    found = found.filter(F.col("n_matched") >= F.least(F.lit(least), F.ceil(F.col("n_windows") / 2)))
+    # at most eight widths
+    widths = [r.width for r in bench.filter("exact").select("width").distinct().collect()]
+    each = document_windows(base, widths)
+    hits = stage(each.join(small_side(bench), "key").select("doc_id", "item_id", "pos", "b_pos", "exact", "n_windows", "n_open", "slots").distinct())
+    placed = hits.groupBy("doc_id", "item_id", "b_pos").agg(F.max(F.col("exact").cast("long")).alias("exact"), F.max((~F.col("exact")).cast("long")).alias("open"), F.max("n_windows").alias("n_windows"), F.max("n_open").alias("n_open"))
+    found = placed.groupBy("doc_id", "item_id").agg(F.count("*").alias("n_matched"), F.sum("exact").alias("n_exact"), F.sum("open").alias("n_like"), F.max("n_windows").cast("long").alias("n_windows"), F.max("n_open").alias("n_open"))
+    share = lambda n: F.least(F.lit(least), F.ceil(F.col(n) / 2))
+    found = found.filter((F.col("n_matched") >= share("n_windows")) | (F.col("n_open") > 0) & (F.col("n_like") >= share("n_open")))
+    found = found.select("doc_id", "item_id", "n_matched", "n_windows", (F.col("n_exact") >= share("n_windows")).alias("copied"))
     with_slots = hits.filter(F.size("slots") > 0)
     if with_slots.isEmpty():
-        return found.select("*", F.lit(0).cast("long").alias("n_slots"), F.lit(0).cast("long").alias("n_consistent"))
+        return found.drop("copied").select("*", F.lit(0).cast("long").alias("n_slots"), F.lit(0).cast("long").alias("n_consistent"))
     ids = stage(with_slots.select("doc_id").distinct())
     plain = base.join(small_side(ids), "doc_id", "left_semi").select("doc_id", tokens(F.col("text")).alias("plain"))
     filled = with_slots.join(plain, "doc_id").select("doc_id", "item_id", (F.col("pos") - F.col("b_pos")).alias("offset"), "pos", "plain", F.explode("slots").alias("slot"))
@@ -83,7 +126,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, least: int = 6) -> DataFra
     names = values.groupBy("doc_id", "item_id", "offset", "value").agg(F.count("*").alias("n"))
     slots = names.groupBy("doc_id", "item_id").agg(F.count("*").alias("n_slots"), F.sum((F.col("n") == 1).cast("long")).alias("n_consistent"))
     checked = found.join(slots, ["doc_id", "item_id"], "left").fillna(0, ["n_slots", "n_consistent"])
-    return checked.filter(2 * F.col("n_consistent") >= F.col("n_slots"))
+    return checked.filter(F.col("copied") | (2 * F.col("n_consistent") >= F.col("n_slots"))).drop("copied")
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

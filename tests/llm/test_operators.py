@@ -215,6 +215,17 @@ def test_leaks_with_other_numbers(spark):
     assert set(got) == {(1, 9), (4, 9)} and got[4, 9].n_slots == got[4, 9].n_consistent > 0
 
 
+def test_leaks_of_numbers_and_short_items(spark):
+    rng = random.Random(6)
+    other = sentence(rng, 30)
+    mean = "Find the mean of 4 8 15 16 23 42 7 9 11 13 14 18 and 20"
+    items = {1: "What is 12 + 45 * 7 - 3 + 8 - 16 / 4 + 22?", 2: "Which number comes next in the sequence 2, 3, 5, 8, 13, 21, 34, 55, 89, 144?", 3: mean, 4: "Who wrote Hamlet?", 5: "Name all of the seven deadly sins now", 6: ""}
+    rows = [(i, f"{other} {x} {other}") for i, x in items.items()] + [(7, f"{other}. {re.sub('[0-9]+', lambda m: str(int(m[0]) + 50), mean)}"), (8, other), (9, "What is 13 + 45 * 7 - 3 + 9 - 16 / 5 + 22?")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontaminate.find_leaks(docs, spark.createDataFrame(list(items.items()), "item_id long, text string")).collect()}
+    assert got == {(1, 1), (2, 2), (3, 3), (4, 4), (5, 5), (7, 3)}
+
+
 def test_toxicity_held_out(spark):
     rng = random.Random(4)
     rows = [(i, sentence(rng, 40) + (" vile" if i % 5 == 0 else ""), int(i % 5 == 0)) for i in range(300)]
