@@ -24,8 +24,15 @@ HEX = re.compile(r"[0-9a-f]{16,}")
 WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 KINDS = ("assign", "access", "hex", "lexed")
 
+# All repeats are possessive or end at a character they exclude, so that a scan stays linear without bounds on length.
+#: A name with its subscripts; a run of name characters is read once, from its start.
+TARGET = r"""(?<![A-Za-z0-9_.-])[0-9.-]*+([A-Za-z_][A-Za-z0-9_.-]*+(?:\[[^\[\]\n]*+\])*+)"""
+LITERAL = r"""(?:"((?:[^"\n\\]|\\[^\n])++)"|'((?:[^'\n\\]|\\[^\n])++)'|([A-Za-z0-9+/_.=$%!@~^-]++))"""
+TERM = r"""&?(?:'[a-z_]++[\x20\t]++)?[A-Za-z_][A-Za-z0-9_.]*+(?>[<\[][^=:\n"';]*[>\]])?\??"""
 #: An assignment: name, sign, then a quoted literal, a bare name, or a bare value up to white space.
-PAIR = re.compile(r"""([A-Za-z_][A-Za-z0-9_.-]{0,79})["']?[\x20\t]{0,8}(?::=|=>|=|:)[\x20\t]{0,8}(?:"([^"\n\\]{1,4096})"|'([^'\n\\]{1,4096})'|([A-Za-z0-9+/_.=$%!@~^-]{1,4096}))""", re.ASCII)
+PAIR = re.compile(TARGET + r"""["']?[\x20\t]*+\]*+[\x20\t]*+(?::=|=>|=|:)[\x20\t]*+""" + LITERAL, re.ASCII)
+#: An assignment with a type between the name and the sign; the first sign and the type are a pair by themselves, too.
+TYPED = re.compile(TARGET + r"""["']?[\x20\t]*+[?!]?:[\x20\t]*+""" + TERM + r"""(?:[\x20\t]*+[|&][\x20\t]*+""" + TERM + r""")*+[\x20\t]*+=[\x20\t]*+""" + LITERAL, re.ASCII)
 NAME = re.compile(r"[A-Za-z_][A-Za-z0-9_.-]*", re.ASCII)
 #: Parts of names that promise a secret, with their weights.
 SENSITIVE = (("password", 1.0), ("passwd", 1.0), ("passphrase", 1.0), ("pwd", 0.8), ("secret", 1.0), ("token", 0.9), ("apikey", 1.0), ("privatekey", 1.0), ("accesskey", 1.0), ("credential", 0.8), ("auth", 0.6))
@@ -59,7 +66,10 @@ def lexed_spans(text: str, least: float = 0.55) -> list[tuple[int, str, int]]:
         return []
     held: dict[str, tuple[str, int, int]] = {}
     best: dict[tuple[int, int], tuple[float, str]] = {}
-    for m in PAIR.finditer(text):
+    found = list(PAIR.finditer(text))
+    if ":" in text and "=" in text:
+        found = sorted([*found, *TYPED.finditer(text)], key=lambda m: (m.start(), m.end()))
+    for m in found:
         name = m[1]
         at = next(i for i in (2, 3, 4) if m[i] is not None)
         literal, start, end = m[at], m.start(at), m.end(at)

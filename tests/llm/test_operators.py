@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 from itertools import combinations
@@ -139,6 +140,22 @@ def test_secret_spans():
     assert not secret_scan.base_spans("") and not secret_scan.lexed_spans("plain words only")
 
 
+def test_secret_spans_of_any_length_and_form():
+    long = "".join(random.Random(8).choices("abcdefXYZ0123456789", k=9000))
+    key = "S3cr3tV4lue!99xy"
+    for before, literal, after in [
+        ("password = ", long, ""), ('password = "', long, '"'), ("password" + " " * 20 + "=" + " " * 30, key, ""), ("password_" + "x" * 200 + " = '", key, "'"),
+        ('token = "', 'a1\\"b2\\\\c3d4e5f6g7', '"'), ('password: str = "', key, '"'), ('let apiToken: string = "', key, '"'), ("secret?: string | null = '", key, "'"),
+        ('password: Optional[dict[str, int]] = "', key, '"'), ("let token: &'static str = \"", key, '"'), ('environ["DB_PASSWORD"] = "', key, '"'), ('secrets["db"][0] = "', key, '"'), ("9password=", key, ""),
+        ("password: ", key, " x=5"),
+    ]:
+        assert ("lexed", len(before), len(before) + len(literal)) in [(k, s, e) for s, k, e in secret_scan.lexed_spans(f"{before}{literal}{after}")], before
+    for part in ("a", "a.", "a[", "a:b<", "a: b|", "a ", "a: ", 'a="', "a='\\", "a]", "a:b[c>|"):
+        start = time.process_time()
+        secret_scan.lexed_spans(part * 100_000 + "=:")
+        assert time.process_time() - start < 5, part
+
+
 def test_shards(docs, texts):
     rows = sharding.shard_documents(docs, 4).collect()
     slots, shards = defaultdict(list), defaultdict(set)
