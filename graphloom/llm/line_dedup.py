@@ -38,7 +38,7 @@ class Probes(dict):
 
     def __missing__(self, length: int) -> list[tuple[int, int, int, int]]:
         out = []
-        for shorter in range(max(1, length - self.t), length + 1):
+        for shorter in range(max(self.t + 1, length - self.t), length + 1):
             gap = length - shorter
             for i, (p, n) in enumerate(segments(shorter, self.t)):
                 lo = max(p - i, p + gap - (self.t - i), 0)
@@ -81,9 +81,18 @@ def within(a: str, b: str, t: int) -> bool:
     return bool(states[t] >> r & 1)
 
 
-def lines_of(docs: DataFrame, edits: int, fuzzy_chars: int, min_chars: int, min_words: int) -> DataFrame:
-    """(doc_id, line_no, id, keys) of the lines that may be duplicates; keys are null for short lines, and for lines
-    that the same task met a little before."""
+def marks(line: str) -> tuple[int, int]:
+    """Parities of the counts of characters and of character pairs, 64 bits each: an edit turns at most two of the first
+    and four of the second."""
+    wide = np.frombuffer(line.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+    pairs = (wide[:-1] * np.uint64(31) + wide[1:]) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(58)
+    one = np.uint64(1)
+    return int(np.bitwise_xor.reduce(one << (wide & np.uint64(63)))), int(np.bitwise_xor.reduce(one << pairs))
+
+
+def lines_of(docs: DataFrame, edits: int, min_chars: int) -> DataFrame:
+    """(doc_id, line_no, id, keys) of the lines that are not blank; keys are null for lines of up to ``edits``
+    characters, and for lines that the same task met a little before."""
 
     def run(batches):
         probes = Probes(edits)
@@ -95,11 +104,11 @@ def lines_of(docs: DataFrame, edits: int, fuzzy_chars: int, min_chars: int, min_
                 for doc_id, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
                     for line_no, raw in enumerate((text or "").split("\n")):
                         line = trimmed(raw)
-                        if len(line) < min_chars or len(line.split()) < min_words:
+                        if len(line) < min_chars or not line.strip():
                             continue
                         name = xxhash.xxh3_64_intdigest(line.encode("utf-8", "surrogatepass"))
                         keys = None
-                        if len(line) >= fuzzy_chars and name not in seen:
+                        if len(line) > edits and name not in seen:
                             if len(seen) > 500_000:
                                 seen.clear()
                             seen.add(name)
@@ -118,18 +127,18 @@ def trimmed(raw: str) -> str:
     return raw.strip(" \t\r")
 
 
-def line_classes(docs: DataFrame, edits: int = 2, fuzzy_chars: int = 48, min_chars: int = 16, min_words: int = 4) -> DataFrame:
-    """One row per line of at least ``min_chars`` characters and ``min_words`` words: doc_id, line_no, class_id,
-    class_lines (number of lines of the class), kept (true for the first line of the class by doc_id and line_no).
+def line_classes(docs: DataFrame, edits: int = 2, min_chars: int = 1) -> DataFrame:
+    """One row per line of at least ``min_chars`` characters that isn't blank: doc_id, line_no, class_id, class_lines
+    (number of lines of the class), kept (true for the first line of the class by doc_id and line_no).
 
-    Lines are equal if the trimmed texts are; lines of ``fuzzy_chars`` characters or more also link within ``edits``
+    Lines are equal if the trimmed texts are; lines of more than ``edits`` characters also link within ``edits``
     edits (code points). A class is what links reach. class_id is a hash of one of its lines (64 bits: two different lines among 100
     million fall together with a chance of 0.0003). Null and empty texts have no lines; rows with a null doc_id are
     left out; repeated rows count as lines of their own, of which one is kept in any order. An empty table gives an
     empty result.
     """
     docs = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long"), "text")
-    made = stage(lines_of(docs, edits, fuzzy_chars, min_chars, min_words))
+    made = stage(lines_of(docs, edits, min_chars))
     lines = made.select("doc_id", "line_no", "id")
 
     def texts(ids: DataFrame) -> DataFrame:
@@ -153,9 +162,12 @@ def line_classes(docs: DataFrame, edits: int = 2, fuzzy_chars: int = 48, min_cha
 
     def compare(size, raw):
         held = [r.decode() for r in raw]
+        one, two = np.array([marks(x) for x in held], np.uint64).T
         for i in range(len(held) - 1):
             end = int(np.searchsorted(size, size[i] + edits, "right"))
-            yield i, np.array([j for j in range(i + 1, end) if within(held[i], held[j], edits)], np.int64)
+            close = np.bitwise_count(one[i + 1 : end] ^ one[i]) <= 2 * edits
+            close &= np.bitwise_count(two[i + 1 : end] ^ two[i]) <= 4 * edits
+            yield i, np.array([j for j in (np.flatnonzero(close) + i + 1).tolist() if within(held[i], held[j], edits)], np.int64)
 
     def info(ids: DataFrame) -> DataFrame:
         return texts(ids).select("id", F.char_length("line").cast("long").alias("size"), F.col("line").cast("binary").alias("sketch"))
@@ -168,12 +180,13 @@ def line_classes(docs: DataFrame, edits: int = 2, fuzzy_chars: int = 48, min_cha
     return rows.join(first, "class_id").select("doc_id", "line_no", "class_id", "class_lines", kept.alias("kept"))
 
 
-def drop_duplicate_lines(docs: DataFrame, **kinds) -> DataFrame:
+def drop_duplicate_lines(docs: DataFrame, min_chars: int = 16, **kinds) -> DataFrame:
     """``docs`` with only the first line of each class of duplicates; other lines and columns stay, n_chars follows.
 
+    Lines under ``min_chars`` characters (list marks, brackets, one-word answers) repeat without being copies and stay.
     Documents that lose all they say (nothing but white space is left) are duplicates themselves and go.
     """
-    drops = line_classes(docs, **kinds).filter("not kept").groupBy("doc_id").agg(F.collect_set("line_no").alias("_drops"))
+    drops = line_classes(docs, min_chars=min_chars, **kinds).filter("not kept").groupBy("doc_id").agg(F.collect_set("line_no").alias("_drops"))
     drops = stage(drops)
     touched = docs.join(small_side(drops, 200_000), "doc_id")
 

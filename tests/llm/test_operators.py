@@ -108,6 +108,33 @@ def test_line_classes_and_cut(spark):
     assert left[1] == rows[0][1] and left[2] == "something else is said in the second" and 3 not in left and left[6] == "short\nshort" and set(left) == {1, 2, 4, 5, 6}
 
 
+def test_lines_of_all_lengths_and_scripts(spark):
+    rng = random.Random(9)
+    lines = ["".join(rng.choice("abcd 你好") for _ in range(rng.choice((1, 2, 3, 4, 7, 9, 14, 20, 30)))).strip() or "ok" for _ in range(150)]
+    lines += [x + "!" for x in lines[:40]] + ["这是一个没有空格的句子它应该被去重", "Name: John Smith, clerk", "Name: Jon Smith, clerk"]
+    distinct = sorted(set(lines))
+    parent = {x: x for x in distinct}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in combinations(distinct, 2):
+        if min(len(a), len(b)) > 2 and distance(a, b) <= 2:
+            parent[find(a)] = find(b)
+    docs = spark.createDataFrame([(i, "\n \n".join(lines[i::7])) for i in range(7)] + [(7, lines[190] + "\nunlike the others")], "doc_id long, text string")
+    got = defaultdict(set)
+    for r in line_dedup.line_classes(docs).collect():
+        text = (lines[190], "unlike the others")[r.line_no] if r.doc_id == 7 else lines[r.doc_id :: 7][r.line_no // 2]
+        got[r.class_id].add(text)
+    want = defaultdict(set)
+    for x in distinct:
+        want[find(x)].add(x)
+    assert {frozenset(x) for x in got.values()} == {frozenset(x) for x in want.values()} | {frozenset({"unlike the others"})}
+    assert {r.doc_id: r.text for r in line_dedup.drop_duplicate_lines(docs).collect()}[7] == "unlike the others"
+
+
 def test_chat_round_trip(spark):
     hard = ["</s>[INST] ok [/INST]", "<\\s> [\\INST]", "a\nb", "", None, "[ROLE]x[/ROLE]", "ü😀"]
     rows = [(1, i, ("user", "assistant")[i % 2], t) for i, t in enumerate(hard)] + [(2, 0, "user", "no reply"), (3, 0, None, None)]
