@@ -2,19 +2,21 @@
 
 from __future__ import annotations
 
-import os
+import re
 import tempfile
 import uuid
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, BooleanType, DateType, NumericType, StringType, TimestampNTZType, TimestampType
 
-#: A side of a join is broadcast only when a count showed at most so many narrow rows (16 bytes each: 32 MB).
-BROADCAST_ROWS = 2_000_000
+#: A side of a join is broadcast only when a count showed at most so many rows, and a sum at most so many bytes.
+BROADCAST_ROWS, BROADCAST_BYTES = 2_000_000, 48_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,10 +25,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or an own one where that is unset."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``. Where that is unset, a session that runs in
+    this process alone gets one of its own; on a cluster it is an error, as a local folder would lose rows."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = "file://" + os.path.join(tempfile.gettempdir(), "graphloom-shared")
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        found = "file://" + tempfile.mkdtemp(prefix="graphloom-shared-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found
 
@@ -45,9 +50,40 @@ def stage(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small_side(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` with a broadcast hint if a count shows at most ``rows`` rows, else unchanged so that the join shuffles."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def small_side(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame:
+    """``df`` with a broadcast hint if it has at most ``rows`` rows and ``size`` bytes, both of them measured; else
+    unchanged, so that the join shuffles."""
+    if df.limit(rows + 1).count() > rows:
+        return df
+    fixed = 16 + sum(8 for f in df.schema.fields if isinstance(f.dataType, NumericType | BooleanType | DateType | TimestampType | TimestampNTZType))
+    open_ended = [f.name for f in df.schema.fields if not isinstance(f.dataType, NumericType | BooleanType | DateType | TimestampType | TimestampNTZType)]
+    wide = F.lit(fixed)
+    for name in open_ended:
+        kind = df.schema[name].dataType
+        wide += F.coalesce(F.octet_length(name) if isinstance(kind, StringType | BinaryType) else 2 * F.octet_length(F.to_json(F.struct(name))), F.lit(0)) + 16
+    most = df.agg(F.sum(wide.cast("long"))).first()[0] or 0 if open_ended else fixed * rows if fixed * rows <= size else fixed * df.count()
+    return F.broadcast(df) if most <= size else df
+
+
+def slices(batch: pa.RecordBatch, column: int, most: int = 4_000_000):
+    """``batch`` in parts of about ``most`` bytes of the (string) column, one row at least; copies nothing."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 64
+    share = np.cumsum(sizes) // most
+    edges = [0, *(np.flatnonzero(np.diff(share)) + 1).tolist(), batch.num_rows]
+    for start, end in zip(edges, edges[1:], strict=False):
+        if end > start:
+            yield batch.slice(start, end - start)
+
+
+def free(df: DataFrame, *wanted: str) -> list[str]:
+    """Column names like ``wanted`` that ``df`` doesn't have (Spark compares names without regard to case)."""
+    taken = {c.lower() for c in df.columns}
+    return [next(n for n in (w, *(f"{w}_{i}" for i in range(len(taken) + 1))) if n.lower() not in taken) for w in wanted]
+
+
+def schema_of(df: DataFrame) -> str:
+    """The columns of ``df`` as DDL."""
+    return ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in df.schema.fields)
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -137,35 +173,52 @@ def _compared(rest: DataFrame, info: DataFrame, compare, block: int) -> DataFram
     return cell.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi").mapInArrow(cells, "a long, b long")
 
 
-def multi_buckets(keyed: DataFrame) -> DataFrame:
-    """From (id, keys) the rows (key, id, pivot, n) of keys with two rows or more; pivot is the key's smallest id, n its rows.
+def led(keys: list[np.ndarray]) -> tuple[pa.Array, pa.Array, pa.Array]:
+    """The keys of some rows as three lists a row: ``sole`` (no other of these rows has the key), ``lead`` (the first
+    of several that have it) and ``tail`` (the others)."""
+    key = np.concatenate(keys) if keys else np.empty(0, np.int64)
+    row = np.repeat(np.arange(len(keys)), [len(k) for k in keys])
+    order = np.argsort(key, kind="stable")
+    held = key[order]
+    new = np.concatenate([[True], held[1:] != held[:-1]]) if len(held) else np.empty(0, bool)
+    last = np.append(new[1:], True) if len(held) else new
+    out = []
+    for chosen in (new & last, new & ~last, ~new):
+        at = np.sort(order[chosen])
+        ends = np.cumsum(np.bincount(row[at], minlength=len(keys))) if len(keys) else []
+        out.append(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(key[at], pa.int64())))
+    return tuple(out)
 
-    Each batch of a task sends one row a key at most to the shuffle, and so a hot key no more than one a batch; the
-    other rows of that key in the batch are joined to the key's pivot afterwards. Keys of a single row go there.
-    """
 
-    def led(want: bool):
-        def run(batches):
-            for batch in batches:
-                lists = batch.column(1)
-                sizes = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
-                key = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-                name = np.repeat(batch.column(0).to_numpy(), sizes)
-                order = np.lexsort((name, key))
-                key, name = key[order], name[order]
-                starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.empty(0, np.int64)
-                more = np.diff(np.append(starts, len(key))) - 1
-                take = starts if want else np.setdiff1d(np.arange(len(key)), starts, assume_unique=True)
-                columns = [key[take], name[take], *([more] if want else [])]
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["key", "id", "more"][: len(columns)])
-
-        return keyed.select("id", "keys").mapInArrow(run, "key long, id long" + ", more long" * want)
+def flat(df: DataFrame, *lists: str) -> DataFrame:
+    """(key, id, more) of (id, lists of keys): ``more`` is 1 for keys of every list but the first."""
 
+    def run(batches):
+        for batch in batches:
+            for more, column in enumerate(batch.columns[1:]):
+                sizes = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+                key = column.flatten()
+                yield pa.RecordBatch.from_arrays([key, pa.array(np.repeat(batch.column(0).to_numpy(), sizes), pa.int64()), pa.array(np.full(len(key), min(more, 1)), pa.int64())], names=["key", "id", "more"])
+
+    return df.select("id", *lists).mapInArrow(run, "key long, id long, more long")
+
+
+def multi_buckets(made: DataFrame, names: DataFrame | None = None) -> DataFrame:
+    """From written rows (id, sole, lead, tail) as ``led`` makes them, the buckets (key, id, pivot, n) of at least two
+    ids: pivot is the smallest id of the key, n the number of its ids. ``names`` (id, name) renames ids first.
+
+    A key sends one row for every group of rows that ``led`` saw together to its task, and so a key that all rows have
+    no more than a row for some thousands of them. Which row that is stands in the table, so that a task that runs
+    again, or cut otherwise, finds the same. Repeats join no one: their key has a lead, and so is of several rows.
+    """
     by = W.partitionBy("key")
-    heads = led(True).withColumn("pivot", F.min("id").over(by)).withColumn("n", F.count("*").over(by) + F.sum("more").over(by))
-    heads = stage(heads.filter("n > 1").drop("more"))
-    tails = led(False).join(heads.select("key", "pivot", "n").distinct(), "key")
-    return heads.unionByName(tails.select("key", "id", "pivot", "n"))
+    heads = flat(made, "sole", "lead").withColumn("rows", F.count("*").over(by) + F.sum("more").over(by)).filter("rows > 1").select("key", "id")
+    every = stage(heads.unionByName(flat(made, "tail").select("key", "id")))
+    if names is not None:
+        every = every.join(names, "id").select("key", F.col("name").alias("id"))
+    every = stage(every.distinct())
+    sizes = every.groupBy("key").agg(F.min("id").alias("pivot"), F.count("*").alias("n")).filter("n > 1")
+    return every.join(stage(sizes), "key").select("key", "id", "pivot", "n")
 
 
 def numbered(df: DataFrame, by: list[str], order: list[str], name: str) -> DataFrame:
@@ -177,7 +230,8 @@ def numbered(df: DataFrame, by: list[str], order: list[str], name: str) -> DataF
     (key,) = by
     spark = df.sparkSession
     width = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
+    schema = schema_of(df)
+    part_, index_, start_, most_ = free(df, "_part", "_index", "_start", "_most")
 
     def local(batches):
         part, last, n = TaskContext.get().partitionId(), None, 0
@@ -190,11 +244,11 @@ def numbered(df: DataFrame, by: list[str], order: list[str], name: str) -> DataF
             if values[0] == last:
                 index[: starts[1] if len(starts) > 1 else len(values)] += n
             last, n = values[-1], int(index[-1]) + 1
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(len(values), part)), pa.array(index)], names=[*batch.schema.names, "_part", "_index"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(len(values), part)), pa.array(index)], names=[*batch.schema.names, part_, index_])
 
     dealt = df.repartitionByRange(width, *by, *order).sortWithinPartitions(*by, *order)
-    kept = stage(dealt.mapInArrow(local, f"{schema}, _part long, _index long"))
-    counts = kept.groupBy(key, "_part").agg(F.max("_index").alias("_most"))
-    before = W.partitionBy(key).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
-    starts = counts.select(key, "_part", F.coalesce(F.sum(F.col("_most") + 1).over(before), F.lit(0)).alias("_start"))
-    return kept.join(small_side(stage(starts)), [key, "_part"]).withColumn(name, F.col("_start") + F.col("_index")).drop("_part", "_index", "_start")
+    kept = stage(dealt.mapInArrow(local, f"{schema}, {part_} long, {index_} long"))
+    counts = kept.groupBy(key, part_).agg(F.max(index_).alias(most_))
+    before = W.partitionBy(key).orderBy(part_).rowsBetween(W.unboundedPreceding, -1)
+    starts = counts.select(key, part_, F.coalesce(F.sum(F.col(most_) + 1).over(before), F.lit(0)).alias(start_))
+    return kept.join(small_side(stage(starts)), [key, part_]).withColumn(name, F.col(start_) + F.col(index_)).drop(part_, index_, start_)

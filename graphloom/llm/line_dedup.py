@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import link_buckets, multi_buckets, small_side, stage, table
+from graphloom.llm.common import free, led, link_buckets, multi_buckets, slices, small_side, stage, table
 
 
 def segments(length: int, t: int) -> list[tuple[int, int]]:
@@ -90,64 +90,80 @@ def marks(line: str) -> tuple[int, int]:
     return int(np.bitwise_xor.reduce(one << (wide & np.uint64(63)))), int(np.bitwise_xor.reduce(one << pairs))
 
 
-def lines_of(docs: DataFrame, edits: int, min_chars: int) -> DataFrame:
-    """(doc_id, line_no, id, keys) of the lines that are not blank; keys are null for lines of up to ``edits``
-    characters, and for lines that the same task met a little before."""
+def name_of(line: str) -> int:
+    """The 64-bit hash that names a line, the same as Spark's xxhash64 of it."""
+    return xxhash.xxh64_intdigest(line.encode("utf-8", "surrogatepass"), 42)
+
+
+def lines_of(docs: DataFrame, edits: int, min_chars: int, most: int = 400_000) -> DataFrame:
+    """(doc_id, line_no, row, id, sole, lead, tail) of the lines that are not blank, of rows (doc_id, text, row).
+
+    There are no keys for lines of up to ``edits`` characters, nor for lines that the same task met a little before;
+    the others of about ``most`` at a time are told apart.
+    """
 
     def run(batches):
         probes = Probes(edits)
         seen: set[int] = set()
+        places: tuple[list, ...] = ([], [], [], [])
+        keys: list[np.ndarray] = []
+        none, total = np.empty(0, np.int64), 0
+
+        def flush():
+            kinds = (pa.int64(), pa.int32(), pa.int64())
+            columns = [pa.array(c, k) for c, k in zip(places, kinds, strict=False)]
+            made = pa.RecordBatch.from_arrays([*columns, pa.array(np.array(places[3], np.uint64).view(np.int64)), *led(keys)], names=["doc_id", "line_no", "row", "id", "sole", "lead", "tail"])
+            for held in (*places, keys):
+                held.clear()
+            return made
+
         for batch in batches:
-            for start in range(0, batch.num_rows, 128):
-                part = batch.slice(start, 128)
-                out: tuple[list, ...] = ([], [], [], [])
-                for doc_id, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                    for line_no, raw in enumerate((text or "").split("\n")):
+            for part in slices(batch, 1):
+                for doc_id, text, row in zip(part.column(0).to_pylist(), part.column(1), part.column(2).to_pylist(), strict=True):
+                    for line_no, raw in enumerate((text.as_py() or "").split("\n")):
                         line = trimmed(raw)
                         if len(line) < min_chars or not line.strip():
                             continue
-                        name = xxhash.xxh3_64_intdigest(line.encode("utf-8", "surrogatepass"))
-                        keys = None
+                        name = name_of(line)
+                        found = none
                         if len(line) > edits and name not in seen:
-                            if len(seen) > 500_000:
+                            if len(seen) > 200_000:
                                 seen.clear()
                             seen.add(name)
                             wide = line.encode("utf-32-le", "surrogatepass")
-                            keys = np.array([xxhash.xxh3_64_intdigest(wide[4 * a : 4 * b], n * 8 + k) for n, k, a, b in probes[len(line)]], np.uint64).view(np.int64)
-                        for column, value in zip(out, (doc_id, line_no, name, keys), strict=True):
+                            found = np.array([xxhash.xxh3_64_intdigest(wide[4 * a : 4 * b], n * 8 + k) for n, k, a, b in probes[len(line)]], np.uint64).view(np.int64)
+                        keys.append(found)
+                        total += len(found) + 1
+                        for column, value in zip(places, (doc_id, line_no, row, name), strict=True):
                             column.append(value)
-                kinds = (pa.int64(), pa.int32(), None, pa.list_(pa.int64()))
-                names = np.array(out[2], np.uint64).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(names) if k is None else pa.array(x, k) for x, k in zip(out, kinds, strict=True)], names=["doc_id", "line_no", "id", "keys"])
+                    if total > most:
+                        total = 0
+                        yield flush()
+        if keys:
+            yield flush()
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, line_no int, id long, keys array<long>")
+    lists = ", ".join(f"{x} array<long>" for x in ("sole", "lead", "tail"))
+    return docs.select(F.col("doc_id").cast("long"), "text", "row").mapInArrow(run, f"doc_id long, line_no int, row long, id long, {lists}")
 
 
 def trimmed(raw: str) -> str:
     return raw.strip(" \t\r")
 
 
-def line_classes(docs: DataFrame, edits: int = 2, min_chars: int = 1) -> DataFrame:
-    """One row per line of at least ``min_chars`` characters that isn't blank: doc_id, line_no, class_id, class_lines
-    (number of lines of the class), kept (true for the first line of the class by doc_id and line_no).
-
-    Lines are equal if the trimmed texts are; lines of more than ``edits`` characters also link within ``edits``
-    edits (code points). A class is what links reach. class_id is a hash of one of its lines (64 bits: two different lines among 100
-    million fall together with a chance of 0.0003). Null and empty texts have no lines; rows with a null doc_id are
-    left out; repeated rows count as lines of their own, of which one is kept in any order. An empty table gives an
-    empty result.
-    """
+def classed(docs: DataFrame, edits: int, min_chars: int) -> DataFrame:
+    """doc_id, line_no, id, class_id, class_lines, kept, placed: as ``line_classes``, with the line's hash, and with
+    whether the kept line of the class stands at the same doc_id and line_no."""
     docs = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long"), "text")
-    made = stage(lines_of(docs, edits, min_chars))
+    made = stage(lines_of(docs.withColumn("row", F.monotonically_increasing_id()), edits, min_chars))
     lines = made.select("doc_id", "line_no", "id")
 
     def texts(ids: DataFrame) -> DataFrame:
-        """(id, line), each line read from the first document that has it."""
+        """(id, line), each line read from the first document that has it; the hash tells rows of one doc_id apart."""
         where = lines.join(small_side(stage(ids)), "id", "left_semi").groupBy("id").agg(F.min(F.struct("doc_id", "line_no")).alias("at"))
         places = stage(where.select("id", "at.doc_id", "at.line_no"))
         found = docs.join(small_side(places), "doc_id")
-        line = F.element_at(F.split("text", "\n", -1), F.col("line_no") + 1)
-        return found.select("id", F.trim(line, F.lit(" \t\r")).alias("line")).dropDuplicates(["id"])
+        line = F.trim(F.try_element_at(F.split("text", "\n", -1), F.col("line_no") + 1), F.lit(" \t\r"))
+        return found.select("id", line.alias("line")).filter(F.xxhash64("line") == F.col("id")).dropDuplicates(["id"])
 
     def near(batches):
         for batch in batches:
@@ -172,40 +188,60 @@ def line_classes(docs: DataFrame, edits: int = 2, min_chars: int = 1) -> DataFra
     def info(ids: DataFrame) -> DataFrame:
         return texts(ids).select("id", F.char_length("line").cast("long").alias("size"), F.col("line").cast("binary").alias("sketch"))
 
-    members = stage(multi_buckets(made.filter("keys is not null").select("id", "keys")).distinct())
+    members = stage(multi_buckets(made.select("id", "sole", "lead", "tail")))
     labels = link_buckets(members, info, verify, compare)
-    rows = stage(lines.join(small_side(labels), "id", "left").select("doc_id", "line_no", F.coalesce("label", "id").alias("class_id")))
-    first = rows.groupBy("class_id").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.count("*").alias("class_lines"))
-    kept = (F.col("class_lines") == 1) | (F.struct("doc_id", "line_no") == F.col("first"))
-    return rows.join(first, "class_id").select("doc_id", "line_no", "class_id", "class_lines", kept.alias("kept"))
+    rows = stage(made.select("doc_id", "line_no", "row", "id").join(small_side(labels), "id", "left").withColumn("class_id", F.coalesce("label", "id")).drop("label"))
+    several = stage(rows.groupBy("class_id").agg(F.count("*").alias("class_lines")).filter("class_lines > 1"))
+    place = F.struct("doc_id", "line_no", "row")
+    first = rows.join(small_side(several), "class_id").groupBy("class_id").agg(F.min(place).alias("first"), F.max("class_lines").alias("class_lines"))
+    first = stage(first.select("class_id", "class_lines", *(F.col(f"first.{x}").alias(f"first_{x}") for x in ("doc_id", "line_no", "row"))))
+    alone = F.col("first_doc_id").isNull()
+    here = alone | (F.col("doc_id") == F.col("first_doc_id")) & (F.col("line_no") == F.col("first_line_no"))
+    each = rows.join(small_side(first), "class_id", "left")
+    return each.select("doc_id", "line_no", "id", "class_id", F.coalesce("class_lines", F.lit(1)).cast("long").alias("class_lines"), (alone | here & (F.col("row") == F.col("first_row"))).alias("kept"), here.alias("placed"))
+
+
+def line_classes(docs: DataFrame, edits: int = 2, min_chars: int = 1) -> DataFrame:
+    """One row per line of at least ``min_chars`` characters that isn't blank: doc_id, line_no, class_id, class_lines
+    (number of lines of the class), kept (true for one line of the class, the first by doc_id and line_no).
+
+    Lines are equal if the trimmed texts are; lines of more than ``edits`` characters also link within ``edits``
+    edits (code points). A class is what links reach. class_id is a hash of one of its lines (64 bits: two different lines among 100
+    million fall together with a chance of 0.0003). Null and empty texts have no lines; rows with a null doc_id are
+    left out; repeated rows count as lines of their own, of which one is kept. An empty table gives an
+    empty result. Other columns are ignored.
+    """
+    return classed(docs, edits, min_chars).select("doc_id", "line_no", "class_id", "class_lines", "kept")
 
 
-def drop_duplicate_lines(docs: DataFrame, min_chars: int = 16, **kinds) -> DataFrame:
+def drop_duplicate_lines(docs: DataFrame, edits: int = 2, min_chars: int = 16) -> DataFrame:
     """``docs`` with only the first line of each class of duplicates; other lines and columns stay, n_chars follows.
 
     Lines under ``min_chars`` characters (list marks, brackets, one-word answers) repeat without being copies and stay.
-    Documents that lose all they say (nothing but white space is left) are duplicates themselves and go.
+    Documents that lose all they say (nothing but white space is left) are duplicates themselves and go. Rows without a
+    doc_id or text stay as they are. Whole rows that repeat, doc_id included, can't be told apart and keep the same
+    lines; of lines at the same place of different rows that share a doc_id only the copies go.
     """
-    drops = line_classes(docs, min_chars=min_chars, **kinds).filter("not kept").groupBy("doc_id").agg(F.collect_set("line_no").alias("_drops"))
-    drops = stage(drops)
-    touched = docs.join(small_side(drops, 200_000), "doc_id")
+    gone, = free(docs, "_drops")
+    drops = stage(classed(docs, edits, min_chars).filter("not placed").groupBy("doc_id").agg(F.collect_set(F.struct("line_no", "id")).alias(gone)))
+    joined = docs.join(small_side(drops), "doc_id", "left").select(*docs.columns, gone)
+    names, at = docs.columns, docs.columns.index("text")
 
     def cut(batches):
         for batch in batches:
-            texts = []
-            for text, gone in zip(batch.column(at).to_pylist(), batch.column(len(names)).to_pylist(), strict=True):
-                gone = set(gone)
-                texts.append("\n".join(x for i, x in enumerate(text.split("\n")) if i not in gone))
-            columns = [pa.array(texts, pa.string()) if i == at else batch.column(i) for i in range(len(names))]
-            yield pa.RecordBatch.from_arrays(columns, names=names)
-
-    names = docs.columns
-    at = names.index("text")
-    shorter = touched.select(*names, "_drops").mapInArrow(cut, docs.schema).filter(F.trim(F.regexp_replace("text", r"\s+", " ")) != "")
+            for part in slices(batch, at):
+                texts = []
+                for text, drop in zip(part.column(at).to_pylist(), part.column(len(names)).to_pylist(), strict=True):
+                    out = {(d["line_no"], d["id"] & 0xFFFFFFFFFFFFFFFF) for d in drop}
+                    at_all = {line_no for line_no, _ in out}
+                    texts.append("\n".join(x for i, x in enumerate(text.split("\n")) if i not in at_all or (i, name_of(trimmed(x))) not in out))
+                columns = [pa.array(texts, pa.string()) if i == at else part.column(i) for i in range(len(names))]
+                yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    shorter = joined.filter(F.col(gone).isNotNull() & F.col("text").isNotNull()).mapInArrow(cut, docs.schema).filter(F.trim(F.regexp_replace("text", r"\s+", " ")) != "")
     if "n_chars" in names:
         shorter = shorter.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
-    whole = docs.join(small_side(drops.select("doc_id")), "doc_id", "left_anti").select(names)
-    return whole.unionByName(shorter)
+    return joined.filter(F.col(gone).isNull() | F.col("text").isNull()).select(names).unionByName(shorter)
 
 
 def op4_line_dedup(spark, sf_dir: str) -> DataFrame:

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import link_buckets, multi_buckets, small_side, stage, table
+from graphloom.llm.common import led, link_buckets, multi_buckets, slices, small_side, stage, table
 
 U = np.uint64
 
@@ -37,7 +37,7 @@ class Words(dict):
     """Word to 64-bit hash; forgets everything at a bounded size."""
 
     def __missing__(self, w: bytes) -> int:
-        if len(self) > 300_000:
+        if len(self) > 150_000:
             self.clear()
         self[w] = h = xxhash.xxh3_64_intdigest(w)
         return h
@@ -106,28 +106,39 @@ def folded(found: np.ndarray) -> bytes:
     return np.packbits((counts & 1).astype(np.uint8)).tobytes()
 
 
-def features(docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """(doc_id, n, h1, h2, sketch, keys) for each row of (doc_id, text)."""
+def features(docs: DataFrame, width: int, percent: int, most: int = 1_000_000) -> DataFrame:
+    """(doc_id, n, h1, h2, sketch, sole, lead, tail) for each row of (doc_id, text); the keys of about ``most`` at a time
+    are told apart, and copies of a set among them have none."""
 
     def run(batches):
-        words = Words()
+        words, rows, keys, seen, total = Words(), [], [], set(), 0
+
+        def flush():
+            doc_id, n, h1, h2, sketch = zip(*rows, strict=True)
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+            columns = [pa.array(c, k) for c, k in zip((doc_id, n, h1, h2, sketch), kinds, strict=True)]
+            made = pa.RecordBatch.from_arrays([*columns, *led(keys)], names=["doc_id", "n", "h1", "h2", "sketch", "sole", "lead", "tail"])
+            rows.clear(), keys.clear(), seen.clear()
+            return made
+
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                sets = [shingles(t, width, words) for t in part.column(1).to_pylist()]
-                keys = [band_keys(s, percent) for s in sets]
-                with np.errstate(over="ignore"):
-                    sums = [[int(mix(s, salt).sum(dtype=U).view(np.int64)) for s in sets] for salt in (101, 202)]
-                offsets = np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(sums[0], pa.int64()), pa.array(sums[1], pa.int64()),
-                        pa.array([folded(s) for s in sets], pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(keys) if keys else np.empty(0, np.int64))),
-                    ],
-                    names=["doc_id", "n", "h1", "h2", "sketch", "keys"],
-                )
-
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n long, h1 long, h2 long, sketch binary, keys array<long>")
+            for part in slices(batch, 1):
+                for doc_id, text in zip(part.column(0).to_pylist(), part.column(1), strict=True):
+                    found = shingles(text.as_py(), width, words)
+                    with np.errstate(over="ignore"):
+                        name = (len(found), *(int(mix(found, salt).sum(dtype=U).view(np.int64)) for salt in (101, 202)))
+                    rows.append((doc_id, *name, folded(found)))
+                    keys.append(np.empty(0, np.int64) if name in seen else band_keys(found, percent))
+                    seen.add(name)
+                    total += len(keys[-1])
+                    if total > most or len(rows) >= 8192:
+                        total = 0
+                        yield flush()
+        if rows:
+            yield flush()
+
+    lists = ", ".join(f"{x} array<long>" for x in ("sole", "lead", "tail"))
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, f"doc_id long, n long, h1 long, h2 long, sketch binary, {lists}")
 
 
 def most_apart(n, m, percent: int):
@@ -193,31 +204,59 @@ def near(percent: int):
 
 
 def jaccard_classes(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id (the smallest doc_id reachable by links).
+    """One row per row of ``docs``: doc_id, n_shingles, component_id (the smallest doc_id reachable by links).
 
-    ``docs`` has doc_id (unique) and text; other columns are ignored. Words are runs without ASCII white space, A-Z
+    ``docs`` has doc_id and text; other columns are ignored. Words are runs without ASCII white space, A-Z
     lower-cased, of the whole text. Two documents link when 100 * |intersection| >= percent * |union| of their sets of
     ``width``-word shingles (all words as one shingle if there are fewer). Null or wordless texts have no shingle, link
-    with nothing and are their own component. Rows with a null doc_id are left out. Exact copies of a set share one
-    representative, so copies are never expanded into pairs. An empty table gives an empty result.
+    with nothing and are their own component. Rows with a null doc_id are left out; rows that share a doc_id are each
+    reported, and a link of one counts for the component of that doc_id's set of shingles. Exact copies of a set share
+    one representative, so copies are never expanded into pairs. An empty table gives an empty result.
     """
     made = stage(features(docs.filter("doc_id is not null"), width, percent))
     sets = made.select("doc_id", "n", "h1", "h2")
     firsts = stage(sets.filter("n > 0").groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("id")))
-    keys = made.select(F.col("doc_id").alias("id"), "keys").join(small_side(firsts.select("id")), "id", "left_semi")
+    names = sets.join(firsts, ["n", "h1", "h2"]).select(F.col("doc_id").alias("id"), F.col("id").alias("name")).distinct()
     sketches = made.select(F.col("doc_id").alias("id"), F.col("n").alias("size"), "sketch")
-    labels = link_buckets(stage(multi_buckets(keys)), lambda ids: sketches, verified(docs, made.select("doc_id", "n", "sketch"), width, percent), near(percent))
+    members = stage(multi_buckets(made.select(F.col("doc_id").alias("id"), "sole", "lead", "tail"), names))
+    labels = link_buckets(members, lambda ids: sketches, verified(docs, made.select("doc_id", "n", "sketch"), width, percent), near(percent))
     named = firsts.join(labels, "id", "left").select("n", "h1", "h2", F.coalesce("label", "id").alias("component_id"))
     return sets.join(named, ["n", "h1", "h2"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def keep_one(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """``docs`` with only the document of smallest doc_id of each component; columns as they were."""
-    kept = jaccard_classes(docs, width, percent).filter("component_id = doc_id").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi").select(docs.columns)
+    """``docs`` with only the document of smallest doc_id of each component; columns as they were.
+
+    Of rows that share a doc_id any one stays. Rows without a doc_id aren't compared and stay. Texts aren't shuffled
+    while the ids of what goes are few enough to broadcast.
+    """
+    classes = stage(jaccard_classes(docs, width, percent))
+    gone = stage(classes.filter("component_id <> doc_id").select("doc_id").distinct())
+    again = stage(classes.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id"))
+    left = docs.join(small_side(gone), "doc_id", "left_anti").select(docs.columns)
+    if again.isEmpty():
+        return left
+    once = left.join(small_side(again), "doc_id", "left_anti").select(docs.columns)
+    return once.unionByName(left.join(small_side(again), "doc_id", "left_semi").select(docs.columns).dropDuplicates(["doc_id"]))
 
 
 def op1_ngram_jaccard(spark, sf_dir: str) -> DataFrame:
     """Components of ``documents`` at 90 percent of 3-word shingles."""
     return jaccard_classes(table(spark, sf_dir, "documents"), width=3, percent=90)
 
+
+OP1_SQL = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), x -> x <> '') AS w
+  FROM documents WHERE doc_id IS NOT NULL
+), sets AS (
+  SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN []::VARCHAR[] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - 1), i -> w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) END) AS s FROM words
+), each AS (SELECT doc_id, len(s) AS n, unnest(s) AS x FROM sets),
+pairs AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS both, any_value(a.n) AS n, any_value(b.n) AS m FROM each a JOIN each b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY 1, 2
+), links AS (SELECT a, b FROM pairs WHERE 100 * both >= 90 * (n + m - both)),
+both_ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (SELECT doc_id AS id, doc_id AS other FROM sets UNION SELECT id, b FROM reach JOIN both_ways ON other = a)
+SELECT doc_id, len(s)::BIGINT AS n_shingles, component_id FROM sets JOIN (SELECT id, min(other) AS component_id FROM reach GROUP BY id) ON id = doc_id
+"""

@@ -6,7 +6,7 @@ from graphloom.llm.audio_fingerprint import op3_audio_fingerprint
 from graphloom.llm.chat_format import OP5_SQL, op5_chat_format
 from graphloom.llm.decontaminate import op9_decontamination
 from graphloom.llm.line_dedup import op4_line_dedup
-from graphloom.llm.ngram_jaccard import op1_ngram_jaccard
+from graphloom.llm.ngram_jaccard import OP1_SQL, op1_ngram_jaccard
 from graphloom.llm.packing import op10_packing
 from graphloom.llm.secret_scan import op7_secret_scan
 from graphloom.llm.sharding import op8_sharding
@@ -15,4 +15,4 @@ from graphloom.llm.url_filter import op6_url_filter
 
 QUERIES = {f.__name__: f for f in (op1_ngram_jaccard, op2_toxicity, op3_audio_fingerprint, op4_line_dedup, op5_chat_format, op6_url_filter, op7_secret_scan, op8_sharding, op9_decontamination, op10_packing)}
 
-ORACLE_SQL: dict[str, str] = {"op5_chat_format": OP5_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_ngram_jaccard": OP1_SQL, "op5_chat_format": OP5_SQL}
