@@ -254,8 +254,8 @@ WITH RECURSIVE words AS (
     ELSE list_transform(range(1, len(w) - 1), i -> w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) END) AS s FROM words
 ), each AS (SELECT doc_id, len(s) AS n, unnest(s) AS x FROM sets),
 pairs AS (
-  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS both, any_value(a.n) AS n, any_value(b.n) AS m FROM each a JOIN each b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY 1, 2
-), links AS (SELECT a, b FROM pairs WHERE 100 * both >= 90 * (n + m - both)),
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared, any_value(a.n) AS n, any_value(b.n) AS m FROM each a JOIN each b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY 1, 2
+), links AS (SELECT a, b FROM pairs WHERE 100 * shared >= 90 * (n + m - shared)),
 both_ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
 reach AS (SELECT doc_id AS id, doc_id AS other FROM sets UNION SELECT id, b FROM reach JOIN both_ways ON other = a)
 SELECT doc_id, len(s)::BIGINT AS n_shingles, component_id FROM sets JOIN (SELECT id, min(other) AS component_id FROM reach GROUP BY id) ON id = doc_id
