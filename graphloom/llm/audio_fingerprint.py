@@ -2,7 +2,8 @@
 
 A recording's spectrum is folded to twelve pitch classes per frame. Sixteen filters, rectangles of an integral image
 over the frames, give two bits each, packed to one 32-bit integer a frame. Recordings are aligned by the histogram of
-offsets at which pairs of successive integers agree, and judged by the bit errors at the best offset.
+offsets at which integers agree, and judged by the bit errors at every offset with more than one such vote. A query is
+read at four starts within a frame's step, so that it meets a recording that begins anywhere.
 
 The tables hold no sound, so the query renders each embedding to a recording: one note a dimension.
 """
@@ -19,6 +20,8 @@ from pyspark.sql import functions as F
 from graphloom.llm.common import stage, table
 
 RATE, FRAME, HOP = 5512, 2048, 1024
+#: Starts of a query within a step, in samples; and the loudness (of 32,767) under which a frame is silent.
+STARTS, SILENCE = (0, 256, 512, 768), 8.0
 #: Cuts between the two-bit levels of a filter's log ratio; neighbouring levels differ in one bit.
 CUTS, GRAY = (-0.12, 0.0, 0.12), np.array([0, 1, 3, 2], np.uint64)
 NOTE_SECONDS = 0.2
@@ -35,18 +38,18 @@ def pitches() -> tuple[np.ndarray, np.ndarray]:
     return use, fold
 
 
-def chroma(pcm: np.ndarray) -> np.ndarray:
-    """Frames by 12 pitch classes, smoothed over time and scaled to unit sum."""
-    n = (len(pcm) - FRAME) // HOP + 1
-    if n < 1:
-        return np.empty((0, 12))
-    frames = np.lib.stride_tricks.sliding_window_view(pcm.astype(np.float32), FRAME)[::HOP] * np.hanning(FRAME).astype(np.float32)
-    power = np.abs(np.fft.rfft(frames, axis=1)) ** 2
+def chroma(pcm: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """From recordings of one length (a row each) their frames by 12 pitch classes, smoothed over time and scaled to
+    unit sum, and which frames are silent."""
+    window = np.hanning(FRAME).astype(np.float32)
+    wave = np.fft.rfft(np.lib.stride_tricks.sliding_window_view(pcm, FRAME, axis=1)[:, ::HOP] * window, axis=2)
+    power = wave.real**2 + wave.imag**2
+    silent = power.sum(axis=2) < SILENCE**2 * FRAME / 2 * float((window**2).sum())
     use, fold = pitches()
-    image = power[:, use] @ fold
-    padded = np.pad(image, ((1, 1), (0, 0)), mode="edge")
-    image = padded[:-2] * 0.5 + padded[1:-1] + padded[2:] * 0.5
-    return image / np.maximum(image.sum(axis=1, keepdims=True), 1e-9)
+    image = (power[:, :, use] @ fold.astype(np.float32)).astype(float)
+    padded = np.pad(image, ((0, 0), (1, 1), (0, 0)), mode="edge")
+    image = padded[:, :-2] * 0.5 + padded[:, 1:-1] + padded[:, 2:] * 0.5
+    return image / np.maximum(image.sum(axis=2, keepdims=True), 1e-9), silent
 
 
 def filters() -> list[tuple[int, int, int, int]]:
@@ -55,22 +58,23 @@ def filters() -> list[tuple[int, int, int, int]]:
 
 
 def fingerprint(pcm: np.ndarray) -> np.ndarray:
-    """One 32-bit integer a frame; none if the recording is shorter than the widest filter."""
-    image = chroma(pcm)
+    """One 32-bit integer a frame for recordings of one length (a row each), -1 where all frames below a filter are
+    silent; none if the recordings are shorter than the widest filter."""
     bank = filters()
     wide = max(b[3] for b in bank)
-    n = len(image) - wide + 1
+    n = (pcm.shape[1] - FRAME) // HOP + 2 - wide
     if n < 1:
-        return np.empty(0, np.uint64)
+        return np.empty((len(pcm), 0), np.int64)
+    image, silent = chroma(pcm)
     # pitch wraps around, so the image is laid twice side by side
-    total = np.zeros((len(image) + 1, 25))
-    total[1:, 1:] = np.cumsum(np.cumsum(np.hstack([image, image]), axis=0), axis=1)
+    total = np.zeros((len(pcm), image.shape[1] + 1, 25))
+    total[:, 1:, 1:] = np.cumsum(np.cumsum(np.concatenate([image, image], axis=2), axis=1), axis=2)
     at = np.arange(n)
 
     def box(t0: int, t1: int, p0: int, p1: int) -> np.ndarray:
-        return total[at + t1, p1] - total[at + t0, p1] - total[at + t1, p0] + total[at + t0, p0]
+        return total[:, at + t1, p1] - total[:, at + t0, p1] - total[:, at + t1, p0] + total[:, at + t0, p0]
 
-    out = np.zeros(n, np.uint64)
+    out = np.zeros((len(pcm), n), np.uint64)
     for i, (kind, p, h, w) in enumerate(bank):
         ph, wh = p + h // 2, w // 2
         whole = box(0, w, p, p + h)
@@ -84,7 +88,8 @@ def fingerprint(pcm: np.ndarray) -> np.ndarray:
             part = box(w // 4, w - w // 4, p, p + h)
         level = np.digitize(np.log((part + 0.01) / (whole - part + 0.01)), CUTS)
         out |= GRAY[level] << np.uint64(2 * i)
-    return out
+    quiet = np.lib.stride_tricks.sliding_window_view(silent, wide, axis=1).all(axis=2)
+    return np.where(quiet, -1, out.astype(np.int64))
 
 
 @lru_cache(maxsize=1)
@@ -103,67 +108,85 @@ def render(vector: list[float] | None) -> np.ndarray:
     return np.round(wave.ravel() * 9000).astype(np.int16)
 
 
-def render_vectors(vectors: DataFrame) -> DataFrame:
-    """(rec_id, pcm): 16-bit mono recordings of (vec_id, embedding)."""
-
-    def run(batches):
-        for batch in batches:
-            for start in range(0, batch.num_rows, 32):
-                part = batch.slice(start, 32)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([render(v).tobytes() for v in part.column(1).to_pylist()], pa.binary())], names=["rec_id", "pcm"])
-
-    return vectors.select(F.col("vec_id").cast("long"), "embedding").mapInArrow(run, "rec_id long, pcm binary")
+def sound_of(raw: bytes | None) -> np.ndarray:
+    """16-bit mono samples, little-endian; a last odd byte says nothing."""
+    return np.frombuffer((raw or b"")[: len(raw or b"") // 2 * 2], "<i2")
 
 
-def fingerprints(recordings: DataFrame) -> DataFrame:
-    """(rec_id, codes) of (rec_id, pcm); null or short recordings have no codes."""
+def fingerprints(recordings: DataFrame, read=sound_of, every: int = 100) -> DataFrame:
+    """(rec_id, codes, starts) of (rec_id, sound), ``read`` giving the samples of a sound; recordings that are null,
+    short or silent have no codes. ``starts`` has the codes from each of STARTS, for rec_ids divisible by ``every``."""
 
     def run(batches):
         for batch in batches:
-            codes = [fingerprint(np.frombuffer((x or b"")[: len(x or b"") // 2 * 2], "<i2")).astype(np.int64) for x in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(codes, pa.list_(pa.int64()))], names=["rec_id", "codes"])
-
-    return recordings.mapInArrow(run, "rec_id long, codes array<long>")
-
-
-def bit_errors(a: str, b: str, offset: str, overlap: str):
-    """Differing bits of two code arrays where b starts ``offset`` frames before a."""
+            for first in range(0, batch.num_rows, 16):
+                ids = batch.column(0).slice(first, 16).to_pylist()
+                sounds = [read(x) for x in batch.column(1).slice(first, 16).to_pylist()]
+                codes: list = [[] for _ in ids]
+                starts: list = [None] * len(ids)
+                by_length: dict[int, list[int]] = {}
+                for i, x in enumerate(sounds):
+                    by_length.setdefault(len(x), []).append(i)
+                for length, rows in by_length.items():
+                    if length < FRAME:
+                        continue
+                    for i, found in zip(rows, fingerprint(np.stack([sounds[i] for i in rows])), strict=True):
+                        codes[i] = found if (found >= 0).any() else []
+                    asked = [i for i in rows if ids[i] % every == 0 and len(codes[i])]
+                    if asked:
+                        held = np.stack([sounds[i] for i in asked])
+                        for i, *found in zip(asked, *(fingerprint(held[:, s:]) for s in STARTS), strict=True):
+                            starts[i] = found
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(codes, pa.list_(pa.int64())), pa.array(starts, pa.list_(pa.list_(pa.int64())))], names=["rec_id", "codes", "starts"])
+
+    return recordings.select(F.col("rec_id").cast("long"), "sound").mapInArrow(run, "rec_id long, codes array<long>, starts array<array<long>>")
+
+
+def heard(a: str, b: str, offset: str):
+    """The differing bits of each two codes of a and b that meet where b starts ``offset`` frames before a; silence left out."""
     first_a, first_b = F.greatest(F.col(offset), F.lit(0)), F.greatest(-F.col(offset), F.lit(0))
-    pairs = F.zip_with(F.slice(a, first_a + 1, F.col(overlap)), F.slice(b, first_b + 1, F.col(overlap)), lambda x, y: F.bit_count(x.bitwiseXOR(y)).cast("long"))
-    return F.aggregate(pairs, F.lit(0).cast("long"), lambda s, x: s + x)
+    most = F.greatest(F.least(F.size(a) - first_a, F.size(b) - first_b), F.lit(0))
+    pairs = F.zip_with(F.slice(a, first_a + 1, most), F.slice(b, first_b + 1, most), lambda x, y: F.when((x >= 0) & (y >= 0), F.bit_count(x.bitwiseXOR(y)).cast("long")))
+    return F.filter(pairs, lambda x: x.isNotNull())
 
 
 def align(queries: DataFrame, prints: DataFrame, max_error: float = 0.15, min_overlap: int = 20) -> DataFrame:
-    """(query_id, rec_id, offset, votes, overlap, errors): recordings that hold the sound of a query.
+    """(query_id, rec_id, offset, start, votes, overlap, errors): recordings that hold the sound of a query.
 
-    Both sides have (rec_id, codes). Candidates share two successive codes; the offset with most such pairs is taken, at
-    ties the one nearest 0. A match has at most ``max_error`` of the bits of an overlap of at least ``min_overlap``.
+    ``queries`` has (rec_id, starts), ``prints`` (rec_id, codes). Codes vote where they begin (a code that lasts votes
+    once). Every offset of a start with two votes or more is judged: a match has at most ``max_error`` of the bits of an overlap of at least
+    ``min_overlap`` codes, or of all codes of the shorter recording. The offset of fewest errors is given, at ties the one of
+    most votes, then the one nearest 0. A recording that is one held sound has one vote, and so matches only its copies.
     """
 
-    def pairs(df: DataFrame, name: str, pos: str) -> DataFrame:
-        keys = F.zip_with(F.slice("codes", 1, F.greatest(F.size("codes") - 1, F.lit(0))), F.slice("codes", 2, F.greatest(F.size("codes") - 1, F.lit(0))), lambda x, y: F.xxhash64(x, y))
-        return df.select(F.col("rec_id").alias(name), F.posexplode_outer(keys).alias(pos, "key")).filter("key is not null")
+    def begun(codes):
+        return F.filter(F.transform(codes, lambda x, i: F.struct(i.alias("pos"), F.when((i == 0) | (x != F.element_at(codes, F.greatest(i, F.lit(1)))), x).alias("key"))), lambda x: x["key"] >= 0)
 
-    votes = pairs(queries, "query_id", "q").join(pairs(prints, "rec_id", "r"), "key").filter("query_id <> rec_id").groupBy("query_id", "rec_id", (F.col("q") - F.col("r")).alias("offset")).agg(F.count("*").alias("votes"))
-    best = votes.groupBy("query_id", "rec_id").agg(F.max(F.struct("votes", (-F.abs("offset")).alias("near"), "offset")).alias("b")).select("query_id", "rec_id", "b.offset", "b.votes")
-    both = best.join(queries.select(F.col("rec_id").alias("query_id"), F.col("codes").alias("qc")), "query_id").join(prints.select("rec_id", F.col("codes").alias("rc")), "rec_id")
-    overlap = F.least(F.size("qc") - F.greatest(F.col("offset"), F.lit(0)), F.size("rc") - F.greatest(-F.col("offset"), F.lit(0)))
-    held = both.withColumn("overlap", overlap).filter(F.col("overlap") >= min_overlap).withColumn("errors", bit_errors("qc", "rc", "offset", "overlap"))
-    return held.filter(F.col("errors") <= F.col("overlap") * 32 * max_error).select("query_id", "rec_id", "offset", "votes", "overlap", "errors")
+    asked = queries.select(F.col("rec_id").alias("query_id"), F.posexplode("starts").alias("start", "qc"))
+    left = asked.select("query_id", "start", F.explode(begun("qc")).alias("q")).select("query_id", "start", F.col("q.pos").alias("q"), "q.key")
+    right = prints.select("rec_id", F.explode(begun("codes")).alias("r")).select("rec_id", F.col("r.pos").alias("r"), "r.key")
+    votes = left.join(right, "key").filter("query_id <> rec_id").groupBy("query_id", "rec_id", "start", (F.col("q") - F.col("r")).alias("offset")).agg(F.count("*").alias("votes")).filter("votes > 1")
+    both = votes.join(asked, ["query_id", "start"]).join(prints.select("rec_id", F.col("codes").alias("rc")), "rec_id")
+    told = both.withColumn("heard", heard("qc", "rc", "offset")).withColumn("overlap", F.size("heard")).withColumn("errors", F.aggregate("heard", F.lit(0).cast("long"), lambda s, x: s + x))
+    enough = F.least(F.lit(min_overlap), F.size(F.filter("qc", lambda x: x >= 0)), F.size(F.filter("rc", lambda x: x >= 0)))
+    held = told.filter((F.col("overlap") > 0) & (F.col("overlap") >= enough) & (F.col("errors") <= F.col("overlap") * 32 * max_error))
+    order = F.struct(F.col("errors") / F.col("overlap"), -F.col("votes"), F.abs("offset"), "start", "offset")
+    best = held.groupBy("query_id", "rec_id").agg(F.min(F.struct(order.alias("order"), F.struct("offset", "start", "votes", "overlap", "errors").alias("m"))).alias("b"))
+    return best.select("query_id", "rec_id", "b.m.*")
 
 
-def match_recordings(recordings: DataFrame, every: int = 100) -> DataFrame:
-    """One row per recording of (rec_id, pcm): rec_id, class_id, n_codes, n_matches, matches.
+def match_recordings(recordings: DataFrame, every: int = 100, read=sound_of) -> DataFrame:
+    """One row per recording of (rec_id, sound): rec_id, class_id, n_codes, n_matches, matches.
 
-    A class is the recordings of equal fingerprint, named by its smallest rec_id; those without codes stay alone.
-    Queries are the classes that hold a rec_id divisible by ``every``, against all classes. matches lists
+    A class is the recordings of equal fingerprint, named by its smallest rec_id; those without codes (null, short or
+    silent) stay alone. Queries are the classes that hold a rec_id divisible by ``every``, against all classes. matches lists
     ``class:offset:errors`` of the query classes that the row's class aligns with, by class. Rows with a null rec_id are
-    left out; repeated rows are kept. An empty table gives an empty result.
+    left out; repeated rows are kept; other columns are ignored. An empty table gives an empty result.
     """
-    prints = stage(fingerprints(recordings.filter("rec_id is not null")).withColumn("h", F.xxhash64("codes")).withColumn("g", F.xxhash64(F.lit(7), "codes")))
-    classes = stage(prints.filter(F.size("codes") > 0).groupBy("h", "g").agg(F.min("rec_id").alias("class_id"), F.max((F.col("rec_id") % every == 0)).alias("asked"), F.first("codes").alias("codes")))
-    sides = classes.select(F.col("class_id").alias("rec_id"), "codes", "asked")
-    hits = align(sides.filter("asked").drop("asked"), sides.drop("asked"))
+    prints = stage(fingerprints(recordings.filter("rec_id is not null"), read, every).withColumn("h", F.xxhash64("codes")).withColumn("g", F.xxhash64(F.lit(7), "codes")))
+    classes = stage(prints.filter(F.size("codes") > 0).groupBy("h", "g").agg(F.min("rec_id").alias("class_id"), F.first("starts", ignorenulls=True).alias("starts"), F.first("codes").alias("codes")))
+    sides = classes.select(F.col("class_id").alias("rec_id"), "codes", "starts")
+    hits = align(sides.filter("starts is not null").drop("codes"), sides.drop("starts"))
     told = hits.groupBy(F.col("rec_id").alias("class_id")).agg(F.count("*").alias("n_matches"), F.sort_array(F.collect_list(F.struct("query_id", "offset", "errors"))).alias("m"))
     text = F.array_join(F.transform("m", lambda x: F.concat_ws(":", x["query_id"], x["offset"], x["errors"])), ",")
     named = classes.select("h", "g", "class_id").join(told.select("class_id", "n_matches", text.alias("matches")), "class_id", "left")
@@ -173,4 +196,5 @@ def match_recordings(recordings: DataFrame, every: int = 100) -> DataFrame:
 
 def op3_audio_fingerprint(spark, sf_dir: str) -> DataFrame:
     """Alignments among the recordings of all ``embeddings``."""
-    return match_recordings(render_vectors(table(spark, sf_dir, "embeddings"))).withColumnRenamed("rec_id", "vec_id")
+    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("rec_id"), F.col("embedding").alias("sound"))
+    return match_recordings(vectors, read=render).withColumnRenamed("rec_id", "vec_id")
