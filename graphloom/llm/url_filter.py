@@ -1,10 +1,12 @@
 """URL filter: rules on host and path first, else logistic regression on hashed character n-grams.
 
-Without a labelled table of one's own, the model learns from URLs that the rules decide, a bounded sample of them.
+The model knows nothing of the rules. Without a labelled table of one's own it is fitted on a small one that is written
+down here: hosts of our own invention, of kinds that a crawl leaves out and of kinds that it keeps.
 """
 
 from __future__ import annotations
 
+import math
 import zlib
 
 import numpy as np
@@ -16,6 +18,31 @@ from graphloom.llm.common import table
 
 #: Rule and verdict: a host suffix at a label's start, and a path prefix.
 RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
+#: Hosts whose pages are to be left out: gambling, pills, adult, advertising, link farms, malware, fraud.
+BLOCKED = """
+casino-royal.test lucky-casino.test www.casino24.test m.online-casino.test blog.casinobonus.test win-big.test bigwin-slots.test jackpot-win.test
+m.slots-win.test poker-bets.test sports-bets.test www.bets365.test free-spins.test freebet.test blog.best-bets.test betting-tips.test roulette-free.test
+cheap-meds.test pills-online.test www.buy-pills.test diet-pills.test m.pillstore.test cheap-viagra.test pharma-cheap.test no-prescription.test
+cheap-watches.test replica-cheap.test adult-cams.test www.adultvideo.test m.adult-dating.test xxx-adult.test blog.hot-xxx.test sexy-singles.test
+ads-server.test www.ads-click.test m.adsnet.test popup-ads.test ad-track.test track-click.test pixel-track.test trackads.test blog.clicktracker.test
+spam-links.test linkfarm.test www.link-farm.test seo-spam.test m.spamblog.test backlink-farm.test content-farm.test spamdexing.test
+free-download-crack.test warez-free.test www.keygen-crack.test torrent-free.test malware-drop.test fake-login.test phish-bank.test free-money.test
+fast-loan.test payday-loans.test get-rich-win.test win-prize.test m.prize-win.test free-gift-cards.test crypto-win.test
+""".split()
+#: Hosts whose pages are to be kept.
+KEPT = """
+weather-report.test www.weather.test city-library.test m.library.test blog.museum.test national-museum.test history-notes.test www.history.test
+garden-club.test m.gardening.test home-recipes.test www.recipes.test blog.cooking.test school-news.test high-school.test university.test m.faculty.test
+science-daily.test www.physics.test chemistry.test blog.biology.test mathematics.test theorem.test river-watch.test mountain-huts.test www.trains.test
+bus-timetable.test m.airport.test harbour.test town-council.test www.parliament.test ministry.test court-reports.test law-review.test
+open-source.test www.software-docs.test blog.developer.test m.tutorials.test compiler.test database-notes.test operating-systems.test
+music-theory.test orchestra.test www.theatre.test m.cinema.test painting.test blog.photography.test poetry.test literature.test translation.test
+dictionary.test encyclopedia.test www.languages.test health-service.test hospital.test m.nursing.test blog.medicine.test fitness-trail.test
+football-club.test www.athletics.test chess-club.test cycling.test farmers-market.test village-hall.test weekly-letter.test morning-post.test
+the-thinker.test with-others.test nation-and-region.test other-hand.test thread-and-needle.test northern.test southern.test eastern-shore.test
+""".split()
+#: Paths that both kinds have.
+PLACES = ("/", "/en/120", "/fr/77/", "/de/9031.html", "/es/415", "/en/2288/", "/index.html", "/2024/05/post")
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 PARTS = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 
@@ -67,29 +94,34 @@ def predict(pages: DataFrame, column: str, weights: np.ndarray) -> DataFrame:
     def run(batches):
         for batch in batches:
             at = batch.schema.get_field_index(column)
-            z = np.array([sum(small.get(x, 0.0) for x in ngrams(u, bits).tolist()) + small.get(1 << bits, 0.0) for u in batch.column(at).to_pylist()])
+            z = np.array([math.fsum(small.get(x, 0.0) for x in ngrams(u, bits).tolist()) + small.get(1 << bits, 0.0) for u in batch.column(at).to_pylist()])
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(1 / (1 + np.exp(-np.clip(z, -30, 30))))], names=[*names, "p_block"])
 
     return pages.mapInArrow(run, f"{schema}, p_block double")
 
 
+def labelled_urls(spark) -> DataFrame:
+    """(url, block): the table written down here, each host with some of the paths."""
+    rows = [(f"http://{h}{PLACES[(i + k) % len(PLACES)]}", int(hosts is BLOCKED)) for hosts in (BLOCKED, KEPT) for i, h in enumerate(hosts) for k in range(4)]
+    return spark.createDataFrame(rows, "url string, block int")
+
+
 def judge_urls(pages: DataFrame, labelled: DataFrame | None = None, rules=RULES, max_rows: int = 4000) -> DataFrame:
     """page_id, host, path, rule, verdict, p_block for each row of ``pages`` (page_id, url).
 
-    ``labelled`` has (url, block 0/1); where it is None, URLs that a rule decides are used. At most ``max_rows``
+    ``labelled`` has (url, block 0/1); ``labelled_urls`` where it is None. At most ``max_rows``
     distinct labelled host-and-path texts, by hash order, are fitted on the driver. A rule's verdict wins; else block
     from p_block 0.5 on. A null url, or one without ``://``, has an empty host and path and is judged like any other.
     Without labels of both kinds the method allows all. Repeated rows are judged each; other columns are ignored.
+    An empty table gives an empty result.
     """
     parts = pages.select("page_id", host(F.col("url")).alias("host"), path(F.col("url")).alias("path"))
     ruled = parts.withColumn("rule", rule_of("host", "path", rules)).withColumn("place", F.concat("host", "path"))
     says = F.lit(None).cast("string")
     for rule, verdict in rules:
         says = F.when(F.col("rule") == rule, verdict).otherwise(says)
-    if labelled is None:
-        known = ruled.filter("rule is not null").select("place", (says == "block").cast("int").alias("block"))
-    else:
-        known = labelled.select(F.concat(host(F.col("url")), path(F.col("url"))).alias("place"), "block")
+    labelled = labelled_urls(pages.sparkSession) if labelled is None else labelled
+    known = labelled.select(F.concat(host(F.col("url")), path(F.col("url"))).alias("place"), (F.col("block") > 0).cast("int").alias("block"))
     rows = known.groupBy("place").agg(F.max("block").alias("block")).orderBy(F.xxhash64("place"), "place").limit(max_rows).collect()
     block = [int(r["block"] or 0) for r in rows]
     weights = fit([r["place"] for r in rows], block) if 0 < sum(block) < len(block) else np.zeros(3)
