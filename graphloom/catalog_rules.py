@@ -10,36 +10,6 @@ from graphloom.operators import rules as R
 from graphloom.plans.lift import edges, edges_of, nid, nodes, table
 from graphloom.streaming.windows import counted_windows
 
-_IMPACT = """+ k AS (SELECT * FROM edges WHERE type IN ('CONTAINS', 'CALLS', 'DEPENDS_ON')),
-steps AS (SELECT source_id AS a, target_id AS b, type FROM k WHERE type <> 'CONTAINS' UNION ALL SELECT target_id, source_id, type FROM k),
-w AS (SELECT 'supplier:1' AS id, 0 AS depth UNION SELECT b, depth + 1 FROM w JOIN steps ON a = id WHERE depth < 2),
-reached AS (SELECT id, min(depth) AS depth FROM w GROUP BY id),
-kinds AS (SELECT b AS id, count(DISTINCT type) AS edge_types FROM steps JOIN reached x ON a = x.id JOIN reached y ON b = y.id AND y.depth = x.depth + 1 GROUP BY b),
-cand AS (SELECT r.id, depth, coalesce(edge_types, 0) AS edge_types FROM reached r LEFT JOIN kinds ON r.id = kinds.id),
-conf AS (SELECT *, greatest(0, least(100, 70 + 10 * edge_types - 20 * depth))::BIGINT AS confidence,
-  CASE WHEN depth = 0 THEN 'definite' WHEN depth = 1 OR edge_types > 1 THEN 'likely' ELSE 'possible' END AS likelihood FROM cand)
-"""
-
-
-def _candidates(spark, d):
-    return R.impact_candidates(edges(spark, d, ("CONTAINS", "CALLS", "DEPENDS_ON")), nodes(spark, d).filter("id = 'supplier:1'"), 2)
-
-
-@query(_IMPACT + "SELECT id, depth, edge_types FROM cand")
-def impact_candidates(spark, d):
-    return _candidates(spark, d)
-
-
-@query(_IMPACT + "SELECT id, confidence, likelihood FROM conf")
-def impact_classified(spark, d):
-    return R.with_confidence(_candidates(spark, d)).select("id", "confidence", "likelihood")
-
-
-@query(_IMPACT + "SELECT id, confidence FROM conf WHERE depth > 0 ORDER BY confidence DESC, id LIMIT 100")
-def impact_capped(spark, d):
-    return R.with_confidence(_candidates(spark, d)).filter("depth > 0").orderBy(F.desc("confidence"), "id").limit(100).select("id", "confidence")
-
-
 _OWNER = "JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey JOIN nation cn ON c_nationkey = cn.n_nationkey JOIN nation sn ON s_nationkey = sn.n_nationkey"
 FORBIDDEN = [("no-0-to-1", 0, 1), ("no-2-to-0", 2, 0), ("no-4-to-3", 4, 3)]
 

@@ -5,33 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.operators.graph import distances, staged
-
-
-def impact_steps(edges: DataFrame, ownership: tuple[str, ...] = ("CONTAINS",)) -> DataFrame:
-    """(source_id, target_id, type): ownership edges are walked from the owned to the owner only, all others both ways."""
-    back = edges.select(F.col("target_id").alias("source_id"), F.col("source_id").alias("target_id"), "type")
-    return edges.filter(~F.col("type").isin(*ownership)).select("source_id", "target_id", "type").unionByName(back)
-
-
-def impact_candidates(edges: DataFrame, anchors: DataFrame, max_depth: int = 2) -> DataFrame:
-    """(id, depth, edge_types): nodes within ``max_depth`` steps of any anchor, with the number of distinct edge types
-    on which shortest routes arrive (0 for anchors)."""
-    steps = staged(impact_steps(edges))
-    reached = staged(distances(steps, anchors, max_depth, directed=True))
-    start = reached.select(F.col("id").alias("source_id"), F.col("depth").alias("before"))
-    end = reached.select(F.col("id").alias("target_id"), "depth")
-    arrivals = steps.join(start, "source_id").join(end, "target_id").filter("depth = before + 1")
-    kinds = arrivals.groupBy(F.col("target_id").alias("id")).agg(F.count_distinct("type").alias("edge_types"))
-    return reached.join(kinds, "id", "left").select("id", "depth", F.coalesce("edge_types", F.lit(0).cast("long")).alias("edge_types"))
-
-
-def with_confidence(candidates: DataFrame, base: int = 70, corroboration: int = 10, hop: int = 20) -> DataFrame:
-    """Adds confidence (whole percent, 0 to 100) from weights that are parameters, and likelihood by distance and corroboration."""
-    score = F.lit(base) + corroboration * F.col("edge_types") - hop * F.col("depth")
-    likelihood = F.when(F.col("depth") == 0, "definite").when((F.col("depth") == 1) | (F.col("edge_types") > 1), "likely").otherwise("possible")
-    return candidates.withColumn("confidence", F.greatest(F.lit(0), F.least(F.lit(100), score)).cast("long")).withColumn("likelihood", likelihood)
-
 
 def rule_violations(edges: DataFrame, contexts: DataFrame, rules: DataFrame) -> DataFrame:
     """Edges whose ends lie in the contexts that a rule forbids: (rule, source_id, target_id).

@@ -5,8 +5,9 @@ import os
 import duckdb
 import pytest
 
-from graphloom import catalog, catalog_rules  # noqa: F401 (registers its queries)
+from graphloom import catalog, catalog_impact, catalog_rules  # noqa: F401 (they register their queries)
 from graphloom.operators import graph as G
+from graphloom.operators import impact as I
 from graphloom.operators import rules as R
 from graphloom.plans import lift
 from graphloom.sources.snapshot import read_graph, write_graph
@@ -45,11 +46,23 @@ def test_longest_prefix_takes_whole_segments(spark):
     assert {r["id"]: r["owner"] for r in G.longest_prefix(rows, "path", owners).collect()} == {"1": "o2", "2": "o1", "3": None}
 
 
-def test_impact_walks_ownership_upward_only(spark):
-    edges = spark.createDataFrame([("CONTAINS", "own", "x"), ("CONTAINS", "x", "part"), ("CALLS", "y", "x"), ("READS_FROM", "x", "y"), ("CALLS", "z", "y")], "type string, source_id string, target_id string")
-    anchors = spark.createDataFrame([("x",)], "id string")
-    assert {tuple(r) for r in R.impact_candidates(edges, anchors, 2).collect()} == {("x", 0, 0), ("own", 1, 1), ("y", 1, 2), ("z", 2, 1)}
-    assert R.impact_candidates(edges, anchors.filter("false"), 2).count() == 0
+def test_impact_walk(spark):
+    """Ownership upward only, chain hops of their own budget, state of the first arrival, routes that merge."""
+    rows = [("CONTAINS", "own", "x"), ("CONTAINS", "x", "part"), ("CALLS", "y", "x"), ("READS_FROM", "x", "y"), ("CALLS", "z", "y"), ("PUBLISHES", "z", "topic"), ("PUBLISHES", "w", "topic"), ("OWNS", "x", "never")]
+    edges = spark.createDataFrame([(f"{t}:{a}->{b}", t, a, b) for t, a, b in rows], "id string, type string, source_id string, target_id string")
+    matches = spark.createDataFrame([("ex", "x", "exact", False, False)], "concept string, id string, mechanism string, ambiguous boolean, test_only boolean")
+    got = {r.id: r for r in I.traverse(edges, matches, 2, 8).collect()}
+    assert {k: r.distance for k, r in got.items()} == {"x": 0, "own": 1, "y": 1, "z": 2, "topic": 3, "w": 4}
+    assert got["y"].corroborating == ["CALLS", "READS_FROM"] and not got["y"].weak and got["y"].corroborated and got["topic"].path == "x>y>z>topic"
+    assert {r.id for r in I.traverse(edges, matches, 2, 0).collect()} == {"x", "own", "y", "z"}
+    assert I.traverse(edges, matches.filter("false"), 2, 8).count() == 0
+
+
+def test_cursor_of_no_row_starts_at_the_top(spark):
+    rows = spark.createDataFrame([(i, i % 3) for i in range(10)], "id int, k int")
+    order = [("k", False), ("id", True)]
+    whole = [r.id for r in I.after_cursor(rows, order, rows.filter("id = 77"), 10).collect()]
+    assert whole == [2, 5, 8, 1, 4, 7, 0, 3, 6, 9] and [r.id for r in I.after_cursor(rows, order, rows.filter("id = 4"), 3).collect()] == [7, 0, 3]
 
 
 def test_effective_takes_the_later_of_equal_ranks(spark):
