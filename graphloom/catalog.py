@@ -45,11 +45,6 @@ def knowledge_category_filter(spark, d):
     return G.count_by(nodes(spark, d), "provenance", "category")
 
 
-@query("SELECT source_id, count(*) AS degree, min(target_id) AS first_target, max(target_id) AS last_target FROM edges GROUP BY source_id")
-def adjacency_lists(spark, d):
-    return G.adjacency(edges(spark, d))
-
-
 @query("SELECT id, 'source_id' AS missing FROM edges WHERE source_id NOT IN (SELECT id FROM nodes WHERE category <> 'domain') UNION ALL SELECT id, 'target_id' FROM edges WHERE target_id NOT IN (SELECT id FROM nodes WHERE category <> 'domain')")
 def referential_check(spark, d):
     return G.dangling(edges(spark, d), nodes(spark, d).filter("category <> 'domain'"))

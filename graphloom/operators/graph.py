@@ -32,11 +32,6 @@ def duplicates(df: DataFrame, *keys: str) -> DataFrame:
     return count_by(df, *keys).filter("n > 1")
 
 
-def adjacency(edges: DataFrame) -> DataFrame:
-    """Per source: out-degree, and the first and last target in order."""
-    return edges.groupBy("source_id").agg(F.count("*").alias("degree"), F.min("target_id").alias("first_target"), F.max("target_id").alias("last_target"))
-
-
 def induced(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """Edges with both ends among ``nodes``."""
     ids = nodes.select(F.col("id").alias("n"))
