@@ -260,13 +260,6 @@ def unresolved_links(spark, d):
     return G.count_by(links.join(own, "href", "left_anti"), "href")
 
 
-@query("SELECT p_partkey, len(list_intersect(regexp_split_to_array(lower(p_name), '[^a-z0-9]+'), ['brass', 'part', '1']))::BIGINT AS hits FROM part WHERE list_has_any(regexp_split_to_array(lower(p_name), '[^a-z0-9]+'), ['brass', 'part', '1'])", lift=False)
-def component_search(spark, d):
-    wanted = F.array(*(F.lit(x) for x in ("brass", "part", "1")))
-    hits = F.size(F.array_intersect(S.name_tokens(F.lower("p_name")), wanted)).cast("long")
-    return table(spark, d, "part").select("p_partkey", hits.alias("hits")).filter("hits > 0")
-
-
 @query("SELECT id, type, total FROM (SELECT id, type, count(*) OVER () AS total, row_number() OVER (ORDER BY type, id) AS pos FROM nodes WHERE category <> 'domain') WHERE pos > 20 AND pos <= 40")
 def keyset_page(spark, d):
     rows = nodes(spark, d).filter("category <> 'domain'").select("id", "type")
