@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame
@@ -49,14 +51,26 @@ def neighbours(edges: DataFrame, anchors: DataFrame) -> DataFrame:
     return steps(edges).join(anchors.select(F.col("id").alias("a")), "a", "left_semi").select(F.col("a").alias("id"), F.col("b").alias("neighbour"), "dir", "edge_type")
 
 
+def shared_folder(spark) -> str:
+    """The folder that driver and executors share (``spark.checkpoint.dir``). Where that is unset, a session that runs in
+    this process alone gets one of its own; on a cluster it is an error, as a local folder would lose rows."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        found = "file://" + tempfile.mkdtemp(prefix="graphloom-shared-")
+        spark.conf.set("spark.checkpoint.dir", found)
+    return found
+
+
 def staged(df: DataFrame) -> DataFrame:
-    """Written to the shared folder of ``spark.checkpoint.dir`` and read back; a checkpoint where it is unset."""
-    folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        return df.persist()
-    path = f"{folder}/graph-{uuid.uuid4().hex}"
+    """Written to the shared folder and read back, so that lineage ends there; the files go when the session ends."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/graph-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def distances(edges: DataFrame, anchors: DataFrame, max_depth: int, directed: bool = False) -> DataFrame:

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from graphloom.operators.graph import shared_folder
+
 
 def counted_windows(spark: SparkSession, path: str, time: str, width: str, key: str, late: str | None = None) -> DataFrame:
     """(start, ``key``, n): rows of the Parquet files at ``path`` per tumbling window and key.
@@ -19,8 +19,7 @@ def counted_windows(spark: SparkSession, path: str, time: str, width: str, key:
     repeated batch replaces its output; the latest row of a window counts. Without ``late`` no row is
     dropped, and the state is one count a window and key; with it (an interval) later rows are dropped and state ends.
     """
-    shared = spark.conf.get("spark.checkpoint.dir", None) or "file://" + os.path.join(tempfile.gettempdir(), "graphloom-shared")
-    folder = f"{shared}/stream-{uuid.uuid4().hex}"
+    folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     schema = spark.read.parquet(path).schema
     rows = spark.readStream.schema(schema).parquet(path).select(F.col(time).cast("timestamp").alias("_time"), key)
     if late:
