@@ -1,0 +1,125 @@
+"""Registered text queries and their DuckDB counterparts."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from graphloom.catalog import query
+from graphloom.functions import scalars as S
+from graphloom.operators import texts as X
+from graphloom.plans import vocabulary as V
+from graphloom.plans.lift import table
+
+#: What a part's statement says after its name, by its key.
+TAILS = (
+    "must migrate its schema", "should log every metric of blueBolt", "could expose an API for `order line` events", "must pass tests within 200 ms", "removes the access control of user-service", "validates and sorts ORDER_STATUS",
+    "documents the rollout in docs/guide.md", "adds a webhook to order-service", "keeps its latency under 50 ms", "is one of the existing parts", "reads DB_PASSWORD from an environment variable", "must not change the payload of OrderLine",
+)
+_S = "(SELECT p_partkey, 'The ' || p_name || ' ' || CASE p_partkey % 12 " + " ".join(f"WHEN {i} THEN '{t}'" for i, t in enumerate(TAILS)) + " END AS s FROM part)"
+
+
+def _statements(spark, d):
+    tail = F.element_at(F.array(*(F.lit(t) for t in TAILS)), (F.col("p_partkey") % 12 + 1).cast("int"))
+    return table(spark, d, "part").select("p_partkey", F.concat(F.lit("The "), "p_name", F.lit(" "), tail).alias("s"))
+
+
+def _cases(patterns, column="s", default="NULL"):
+    return "CASE " + " ".join(f"WHEN regexp_matches({column}, '{p}') THEN '{n}'" for n, p in patterns) + f" ELSE {default} END"
+
+
+@query(f"SELECT p_partkey, {_cases(S.REQUIREMENT_TYPES, default=repr('functional'))} AS type, CASE WHEN regexp_matches(s, '(?i)\\bmust\\b') THEN 'must' WHEN regexp_matches(s, '(?i)\\bshould\\b') THEN 'should' WHEN regexp_matches(s, '(?i)\\bcould\\b') THEN 'could' END AS priority FROM {_S}", lift=False)
+def requirement_type(spark, d):
+    return _statements(spark, d).select("p_partkey", S.requirement_type(F.col("s")).alias("type"), S.priority(F.col("s")).alias("priority"))
+
+
+@query(f"SELECT p_partkey, {_cases([(n, '(?i)' + p) for n, p in V.CHANGE_KINDS], default=repr('unknown'))} AS kind, {_cases(X.EXPECTATIONS)} AS expectation FROM {_S}", lift=False)
+def change_kind(spark, d):
+    return _statements(spark, d).select("p_partkey", S.first_of(F.col("s"), [(n, f"(?i){p}") for n, p in V.CHANGE_KINDS], "unknown").alias("kind"), X.expectation(F.col("s")).alias("expectation"))
+
+
+@query(f"WITH u AS (SELECT p_partkey, lower(s) AS t FROM {_S}), h AS (SELECT p_partkey, list_reduce(list_prepend(2166136261::HUGEINT, list_transform(range(1, length(t) + 1), lambda i: ascii(t[i])::HUGEINT)), lambda a, b: (xor(a, b) * 16777619) % 4294967296) AS h FROM u) SELECT p_partkey, 'req-' || lpad(printf('%x', h::BIGINT), 8, '0') AS id FROM h", lift=False)
+def content_ids(spark, d):
+    return _statements(spark, d).select("p_partkey", S.content_id("req", F.col("s")).alias("id"))
+
+
+@query("""WITH m AS (SELECT p_partkey, p_partkey % 12 AS k FROM part) SELECT p_partkey, CASE k WHEN 1 THEN 'blueBolt' WHEN 2 THEN 'order line' WHEN 4 THEN 'user-service' WHEN 5 THEN 'ORDER_STATUS' WHEN 6 THEN 'docs/guide.md' WHEN 7 THEN 'order-service' WHEN 10 THEN 'DB_PASSWORD' WHEN 11 THEN 'OrderLine' ELSE '' END AS concepts FROM m""", lift=False)
+def concept_mining(spark, d):
+    return _statements(spark, d).select("p_partkey", F.array_join(X.concepts(F.col("s")), ",").alias("concepts"))
+
+
+@query("WITH n AS (SELECT p_partkey, p_brand, p_name FROM part) SELECT p_partkey, unnest([0, 1, 3, 4]) AS line_no, unnest([NULL, 'Goals of ' || p_brand, 'Non-goals', 'Non-goals']) AS heading, unnest(['preamble', 'requirements', 'non-goals', 'non-goals']) AS role, unnest([false, false, false, true]) AS item FROM n", lift=False)
+def section_roles(spark, d):
+    """A text of every part with two headings and a list item."""
+    text = F.concat(F.col("p_name"), F.lit("\n## Goals of "), "p_brand", F.lit("\n\n# Non-goals\n- "), "p_name")
+    return X.sections(table(spark, d, "part").select("p_partkey", text.alias("t")), "p_partkey", "t").select("p_partkey", F.col("line_no").cast("int").alias("line_no"), "heading", "role", "item")
+
+
+@query(f"WITH s AS {_S} SELECT p_partkey, unnest([0, 1]) AS at, unnest([s || '.', 'It is made by many.']) AS statement FROM s", lift=False)
+def statement_split(spark, d):
+    text = F.concat(F.lit("# Part\n\n- "), "s", F.lit(".\nIt is made\nby many. No.\n"))
+    return X.statements(_statements(spark, d).select("p_partkey", text.alias("t")), "p_partkey", "t").select("p_partkey", F.col("at").alias("raw"), "statement").groupBy("p_partkey", "statement").agg(F.min("raw").alias("raw")).select("p_partkey", (F.col("raw")).cast("int").alias("at"), "statement")
+
+
+@query("""WITH r AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), a AS (SELECT doc_id, regexp_replace(t, 'AKIA[A-Z0-9]{16}', '[access-key]', 'g') AS t1, len(regexp_extract_all(t, 'AKIA[A-Z0-9]{16}')) AS n1 FROM r),
+b AS (SELECT doc_id, n1 + len(regexp_extract_all(t1, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{2,}')) AS n2, regexp_replace(t1, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{2,}', '[mail]', 'g') AS t2 FROM a),
+c AS (SELECT doc_id, n2 + len(regexp_extract_all(t2, '[0-9a-f]{32,}')) AS n3, regexp_replace(t2, '[0-9a-f]{32,}', '[hex]', 'g') AS t3 FROM b)
+SELECT doc_id, (n3 + len(regexp_extract_all(t3, '[0-9]{12,}')))::BIGINT AS found, sha256(regexp_replace(t3, '[0-9]{12,}', '[number]', 'g')) AS redacted_sha256 FROM c""", lift=False)
+def redaction(spark, d):
+    made = table(spark, d, "documents").select("doc_id", X.redacted(F.coalesce("text", F.lit(""))).alias("r"))
+    return made.select("doc_id", F.col("r.found").alias("found"), F.sha2("r.text", 256).alias("redacted_sha256"))
+
+
+@query("""WITH k AS (SELECT p_partkey, p_partkey % 6 AS k FROM part) SELECT p_partkey, 1 AS line_no, CASE k WHEN 0 THEN 'trim' WHEN 1 THEN 'case-fold' WHEN 2 THEN 'parse' WHEN 3 THEN 'default' ELSE 'format' END AS kind FROM k WHERE k < 5""", lift=False)
+def field_transformations(spark, d):
+    code = ("x.trim()", "x.toLowerCase()", "parseInt(x)", "x ?? 0", "x.toFixed(2)", "plain")
+    body = F.element_at(F.array(*(F.lit(c) for c in code)), (F.col("p_partkey") % 6 + 1).cast("int"))
+    rows = table(spark, d, "part").select("p_partkey", F.concat(F.lit("// x.trim() here\nconst y = "), body, F.lit(";\n")).alias("t"))
+    return X.transformations(rows, "p_partkey", "t").select("p_partkey", F.col("line_no").cast("int").alias("line_no"), "kind")
+
+
+@query("SELECT CASE WHEN regexp_matches(path, '(?i)(^|/)(tests?|__tests__|spec)/|\\.(test|spec)\\.[a-z0-9]+$') THEN true ELSE false END AS test, lang, count(*) AS n FROM (SELECT lang, source || '/' || CASE WHEN doc_id % 4 = 0 THEN 'tests/' ELSE '' END || doc_id || CASE WHEN doc_id % 7 = 0 THEN '.spec.ts' ELSE '.ts' END AS path FROM documents) GROUP BY ALL", lift=False)
+def test_file_detection(spark, d):
+    path = F.concat(F.col("source"), F.lit("/"), F.when(F.col("doc_id") % 4 == 0, "tests/").otherwise(""), F.col("doc_id").cast("string"), F.when(F.col("doc_id") % 7 == 0, ".spec.ts").otherwise(".ts"))
+    rows = table(spark, d, "documents").select("lang", path.rlike(r"(?i)(^|/)(tests?|__tests__|spec)/|\.(test|spec)\.[a-z0-9]+$").alias("test"))
+    return rows.groupBy("test", "lang").agg(F.count("*").alias("n"))
+
+
+@query("SELECT page_id, replace(replace(replace(replace(replace(left(html, 40), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#39;') AS escaped, CASE WHEN length(url) > 30 THEN left(url, 29) || '…' ELSE url END AS clipped, CASE WHEN page_id % 3 = 1 THEN '1 page' ELSE (page_id % 3) || ' pages' END AS told FROM pages", lift=False)
+def display_text(spark, d):
+    n = F.col("page_id") % 3
+    return table(spark, d, "pages").select("page_id", X.escaped_xml(F.substring("html", 1, 40)).alias("escaped"), X.clipped(F.col("url"), 30).alias("clipped"), X.plural(n, "page", "pages").alias("told"))
+
+
+@query(r"""WITH p AS (SELECT page_id, regexp_extract(url, '://[^/?#]*([^?#]*)', 1) AS path FROM pages), r AS (SELECT page_id, path, regexp_replace(regexp_replace(path, '/[0-9]+(/|$)', '/{}\1'), '/+$', '') AS route FROM p) SELECT route, count(*) AS n, min(path) AS example FROM r GROUP BY 1""", lift=False)
+def route_index(spark, d):
+    """Paths of pages by route, numbers taken as parameters."""
+    rows = table(spark, d, "pages").select(F.regexp_extract("url", r"://[^/?#]*([^?#]*)", 1).alias("path"))
+    return rows.groupBy(X.route(F.col("path")).alias("route")).agg(F.count("*").alias("n"), F.min("path").alias("example"))
+
+
+@query(r"""WITH p AS (SELECT DISTINCT regexp_extract(url, '://([^/?#]*)', 1) AS host FROM pages WHERE page_id % 2 = 0), c AS (SELECT page_id, regexp_extract(url, '://([^/?#]*)', 1) AS host FROM pages WHERE page_id % 2 = 1)
+SELECT c.host, p.host IS NULL AS unresolved, count(*) AS n FROM c LEFT JOIN p ON c.host = p.host GROUP BY ALL""", lift=False)
+def outbound_http(spark, d):
+    """Calls to the hosts of odd pages, of which those of even pages are indexed; the others are unresolved boundaries."""
+    host = F.regexp_extract("url", r"://([^/?#]*)", 1).alias("host")
+    pages = table(spark, d, "pages")
+    known = pages.filter("page_id % 2 = 0").select(host).distinct().withColumn("known", F.lit(True))
+    return pages.filter("page_id % 2 = 1").select(host).join(known, "host", "left").groupBy("host", F.col("known").isNull().alias("unresolved")).agg(F.count("*").alias("n"))
+
+
+@query(f"SELECT p_partkey, count(*) AS hits FROM (SELECT p_partkey, unnest(regexp_extract_all(s, '[A-Za-z_]+')) AS w FROM {_S}) WHERE w IN ('must', 'schema', 'payload', 'events') GROUP BY 1", lift=False)
+def literal_hits(spark, d):
+    """Hits of a set of literals among the words of every statement, most first."""
+    words = F.regexp_extract_all("s", F.lit("[A-Za-z_]+"), F.lit(0))
+    hits = F.size(F.filter(words, lambda w: w.isin("must", "schema", "payload", "events"))).cast("long")
+    return _statements(spark, d).select("p_partkey", hits.alias("hits")).filter("hits > 0")
+
+
+@query("""WITH q AS (SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN 'SELECT * FROM o WHERE total >= 5' WHEN 1 THEN 'SELECT 1 WHERE a = b' WHEN 2 THEN 'UPDATE t SET x = 1 RETURNING id' ELSE 'PRAGMA table_info(t)' END AS s FROM orders)
+SELECT CASE WHEN regexp_matches(s, '(?i)\\b(jsonb|ilike|returning|serial)\\b') THEN 'postgres' WHEN regexp_matches(s, '(?i)\\b(auto_increment|tinyint|backtick)\\b') THEN 'mysql' WHEN regexp_matches(s, '(?i)\\b(sqlite|pragma|rowid)\\b') THEN 'sqlite' ELSE 'none' END AS dialect, regexp_extract(s, '>=|<=|<>|!=|=|<|>') AS comparison, count(*) AS n FROM q GROUP BY ALL""", lift=False)
+def sql_literals(spark, d):
+    """Dialect and comparison sign of SQL literals; literals of one sign are analogous."""
+    code = ("SELECT * FROM o WHERE total >= 5", "SELECT 1 WHERE a = b", "UPDATE t SET x = 1 RETURNING id", "PRAGMA table_info(t)")
+    s = F.element_at(F.array(*(F.lit(c) for c in code)), (F.col("o_orderkey") % 4 + 1).cast("int"))
+    rows = table(spark, d, "orders").select(s.alias("s"))
+    return rows.groupBy(S.first_of(F.col("s"), X.DIALECTS, "none").alias("dialect"), F.regexp_extract("s", ">=|<=|<>|!=|=|<|>", 0).alias("comparison")).agg(F.count("*").alias("n"))

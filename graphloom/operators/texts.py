@@ -1,0 +1,91 @@
+"""Operators over requirement texts and source lines: sections, statements, concepts, cues, transformations."""
+
+from __future__ import annotations
+
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from graphloom.functions.scalars import first_of
+
+# Terms that look like concepts and are none, heads of phrases that say nothing, and roles of sections.
+NOISE = ("e.g", "i.e", "a.k.a", "p.s")
+MOST_CHARS, MOST_WORDS, LEAST_STATEMENT = 80, 4, 12
+STOP_HEADS = (
+    "the", "a", "an", "this", "that", "these", "those", "each", "every", "any", "some", "no", "one", "another", "its", "their", "our", "your", "new", "existing", "same", "given", "such", "other",
+    "which", "per", "current", "proposed", "requested", "nominal", "named", "target", "legacy", "production", "downstream", "upstream", "external", "internal", "remote", "local", "peer", "web",
+    "nominated", "affected", "calling", "consuming",
+)
+CONCEPTS = (
+    r"`([^`]+)`", r"\b([A-Z][a-z0-9]+(?:[A-Z][a-z0-9]+)+)\b", r"\b([a-z]+(?:[A-Z][a-z0-9]+)+)\b", r"\b([A-Z][A-Z0-9]*(?:_[A-Z0-9]+)+)\b", r"\b([a-z][a-z0-9]*(?:-[a-z0-9]+)+)\b",
+    r"\b((?:[A-Za-z0-9_-]+/)+[A-Za-z0-9_.-]+)",
+)
+SECTION_ROLES = (("requirements", r"(?i)requirement|goal|scope"), ("non-goals", r"(?i)non-goal|out of scope"), ("constraints", r"(?i)constraint|limit"), ("questions", r"(?i)question|open"), ("decisions", r"(?i)decision"))
+EXPECTATIONS = (("preserve", r"(?i)\b(must not change|keeps?|preserves?|unchanged)\b"), ("reuse", r"(?i)\b(reuses?|existing)\b"), ("verify", r"(?i)\b(verif(y|ies)|confirm|check)\b"))
+TRANSFORMATIONS = (
+    ("trim", r"\.trim\(\)|strip\(\)"), ("case-fold", r"toLowerCase|toUpperCase|\.lower\(\)|\.upper\(\)"), ("parse", r"parseInt|parseFloat|Number\(|int\(|float\("), ("default", r"\?\?|\|\|"), ("format", r"toFixed|toISOString|format\("),
+)
+DIALECTS = (("postgres", r"(?i)\b(jsonb|ilike|returning|serial)\b"), ("mysql", r"(?i)\b(auto_increment|tinyint|backtick)\b"), ("sqlite", r"(?i)\b(sqlite|pragma|rowid)\b"))
+SECRETS = ((r"AKIA[A-Z0-9]{16}", "[access-key]"), (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", "[mail]"), (r"[0-9a-f]{32,}", "[hex]"), (r"[0-9]{12,}", "[number]"))
+
+
+def sections(texts: DataFrame, key: str, column: str) -> DataFrame:
+    """(key, line_no, heading, role, item) of the lines that aren't blank: the heading above, its role, and whether the line is a list item."""
+    lines = texts.select(key, F.posexplode(F.split(column, "\n", -1)).alias("line_no", "line")).filter(F.trim("line") != "")
+    head = F.when(F.col("line").rlike(r"^#{1,6}\s+"), F.trim(F.regexp_replace("line", r"^#{1,6}\s+", "")))
+    above = F.last(head, ignorenulls=True).over(W.partitionBy(key).orderBy("line_no").rowsBetween(W.unboundedPreceding, 0))
+    rows = lines.withColumn("heading", above)
+    role = F.when(F.col("heading").isNull(), "preamble").otherwise(first_of(F.col("heading"), SECTION_ROLES[1:2] + SECTION_ROLES[:1] + SECTION_ROLES[2:], "background"))
+    return rows.select(key, "line_no", "heading", role.alias("role"), F.col("line").rlike(r"^\s*([-*+]|\d+[.)])\s+").alias("item"))
+
+
+def statements(texts: DataFrame, key: str, column: str) -> DataFrame:
+    """(key, at, statement): blocks by blank lines, headings and bullets, cut at the end of sentences; those of 12 characters or more."""
+    flat = F.regexp_replace(F.regexp_replace(column, r"(?m)^\s*(?:#{1,6}|[-*+]|\d+[.)])\s+", "\n\n"), r"\n{2,}", "\u0001")
+    pieces = F.split(F.regexp_replace(flat, r"\s*\n\s*", " "), "\u0001|(?<=[.!?])\\s+(?=\\p{Lu})")
+    return texts.select(key, F.posexplode(F.filter(F.transform(pieces, lambda p: F.trim(p)), lambda p: F.length(p) >= LEAST_STATEMENT)).alias("at", "statement"))
+
+
+def concepts(text: Column) -> Column:
+    """The distinct terms of a statement that may name a part of the system, in order of their kinds and places."""
+    found = F.flatten(F.array(*(F.regexp_extract_all(text, F.lit(p), F.lit(1)) for p in CONCEPTS)))
+    noise = lambda t: F.lower(t).isin(*NOISE) | t.rlike(r"^v?\d+(?:\.\d+)+$") | (F.length(t) > MOST_CHARS) | (F.size(F.split(t, r"\s+")) > MOST_WORDS) | F.split_part(F.lower(t), F.lit("-"), F.lit(1)).isin(*STOP_HEADS)
+    return F.array_distinct(F.filter(found, lambda t: (F.length(t) > 1) & ~noise(t)))
+
+
+def expectation(text: Column) -> Column:
+    return first_of(text, EXPECTATIONS, None)
+
+
+def redacted(text: Column) -> Column:
+    """A struct of the text with secrets replaced, one pattern after the other, and how many there were."""
+    count = lambda t, p: F.regexp_count(t, F.lit(p)).cast("long")
+    made = reduce(lambda s, rule: (F.regexp_replace(s[0], *rule), s[1] + count(s[0], rule[0])), SECRETS, (text, F.lit(0).cast("long")))
+    return F.struct(made[0].alias("text"), made[1].alias("found"))
+
+
+def transformations(lines: DataFrame, key: str, column: str) -> DataFrame:
+    """(key, line_no, kind) for each rule that a line of code fits; comment lines are skipped."""
+    rows = lines.select(key, F.posexplode(F.split(column, "\n", -1)).alias("line_no", "line")).filter(~F.col("line").rlike(r"^\s*(//|#|\*|/\*)"))
+    kinds = F.filter(F.array(*(F.when(F.col("line").rlike(p), name) for name, p in TRANSFORMATIONS)), lambda x: x.isNotNull())
+    return rows.select(key, "line_no", F.explode(kinds).alias("kind"))
+
+
+def escaped_xml(text: Column) -> Column:
+    return reduce(lambda t, kv: F.replace(t, F.lit(kv[0]), F.lit(kv[1])), (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#39;")), text)
+
+
+def clipped(text: Column, most: int) -> Column:
+    return F.when(F.length(text) > most, F.concat(F.substring(text, 1, most - 1), F.lit("…"))).otherwise(text)
+
+
+def plural(n: Column, one: str, many: str) -> Column:
+    return F.concat(n.cast("string"), F.lit(" "), F.when(n == 1, one).otherwise(many))
+
+
+def route(path: Column) -> Column:
+    """A route with its parameters ({id}, :id, <int:id>, [id]) as one placeholder, no slash at the end."""
+    plain = F.regexp_replace(path, r"\{[^}/]*\}|:[A-Za-z_]\w*|<[^>/]*>|\[[^\]/]*\]|(?<=/)\d+(?=/|$)", "{}")
+    return F.when(plain == "/", plain).otherwise(F.regexp_replace(plain, "/+$", ""))
