@@ -154,17 +154,6 @@ def edge_diff(spark, d):
     return _snapshots(spark, d).filter("was <> now").select("o_custkey", "l_suppkey", F.when(~F.col("was"), "new-dependency").otherwise("removed-dependency").alias("change"))
 
 
-@query(f"""{_SNAP} SELECT CASE WHEN cn.n_regionkey <> sn.n_regionkey THEN 'cross-context' WHEN c_nationkey <> s_nationkey THEN 'cross-repository' WHEN NOT was THEN 'new-dependency' ELSE 'removed-dependency' END AS drift, count(*) AS n
-FROM s JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey JOIN nation cn ON c_nationkey = cn.n_nationkey JOIN nation sn ON s_nationkey = sn.n_nationkey WHERE was <> now GROUP BY 1""", lift=False)
-def drift_classification(spark, d):
-    home = table(spark, d, "nation").select("n_nationkey", "n_regionkey")
-    owner = lambda name, key, nation, p: table(spark, d, name).join(F.broadcast(home), F.col(nation) == F.col("n_nationkey")).select(key, F.col(nation).alias(f"{p}_nation"), F.col("n_regionkey").alias(f"{p}_region"))
-    moved = _snapshots(spark, d).filter("was <> now")
-    rows = moved.join(owner("customer", "c_custkey", "c_nationkey", "c"), F.col("o_custkey") == F.col("c_custkey")).join(owner("supplier", "s_suppkey", "s_nationkey", "s"), F.col("l_suppkey") == F.col("s_suppkey"))
-    kind = F.when(F.col("c_region") != F.col("s_region"), "cross-context").when(F.col("c_nation") != F.col("s_nation"), "cross-repository").when(~F.col("was"), "new-dependency").otherwise("removed-dependency")
-    return G.count_by(rows.withColumn("drift", kind), "drift")
-
-
 @query("SELECT id, type, path, n FROM (SELECT id, type, path, row_number() OVER (PARTITION BY type ORDER BY id) AS n FROM nodes) WHERE n <= 25")
 def per_category_topk(spark, d):
     return G.top_per(nodes(spark, d).select("id", "type", "path"), ["type"], [F.col("id")], 25).withColumnRenamed("rank", "n").withColumn("n", F.col("n").cast("long"))
@@ -183,26 +172,6 @@ def group_edges_by_context(spark, d):
     return G.count_by(edges_of(spark, d, "CALLS").join(c, "source_id").join(s, "target_id"), "source_group", "target_group")
 
 
-@query("SELECT o_custkey, greatest(5, 100 - 25 * sum((o_orderpriority = '1-URGENT')::INT) - 7 * sum((o_orderpriority = '2-HIGH')::INT) - 2 * sum((o_orderpriority = '3-MEDIUM')::INT) - floor(50.0 * sum((o_orderstatus = 'O')::INT) / count(*) + 0.5))::BIGINT AS readiness FROM orders GROUP BY 1", lift=False)
-def readiness_score(spark, d):
-    count = lambda c: F.count_if(c)
-    p = F.col("o_orderpriority")
-    score = 100 - 25 * count(p == "1-URGENT") - 7 * count(p == "2-HIGH") - 2 * count(p == "3-MEDIUM") - F.floor(count(F.col("o_orderstatus") == "O") * 50.0 / F.count("*") + 0.5)
-    return table(spark, d, "orders").groupBy("o_custkey").agg(F.greatest(F.lit(5).cast("long"), score).alias("readiness"))
-
-
-@query("SELECT event_type, count(*) AS n, min(event_id) AS first_event, bool_or(value > 100) AS affects FROM events GROUP BY 1", lift=False)
-def warning_categories(spark, d):
-    return table(spark, d, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.min("event_id").alias("first_event"), F.bool_or(F.col("value") > 100).alias("affects"))
-
-
-@query("SELECT user_id, CASE WHEN max(ts) IS NULL THEN 'not-indexed' WHEN max(ts) < (SELECT max(ts) FROM events) - INTERVAL 24 HOUR THEN 'aged' ELSE 'fresh' END AS state FROM events GROUP BY 1", lift=False)
-def freshness_states(spark, d):
-    events = table(spark, d, "events")
-    last = events.groupBy("user_id").agg(F.max("ts").alias("last")).crossJoin(F.broadcast(events.agg(F.max("ts").alias("now"))))
-    return last.select("user_id", F.when(F.col("last").isNull(), "not-indexed").when(F.col("last") < F.col("now") - F.expr("INTERVAL 24 HOURS"), "aged").otherwise("fresh").alias("state"))
-
-
 @query("SELECT CASE WHEN value < 3 THEN '<3s' WHEN value < 30 THEN '3-30s' WHEN value < 120 THEN '30s-2m' ELSE '>2m' END AS bucket, count(*) AS n FROM events GROUP BY 1", lift=False)
 def telemetry_buckets(spark, d):
     return G.count_by(table(spark, d, "events").select(S.latency_bucket(F.col("value")).alias("bucket")), "bucket")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from graphloom.catalog import query
 from graphloom.operators import impact as I
+from graphloom.operators.graph import staged
 from graphloom.plans import vocabulary as V
 from graphloom.plans.lift import edges, nodes
 
@@ -104,20 +105,14 @@ def impact_classified(spark, d):
     return _impacts(spark, d).select("id", "directness", "confidence", F.array_join("evidence_types", ",").alias("evidence_types"), "basis", "proposed", "likelihood", "impact_type")
 
 
-@query(_SQL + f""", ranked AS (SELECT *, row_number() OVER (ORDER BY confidence DESC, {V.case("likelihood", V.LIKELIHOOD_RANK)}, id) AS place FROM impacts WHERE distance > 0)
-SELECT id, confidence, likelihood, (SELECT count(*) FROM ranked WHERE place > 100) AS dropped, (SELECT max(confidence) FROM ranked WHERE place > 100) AS highest_dropped FROM ranked WHERE place <= 100
-UNION ALL SELECT id, confidence, likelihood, (SELECT count(*) FROM ranked WHERE place > 100), (SELECT max(confidence) FROM ranked WHERE place > 100) FROM impacts WHERE distance = 0""")
+@query(_SQL + f""", ranked AS (SELECT *, row_number() OVER (ORDER BY distance > 0, confidence DESC, {V.case("likelihood", V.LIKELIHOOD_RANK)}, id) AS place FROM impacts)
+SELECT id, confidence, likelihood, (SELECT count(*) FROM ranked WHERE place > 100) AS dropped, (SELECT max(confidence) FROM ranked WHERE place > 100) AS highest_dropped FROM ranked WHERE place <= 100""")
 def impact_capped(spark, d):
-    """Anchors, and the 100 strongest of what they reach; how many were dropped, and the confidence of the strongest of those."""
-    from graphloom.operators.graph import staged
-
-    every = staged(_impacts(spark, d).select("id", "confidence", "likelihood", "distance"))
-    reached = every.filter("distance > 0")
-    rank = F.expr(V.case("likelihood", V.LIKELIHOOD_RANK))
-    page = reached.orderBy(F.desc("confidence"), rank, "id").limit(100)
-    page = staged(page)
-    left = reached.join(F.broadcast(page.select("id")), "id", "left_anti").agg(F.count("*").alias("dropped"), F.max("confidence").alias("highest_dropped"))
-    return page.unionByName(every.filter("distance = 0")).crossJoin(F.broadcast(left)).select("id", "confidence", "likelihood", "dropped", "highest_dropped")
+    """The hundred strongest impacts, anchors before all others; how many were dropped, and the confidence of the strongest of those."""
+    every = staged(_impacts(spark, d).select("id", "confidence", "likelihood", (F.col("distance") > 0).alias("reached")))
+    page = staged(every.orderBy("reached", F.desc("confidence"), F.expr(V.case("likelihood", V.LIKELIHOOD_RANK)), "id").limit(100))
+    left = every.join(F.broadcast(page.select("id")), "id", "left_anti").agg(F.count("*").alias("dropped"), F.max("confidence").alias("highest_dropped"))
+    return page.drop("reached").crossJoin(F.broadcast(left))
 
 
 @query(_SQL + "SELECT id, rule, role FROM impacts")
@@ -157,8 +152,6 @@ _ORDERED = _SQL + f""", keyed AS (SELECT *, {V.case("role", {"planning-impact":
 @query(_ORDERED + "SELECT id, role, likelihood, basis, confidence, (SELECT count(*) FROM keyed) AS total FROM placed WHERE place > (SELECT coalesce(max(place), 0) FROM placed WHERE id = 'customer:42') ORDER BY place LIMIT 20")
 def impact_page(spark, d):
     """Twenty impacts by strength after the cursor's, with the number of all."""
-    from graphloom.operators.graph import staged
-
     ranks = [F.expr(V.case("role", {"planning-impact": 0, "dependency-context": 1, "investigation-lead": 2})).alias("k1"), F.expr(V.case("likelihood", V.LIKELIHOOD_RANK)).alias("k2"), F.expr(V.case("basis", V.EVIDENCE_RANK)).alias("k3")]
     rows = staged(_impacts(spark, d).filter(F.col("likelihood").isin("required", "likely", "possible")).select("id", "role", "likelihood", "basis", "confidence", *ranks))
     page = I.after_cursor(rows, [("k1", True), ("k2", True), ("k3", True), ("confidence", False), ("id", True)], rows.filter("id = 'customer:42'"), 20)

@@ -32,20 +32,6 @@ def accompanying_change(spark, d):
     return R.missing_companions(changes, "l_orderkey", F.col("p_size") < 5, F.col("p_size") > 30)
 
 
-@query(f"{_SNAP} SELECT l_suppkey, n_regionkey AS context FROM s JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY ALL HAVING bool_or(now) AND NOT bool_or(was)", lift=False)
-def unmapped_contexts(spark, d):
-    home = F.broadcast(table(spark, d, "nation").select("n_nationkey", F.col("n_regionkey").alias("context")))
-    owner = table(spark, d, "customer").join(home, F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", "context")
-    touched = _snapshots(spark, d).join(owner, F.col("o_custkey") == F.col("c_custkey")).groupBy("l_suppkey", "context").agg(F.bool_or("was").alias("was"), F.bool_or("now").alias("now"))
-    return touched.filter("now and not was").select("l_suppkey", "context")
-
-
-@query("SELECT user_id, event_type, event_id, candidates FROM (SELECT *, count(*) OVER (PARTITION BY user_id) AS candidates, row_number() OVER (PARTITION BY user_id ORDER BY CASE event_type WHEN 'purchase' THEN 0 WHEN 'signup' THEN 1 ELSE 2 END, event_id DESC) AS r FROM events) WHERE r = 1", lift=False)
-def overlay_effective(spark, d):
-    rank = F.when(F.col("event_type") == "purchase", 0).when(F.col("event_type") == "signup", 1).otherwise(2)
-    return R.effective(table(spark, d, "events"), "user_id", rank, "event_id", "event_type")
-
-
 @query("SELECT CASE WHEN p_size > 40 THEN p_brand || ' ' || p_type ELSE p_name END AS name, count(*) AS n FROM part GROUP BY 1 HAVING count(*) > 1 AND bool_or(p_size > 40)", lift=False)
 def name_merge(spark, d):
     renamed = F.col("p_size") > 40
@@ -68,17 +54,6 @@ def _coverage(spark, d):
     return R.compared(_snapshots(spark, d), "was", "now").groupBy("o_custkey").agg(count("finding <> 'unexpected'").alias("predicted"), count("finding = 'matched'").alias("matched"), count("finding = 'unexpected'").alias("unexpected"))
 
 
-@query(f"{_COVER} SELECT * FROM c", lift=False)
-def requirement_coverage(spark, d):
-    return _coverage(spark, d)
-
-
-@query(f"{_COVER} SELECT CASE WHEN predicted = 0 THEN 'unplanned' WHEN matched = predicted AND unexpected = 0 THEN 'as-planned' WHEN matched > 0 THEN 'partial' ELSE 'missed' END AS verdict, count(*) AS n FROM c GROUP BY 1", lift=False)
-def review_verdict(spark, d):
-    verdict = F.when(F.col("predicted") == 0, "unplanned").when(F.expr("matched = predicted and unexpected = 0"), "as-planned").when(F.col("matched") > 0, "partial").otherwise("missed")
-    return G.count_by(_coverage(spark, d).select(verdict.alias("verdict")), "verdict")
-
-
 @query(f"SELECT l_suppkey, count(DISTINCT c_nationkey) AS declarers FROM calls {_OWNER} GROUP BY 1 HAVING count(DISTINCT c_nationkey) >= 4 AND 2 * count(DISTINCT c_nationkey) >= (SELECT count(*) FROM nation)")
 def dependency_ubiquity(spark, d):
     pairs = table(spark, d, "lineitem").join(table(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).select("o_custkey", "l_suppkey").distinct()
@@ -87,12 +62,6 @@ def dependency_ubiquity(spark, d):
     return declarers.crossJoin(eligible).filter("declarers >= 4 and 2 * declarers >= eligible").select("l_suppkey", "declarers")
 
 
-@query("SELECT source, sum(quality)::BIGINT AS accepted, sum(1 - quality)::BIGINT AS rejected FROM labels JOIN documents USING (doc_id) GROUP BY 1", lift=False)
-def outcome_aggregate(spark, d):
-    rows = table(spark, d, "labels").join(table(spark, d, "documents").select("doc_id", "source"), "doc_id")
-    return rows.groupBy("source").agg(F.sum("quality").alias("accepted"), F.sum(1 - F.col("quality")).alias("rejected"))
-
-
 @query("SELECT doc_id, len(regexp_split_to_array(text, '[.!?]+[ \\n]+'))::BIGINT AS sentences FROM documents WHERE text IS NOT NULL", lift=False)
 def sentence_split(spark, d):
     return table(spark, d, "documents").filter("text is not null").select("doc_id", F.size(F.split("text", "[.!?]+[ \\n]+")).cast("long").alias("sentences"))
