@@ -5,7 +5,7 @@ import os
 import duckdb
 import pytest
 
-from graphloom import catalog, catalog_impact, catalog_review, catalog_rules, catalog_search, catalog_store, catalog_text, catalog_walks  # noqa: F401 (they register their queries)
+from graphloom import catalog, catalog_enrich, catalog_impact, catalog_review, catalog_rules, catalog_search, catalog_store, catalog_text, catalog_walks  # noqa: F401 (they register their queries)
 from graphloom.operators import graph as G
 from graphloom.operators import impact as I
 from graphloom.operators import rules as R
