@@ -190,15 +190,20 @@ def led(keys: list[np.ndarray]) -> tuple[pa.Array, pa.Array, pa.Array]:
     return tuple(out)
 
 
-def flat(df: DataFrame, *lists: str) -> DataFrame:
-    """(key, id, more) of (id, lists of keys): ``more`` is 1 for keys of every list but the first."""
+def flat(df: DataFrame, *lists: str, most: int = 100_000) -> DataFrame:
+    """(key, id, more) of (id, lists of keys), about ``most`` at a time: ``more`` is 1 for keys of every list but the first."""
 
     def run(batches):
         for batch in batches:
             for more, column in enumerate(batch.columns[1:]):
-                sizes = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
-                key = column.flatten()
-                yield pa.RecordBatch.from_arrays([key, pa.array(np.repeat(batch.column(0).to_numpy(), sizes), pa.int64()), pa.array(np.full(len(key), min(more, 1)), pa.int64())], names=["key", "id", "more"])
+                sizes = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+                edges = [0, *(np.flatnonzero(np.diff(np.cumsum(sizes) // most)) + 1).tolist(), len(sizes)]
+                for start, end in zip(edges, edges[1:], strict=False):
+                    key = column.slice(start, end - start).flatten()
+                    if len(key):
+                        owner = np.repeat(batch.column(0).slice(start, end - start).to_numpy(), sizes[start:end])
+                        yield pa.RecordBatch.from_arrays([key, pa.array(owner, pa.int64()), pa.array(np.full(len(key), min(more, 1)), pa.int64())], names=["key", "id", "more"])
+        pa.default_memory_pool().release_unused()
 
     return df.select("id", *lists).mapInArrow(run, "key long, id long, more long")
 

@@ -95,7 +95,7 @@ def name_of(line: str) -> int:
     return xxhash.xxh64_intdigest(line.encode("utf-8", "surrogatepass"), 42)
 
 
-def lines_of(docs: DataFrame, edits: int, min_chars: int, most: int = 400_000) -> DataFrame:
+def lines_of(docs: DataFrame, edits: int, min_chars: int, most: int = 250_000) -> DataFrame:
     """(doc_id, line_no, row, id, sole, lead, tail) of the lines that are not blank, of rows (doc_id, text, row).
 
     There are no keys for lines of up to ``edits`` characters, nor for lines that the same task met a little before;
@@ -118,7 +118,7 @@ def lines_of(docs: DataFrame, edits: int, min_chars: int, most: int = 400_000) -
             return made
 
         for batch in batches:
-            for part in slices(batch, 1):
+            for part in slices(batch, 1, 1_000_000):
                 for doc_id, text, row in zip(part.column(0).to_pylist(), part.column(1), part.column(2).to_pylist(), strict=True):
                     for line_no, raw in enumerate((text.as_py() or "").split("\n")):
                         line = trimmed(raw)
@@ -127,7 +127,7 @@ def lines_of(docs: DataFrame, edits: int, min_chars: int, most: int = 400_000) -
                         name = name_of(line)
                         found = none
                         if len(line) > edits and name not in seen:
-                            if len(seen) > 200_000:
+                            if len(seen) > 100_000:
                                 seen.clear()
                             seen.add(name)
                             wide = line.encode("utf-32-le", "surrogatepass")
@@ -141,6 +141,7 @@ def lines_of(docs: DataFrame, edits: int, min_chars: int, most: int = 400_000) -
                         yield flush()
         if keys:
             yield flush()
+        pa.default_memory_pool().release_unused()
 
     lists = ", ".join(f"{x} array<long>" for x in ("sole", "lead", "tail"))
     return docs.select(F.col("doc_id").cast("long"), "text", "row").mapInArrow(run, f"doc_id long, line_no int, row long, id long, {lists}")

@@ -37,7 +37,7 @@ class Words(dict):
     """Word to 64-bit hash; forgets everything at a bounded size."""
 
     def __missing__(self, w: bytes) -> int:
-        if len(self) > 150_000:
+        if len(self) > 100_000:
             self.clear()
         self[w] = h = xxhash.xxh3_64_intdigest(w)
         return h
@@ -106,7 +106,7 @@ def folded(found: np.ndarray) -> bytes:
     return np.packbits((counts & 1).astype(np.uint8)).tobytes()
 
 
-def features(docs: DataFrame, width: int, percent: int, most: int = 1_000_000) -> DataFrame:
+def features(docs: DataFrame, width: int, percent: int, most: int = 250_000) -> DataFrame:
     """(doc_id, n, h1, h2, sketch, sole, lead, tail) for each row of (doc_id, text); the keys of about ``most`` at a time
     are told apart, and copies of a set among them have none."""
 
@@ -122,7 +122,7 @@ def features(docs: DataFrame, width: int, percent: int, most: int = 1_000_000) -
             return made
 
         for batch in batches:
-            for part in slices(batch, 1):
+            for part in slices(batch, 1, 1_000_000):
                 for doc_id, text in zip(part.column(0).to_pylist(), part.column(1), strict=True):
                     found = shingles(text.as_py(), width, words)
                     with np.errstate(over="ignore"):
@@ -131,11 +131,12 @@ def features(docs: DataFrame, width: int, percent: int, most: int = 1_000_000) -
                     keys.append(np.empty(0, np.int64) if name in seen else band_keys(found, percent))
                     seen.add(name)
                     total += len(keys[-1])
-                    if total > most or len(rows) >= 8192:
+                    if total > most or len(rows) >= 4096:
                         total = 0
                         yield flush()
         if rows:
             yield flush()
+        pa.default_memory_pool().release_unused()
 
     lists = ", ".join(f"{x} array<long>" for x in ("sole", "lead", "tail"))
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, f"doc_id long, n long, h1 long, h2 long, sketch binary, {lists}")
@@ -247,11 +248,11 @@ def op1_ngram_jaccard(spark, sf_dir: str) -> DataFrame:
 
 OP1_SQL = r"""
 WITH RECURSIVE words AS (
-  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), x -> x <> '') AS w
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
   FROM documents WHERE doc_id IS NOT NULL
 ), sets AS (
   SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN []::VARCHAR[] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
-    ELSE list_transform(range(1, len(w) - 1), i -> w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) END) AS s FROM words
+    ELSE list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) END) AS s FROM words
 ), each AS (SELECT doc_id, len(s) AS n, unnest(s) AS x FROM sets),
 pairs AS (
   SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared, any_value(a.n) AS n, any_value(b.n) AS m FROM each a JOIN each b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY 1, 2

@@ -40,7 +40,7 @@ class Known(dict):
         self.wanted = None if wanted is None else {f.partition("#")[0] for f in wanted}
 
     def __missing__(self, word: str) -> tuple[str, ...]:
-        if len(self) > 100_000:
+        if len(self) > 50_000:
             self.clear()
         self[word] = found = tuple(f for f in word_features(word) if self.wanted is None or f in self.wanted)
         return found
@@ -141,7 +141,7 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 8000, level: float
     def present(batches):
         known = Known(at)
         for batch in batches:
-            for part in slices(batch, 1):
+            for part in slices(batch, 1, 1_000_000):
                 hits = [sorted(at[f] for f in features_of(text, known) if f in at) for text in part.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), part.column(3), pa.array(hits, pa.list_(pa.int32()))], names=["doc_id", "toxic", "half", "at"])
 
@@ -178,7 +178,7 @@ def score(docs: DataFrame, model: OrdinalModel | None, threshold: float = 0.5) -
     def run(batches):
         known = Known(model.weights)
         for batch in batches:
-            for part in slices(batch, 1):
+            for part in slices(batch, 1, 1_000_000):
                 p = scores(part.column(1).to_pylist(), model, known)
                 first = np.round(p[:, 0], 6)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.round(p.sum(axis=1), 6)), pa.array(first), pa.array(first >= threshold)], names=["doc_id", "severity", "p_toxic", "is_toxic"])
@@ -198,7 +198,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> Da
     def run(batches):
         known = Known(model.weights)
         for batch in batches:
-            for part in slices(batch, at):
+            for part in slices(batch, at, 1_000_000):
                 yield part.filter(pa.array(np.round(scores(part.column(at).to_pylist(), model, known)[:, 0], 6) < threshold))
 
     return docs.mapInArrow(run, docs.schema)
