@@ -2,8 +2,8 @@
 
 A recording's spectrum is folded to twelve pitch classes per frame. Sixteen filters, rectangles of an integral image
 over the frames, give two bits each, packed to one 32-bit integer a frame. Recordings are aligned by the histogram of
-offsets at which integers agree, and judged by the bit errors at every offset with more than one such vote. A query is
-read at four starts within a frame's step, so that it meets a recording that begins anywhere.
+offsets at which the filters' signs agree in two integers a little apart, and judged by the bit errors at every such
+offset. A query is read at four starts within a frame's step, so that it meets a recording that begins anywhere.
 
 The tables hold no sound, so the query renders each embedding to a recording: one note a dimension.
 """
@@ -25,6 +25,8 @@ STARTS, SILENCE = (0, 256, 512, 768), 8.0
 #: Cuts between the two-bit levels of a filter's log ratio; neighbouring levels differ in one bit.
 CUTS, GRAY = (-0.12, 0.0, 0.12), np.array([0, 1, 3, 2], np.uint64)
 NOTE_SECONDS = 0.2
+#: The bits of an integer that say which half of a filter is the louder, and how far apart the two of a key are.
+SIGNS, APART = 0xAAAAAAAA, 4
 
 
 @lru_cache(maxsize=1)
@@ -153,19 +155,22 @@ def heard(a: str, b: str, offset: str):
 def align(queries: DataFrame, prints: DataFrame, max_error: float = 0.15, min_overlap: int = 20) -> DataFrame:
     """(query_id, rec_id, offset, start, votes, overlap, errors): recordings that hold the sound of a query.
 
-    ``queries`` has (rec_id, starts), ``prints`` (rec_id, codes). Codes vote where they begin (a code that lasts votes
-    once). Every offset of a start with two votes or more is judged: a match has at most ``max_error`` of the bits of an overlap of at least
-    ``min_overlap`` codes, or of all codes of the shorter recording. The offset of fewest errors is given, at ties the one of
-    most votes, then the one nearest 0. A recording that is one held sound has one vote, and so matches only its copies.
+    ``queries`` has (rec_id, starts), ``prints`` (rec_id, codes). A key is the signs of two codes APART frames from each
+    other; equal keys vote for an offset (a key that lasts votes once, where it begins). Every offset with a vote is judged: a match has at
+    most ``max_error`` of the bits of an overlap of at least ``min_overlap`` codes, or of all codes of the shorter
+    recording. The offset of fewest errors is given, at ties the one of most votes, then the one nearest 0. Recordings of
+    up to APART codes have no key and match only their copies.
     """
 
-    def begun(codes):
-        return F.filter(F.transform(codes, lambda x, i: F.struct(i.alias("pos"), F.when((i == 0) | (x != F.element_at(codes, F.greatest(i, F.lit(1)))), x).alias("key"))), lambda x: x["key"] >= 0)
+    def keys(codes):
+        n = F.greatest(F.size(codes) - APART, F.lit(0))
+        made = F.zip_with(F.slice(codes, 1, n), F.slice(codes, F.lit(1 + APART), n), lambda x, y: F.when((x >= 0) & (y >= 0), F.shiftleft(x.bitwiseAND(F.lit(SIGNS)), 31).bitwiseOR(F.shiftright(y.bitwiseAND(F.lit(SIGNS)), 1))))
+        return F.filter(F.transform(made, lambda x, i: F.struct(i.alias("pos"), x.alias("key"), F.when(i > 0, F.element_at(made, F.greatest(i, F.lit(1)))).alias("before"))), lambda x: x["key"].isNotNull() & ~x["key"].eqNullSafe(x["before"]))
 
     asked = queries.select(F.col("rec_id").alias("query_id"), F.posexplode("starts").alias("start", "qc"))
-    left = asked.select("query_id", "start", F.explode(begun("qc")).alias("q")).select("query_id", "start", F.col("q.pos").alias("q"), "q.key")
-    right = prints.select("rec_id", F.explode(begun("codes")).alias("r")).select("rec_id", F.col("r.pos").alias("r"), "r.key")
-    votes = left.join(right, "key").filter("query_id <> rec_id").groupBy("query_id", "rec_id", "start", (F.col("q") - F.col("r")).alias("offset")).agg(F.count("*").alias("votes")).filter("votes > 1")
+    left = asked.select("query_id", "start", F.explode(keys("qc")).alias("q")).select("query_id", "start", F.col("q.pos").alias("q"), "q.key")
+    right = prints.select("rec_id", F.explode(keys("codes")).alias("r")).select("rec_id", F.col("r.pos").alias("r"), "r.key")
+    votes = left.join(right, "key").filter("query_id <> rec_id").groupBy("query_id", "rec_id", "start", (F.col("q") - F.col("r")).alias("offset")).agg(F.count("*").alias("votes"))
     both = votes.join(asked, ["query_id", "start"]).join(prints.select("rec_id", F.col("codes").alias("rc")), "rec_id")
     told = both.withColumn("heard", heard("qc", "rc", "offset")).withColumn("overlap", F.size("heard")).withColumn("errors", F.aggregate("heard", F.lit(0).cast("long"), lambda s, x: s + x))
     enough = F.least(F.lit(min_overlap), F.size(F.filter("qc", lambda x: x >= 0)), F.size(F.filter("rc", lambda x: x >= 0)))
