@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from graphloom.functions import scalars as S
 from graphloom.operators import graph as G
+from graphloom.operators.impact import after_cursor
 from graphloom.plans.lift import LIFT_SQL, edges, edges_of, nodes, table
 
 QUERIES: dict = {}
@@ -40,9 +41,12 @@ def find_nodes_filter(spark, d):
     return G.find_nodes(nodes(spark, d), category="integration", name_part="1").select("id", "name", "path")
 
 
-@query("SELECT provenance, category, count(*) AS n FROM nodes GROUP BY ALL")
+@query("SELECT provenance, category, count(*) AS n FROM (SELECT *, CASE WHEN id LIKE '%7' THEN 'llm-inferred' WHEN id LIKE '%8' THEN 'human-confirmed' ELSE provenance END AS p FROM nodes) WHERE p NOT IN ('llm-inferred') GROUP BY ALL")
 def knowledge_category_filter(spark, d):
-    return G.count_by(nodes(spark, d), "provenance", "category")
+    """Nodes of deterministic or human knowledge; some are marked as inferred or confirmed."""
+    marked = F.when(F.col("id").endswith("7"), "llm-inferred").when(F.col("id").endswith("8"), "human-confirmed").otherwise(F.col("provenance"))
+    kept = G.of_knowledge(nodes(spark, d).withColumn("p", marked), "p", ("deterministic", "human-confirmed"))
+    return G.count_by(kept, "provenance", "category")
 
 
 @query("SELECT id, 'source_id' AS missing FROM edges WHERE source_id NOT IN (SELECT id FROM nodes WHERE category <> 'domain') UNION ALL SELECT id, 'target_id' FROM edges WHERE target_id NOT IN (SELECT id FROM nodes WHERE category <> 'domain')")
@@ -166,7 +170,7 @@ def group_sizes(spark, d):
 
 @query("SELECT sn.n_regionkey AS source_group, tn.n_regionkey AS target_group, count(*) AS n FROM calls JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey JOIN nation sn ON c_nationkey = sn.n_nationkey JOIN nation tn ON s_nationkey = tn.n_nationkey GROUP BY ALL")
 def group_edges_by_context(spark, d):
-    home = F.broadcast(table(spark, d, "nation").select("n_nationkey", "n_regionkey"))
+    home = table(spark, d, "nation").select("n_nationkey", "n_regionkey")
     c = table(spark, d, "customer").join(home, F.col("c_nationkey") == F.col("n_nationkey")).select(F.concat(F.lit("customer:"), "c_custkey").alias("source_id"), F.col("n_regionkey").alias("source_group"))
     s = table(spark, d, "supplier").join(home, F.col("s_nationkey") == F.col("n_nationkey")).select(F.concat(F.lit("supplier:"), "s_suppkey").alias("target_id"), F.col("n_regionkey").alias("target_group"))
     return G.count_by(edges_of(spark, d, "CALLS").join(c, "source_id").join(s, "target_id"), "source_group", "target_group")
@@ -229,10 +233,11 @@ def unresolved_links(spark, d):
     return G.count_by(links.join(own, "href", "left_anti"), "href")
 
 
-@query("SELECT id, type, total FROM (SELECT id, type, count(*) OVER () AS total, row_number() OVER (ORDER BY type, id) AS pos FROM nodes WHERE category <> 'domain') WHERE pos > 20 AND pos <= 40")
+@query("SELECT id, type, (SELECT count(*) FROM nodes WHERE category <> 'domain') AS total FROM nodes WHERE category <> 'domain' AND (type > 'service' OR type = 'service' AND id > 'customer:42') ORDER BY type, id LIMIT 20")
 def keyset_page(spark, d):
+    """Twenty nodes by type and id after the cursor's, with the number of all."""
     rows = nodes(spark, d).filter("category <> 'domain'").select("id", "type")
-    page = rows.orderBy("type", "id").limit(40).offset(20)
+    page = after_cursor(rows, [("type", True), ("id", True)], rows.filter("id = 'customer:42'"), 20)
     return page.crossJoin(F.broadcast(rows.agg(F.count("*").alias("total"))))
 
 

@@ -15,7 +15,7 @@ FORBIDDEN = [("no-0-to-1", 0, 1), ("no-2-to-0", 2, 0), ("no-4-to-3", 4, 3)]
 
 
 def _contexts(spark, d, name, kind, key, nation):
-    home = F.broadcast(table(spark, d, "nation").select("n_nationkey", F.col("n_regionkey").alias("context")))
+    home = table(spark, d, "nation").select("n_nationkey", F.col("n_regionkey").alias("context"))
     return table(spark, d, name).join(home, F.col(nation) == F.col("n_nationkey")).select(nid(kind, key).alias("id"), "context")
 
 

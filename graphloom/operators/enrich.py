@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.operators.graph import staged
+from graphloom.operators.graph import small, staged
 from graphloom.operators.texts import route
 
 # Files that say what they are by their path; fixed values, in this order.
@@ -65,7 +65,7 @@ def detected(files: DataFrame, path: str) -> DataFrame:
 
 def custom_detections(facts: DataFrame, rules: DataFrame) -> DataFrame:
     """(id, rule, produces): facts (id, kind, name) that a rule (rule, kind, name, produces) asks for."""
-    return facts.join(F.broadcast(rules), ["kind", "name"]).select("id", "rule", "produces")
+    return facts.join(small(rules), ["kind", "name"]).select("id", "rule", "produces")
 
 
 def exported_names(exports: DataFrame, wanted: DataFrame, max_hops: int = 12) -> DataFrame:

@@ -15,6 +15,18 @@ def count_by(df: DataFrame, *keys: str) -> DataFrame:
     return df.groupBy(*keys).agg(F.count("*").alias("n"))
 
 
+def small(df: DataFrame, rows: int = 100_000) -> DataFrame:
+    """``df`` with a broadcast hint if a count shows at most ``rows`` (narrow) rows, else as it is."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+def of_knowledge(df: DataFrame, provenance: str, wanted: tuple[str, ...]) -> DataFrame:
+    """Rows whose provenance is of one of the wanted categories: deterministic, ai-inferred or human-confirmed."""
+    category = F.when(F.col(provenance) == "llm-inferred", "ai-inferred").when(F.col(provenance) == "human-confirmed", "human-confirmed")
+    category = category.when(F.col(provenance).isin("static-analysis", "configuration", "git-history", "framework-convention"), "deterministic")
+    return df.filter(category.isin(*wanted))
+
+
 def find_nodes(nodes: DataFrame, category: str | None = None, type_: str | None = None, name_part: str | None = None) -> DataFrame:
     """Nodes that pass all given filters; ``name_part`` is a case-insensitive substring."""
     for given, condition in ((category, F.col("category") == category), (type_, F.col("type") == type_), (name_part, F.contains(F.lower("name"), F.lit((name_part or "").lower())))):

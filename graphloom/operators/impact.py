@@ -165,7 +165,7 @@ def change_shape(anchors: DataFrame, edges: DataFrame, roots: Column) -> DataFra
     """One row: shape, far_reaching, chained, containers, max_depth, max_chain for the nodes of ``anchors`` (id, type, path)."""
     ends = edges.filter(F.col("type").isin(*V.CHAIN))
     chained = ends.select(F.col("source_id").alias("id")).unionByName(ends.select(F.col("target_id").alias("id")))
-    held = anchors.join(chained.join(F.broadcast(anchors.select("id")), "id", "left_semi").distinct().withColumn("chained", F.lit(True)), "id", "left")
+    held = anchors.join(chained.join(anchors.select("id"), "id", "left_semi").distinct().withColumn("chained", F.lit(True)), "id", "left")
     flags = held.agg(F.count("*").alias("n"), F.count_if(F.col("type").isin(*V.FAR_REACHING)).alias("far_reaching"), F.count_if("chained").alias("chained"), F.count_distinct(F.coalesce(roots, F.lit("(unattributed)"))).alias("containers"))
     shape = F.when((F.col("n") == 0) | (F.col("far_reaching") > 0) | (F.col("chained") > 0) | (F.col("containers") > 1), "distributed").otherwise("contained")
     rows = flags.withColumn("shape", shape)

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from graphloom.operators.graph import small
+
 # Fixed values, in their order.
 NOISE_PREFIXES = (".git/", "node_modules/", "vendor/")
 PREDICTIVE = ("required", "likely", "possible")
@@ -192,12 +194,12 @@ def constraint_findings(proposed: DataFrame, constraints: DataFrame, exemptions:
     pairs = [(m, k) for m, kinds in APPLIES.items() for k in kinds]
     kind = F.array(*(F.struct(F.lit(m).alias("mechanism"), F.lit(k).alias("kind")) for m, k in pairs))
     ruled = constraints.withColumn("p", F.explode(F.filter(kind, lambda p: p["kind"] == F.col("kind")))).withColumn("mechanism", F.col("p.mechanism")).drop("p")
-    rows = proposed.join(F.broadcast(ruled), "mechanism")
+    rows = proposed.join(small(ruled), "mechanism")
     by_path = F.col("source_path").isNotNull() & F.startswith("source_path", F.col("scope"))
     by_name = (F.length("scope") > 2) & F.contains(F.lower("source_ref"), F.lower(F.regexp_replace("scope", "/+$", "")))
     rows = rows.withColumn("by_path", by_path).filter(F.col("by_path") | (F.col("scope") == "") | by_name)
     allowed = (F.col("kind") == "boundary-restriction") & F.col("allowed").isNotNull() & (F.col("target_path").isNull() | F.startswith("target_path", F.col("allowed")))
-    rows = rows.filter(~allowed).join(F.broadcast(exemptions.select("constraint", F.col("subject").alias("source_ref"))), ["constraint", "source_ref"], "left_anti")
+    rows = rows.filter(~allowed).join(exemptions.select("constraint", F.col("subject").alias("source_ref")), ["constraint", "source_ref"], "left_anti")
     blocking = F.col("authority") & F.col("by_path") & (F.col("confidence") >= 80)
     return rows.select("requirement", "constraint", F.when(blocking, "blocking").otherwise("warning").alias("severity"), F.when(blocking, 90).when(F.col("by_path"), 70).otherwise(50).alias("confidence"))
 

@@ -24,7 +24,7 @@ def nid(kind: str, key) -> Column:
 def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(id, category, type, name, path, provenance) of all nodes; paths nest a nation below its region."""
     t = lambda name: table(spark, sf_dir, name)
-    nation = t("nation").join(F.broadcast(t("region")), F.col("n_regionkey") == F.col("r_regionkey"))
+    nation = t("nation").join(t("region"), F.col("n_regionkey") == F.col("r_regionkey"))
     home = nation.select("n_nationkey", F.concat_ws("/", "r_name", "n_name").alias("home"))
 
     def made(df, kind, key, category, type_, name, path, provenance="static-analysis"):
@@ -33,8 +33,8 @@ def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reduce(DataFrame.unionByName, [
         made(t("region"), "region", "r_regionkey", "repository", "workspace", F.col("r_name"), F.col("r_name"), "configuration"),
         made(nation, "nation", "n_nationkey", "repository", "package", F.col("n_name"), F.concat_ws("/", "r_name", "n_name"), "configuration"),
-        made(t("customer").join(F.broadcast(home), F.col("c_nationkey") == F.col("n_nationkey")), "customer", "c_custkey", "application", "service", F.col("c_name"), F.concat_ws("/", "home", "c_name")),
-        made(t("supplier").join(F.broadcast(home), F.col("s_nationkey") == F.col("n_nationkey")), "supplier", "s_suppkey", "integration", "third-party-service", F.col("s_name"), F.concat_ws("/", "home", "s_name")),
+        made(t("customer").join(home, F.col("c_nationkey") == F.col("n_nationkey")), "customer", "c_custkey", "application", "service", F.col("c_name"), F.concat_ws("/", "home", "c_name")),
+        made(t("supplier").join(home, F.col("s_nationkey") == F.col("n_nationkey")), "supplier", "s_suppkey", "integration", "third-party-service", F.col("s_name"), F.concat_ws("/", "home", "s_name")),
         made(t("part"), "part", "p_partkey", "data", "table", F.col("p_name"), F.concat(F.lit("parts/"), F.col("p_brand"), F.lit("/"), F.col("p_name"), F.lit("#"), F.col("p_partkey"))),
         made(t("orders"), "order", "o_orderkey", "domain", "domain-event", F.col("o_orderkey").cast("string"), F.concat(F.lit("orders/"), F.year("o_orderdate"), F.lit("/"), F.col("o_orderkey")), "git-history"),
     ])
