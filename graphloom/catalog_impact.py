@@ -80,8 +80,15 @@ impacts AS (SELECT *, CASE WHEN rule IN ('non-goal-excluded', 'reachable-only')
 _SQL = _impact_sql()
 
 
+_WALKS: dict = {}
+
+
 def _walked(spark, d):
-    return I.traverse(edges(spark, d), _matches(spark, d), DEPTH, CHAIN_HOPS)
+    """The walk over a folder's graph, written once a session: all queries over impacts read it."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _WALKS:
+        _WALKS[key] = staged(I.traverse(edges(spark, d), _matches(spark, d), DEPTH, CHAIN_HOPS))
+    return _WALKS[key]
 
 
 def _impacts(spark, d):
