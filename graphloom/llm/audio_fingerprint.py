@@ -162,14 +162,16 @@ def align(queries: DataFrame, prints: DataFrame, max_error: float = 0.15, min_ov
     up to APART codes have no key and match only their copies.
     """
 
-    def keys(codes):
+    def keyed(df: DataFrame, codes: str, *names: str) -> DataFrame:
         n = F.greatest(F.size(codes) - APART, F.lit(0))
         made = F.zip_with(F.slice(codes, 1, n), F.slice(codes, F.lit(1 + APART), n), lambda x, y: F.when((x >= 0) & (y >= 0), F.shiftleft(x.bitwiseAND(F.lit(SIGNS)), 31).bitwiseOR(F.shiftright(y.bitwiseAND(F.lit(SIGNS)), 1))))
-        return F.filter(F.transform(made, lambda x, i: F.struct(i.alias("pos"), x.alias("key"), F.when(i > 0, F.element_at(made, F.greatest(i, F.lit(1)))).alias("before"))), lambda x: x["key"].isNotNull() & ~x["key"].eqNullSafe(x["before"]))
+        rows = df.select(*names, made.alias("keys"))
+        runs = F.zip_with("keys", F.concat(F.array(F.lit(None).cast("long")), "keys"), lambda x, before: F.when(~x.eqNullSafe(before), x))
+        return rows.select(*names, F.posexplode(runs).alias("pos", "key")).filter("key is not null")
 
     asked = queries.select(F.col("rec_id").alias("query_id"), F.posexplode("starts").alias("start", "qc"))
-    left = asked.select("query_id", "start", F.explode(keys("qc")).alias("q")).select("query_id", "start", F.col("q.pos").alias("q"), "q.key")
-    right = prints.select("rec_id", F.explode(keys("codes")).alias("r")).select("rec_id", F.col("r.pos").alias("r"), "r.key")
+    left = keyed(asked, "qc", "query_id", "start").withColumnRenamed("pos", "q")
+    right = keyed(prints, "codes", "rec_id").withColumnRenamed("pos", "r")
     votes = left.join(right, "key").filter("query_id <> rec_id").groupBy("query_id", "rec_id", "start", (F.col("q") - F.col("r")).alias("offset")).agg(F.count("*").alias("votes"))
     both = votes.join(asked, ["query_id", "start"]).join(prints.select("rec_id", F.col("codes").alias("rc")), "rec_id")
     told = both.withColumn("heard", heard("qc", "rc", "offset")).withColumn("overlap", F.size("heard")).withColumn("errors", F.aggregate("heard", F.lit(0).cast("long"), lambda s, x: s + x))
