@@ -143,28 +143,38 @@ def _compared(rest: DataFrame, info: DataFrame, compare, block: int) -> DataFram
     def cells(batches):
         held, rows = None, []
 
+        def listed(low, high):
+            columns = [pa.array(np.concatenate(x) if x else np.empty(0, np.int64), pa.int64()) for x in (low, high)]
+            low.clear(), high.clear()
+            return pa.RecordBatch.from_arrays(columns, names=["a", "b"])
+
         def pairs():
             rows.sort()
-            size = np.array([r[0] for r in rows])
-            label, part = np.array([r[2] for r in rows]), np.array([r[3] for r in rows])
-            a, b = [], []
-            if (label != label[0]).any():
-                for i, js in compare(size, [r[4] for r in rows]):
-                    js = js[(label[js] != label[i]) & ((part[js] != part[i]) | (held[1] == held[2]))]
-                    a += [rows[i][1]] * len(js)
-                    b += [rows[j][1] for j in js]
-            low, high = [min(x) for x in zip(a, b, strict=True)], [max(x) for x in zip(a, b, strict=True)]
-            return pa.RecordBatch.from_arrays([pa.array(low, pa.int64()), pa.array(high, pa.int64())], names=["a", "b"])
+            size, name, label, part = (np.array([r[k] for r in rows], np.int64) for k in range(4))
+            if (label == label[0]).all():
+                return
+            low, high, n = [], [], 0
+            for i, js in compare(size, [r[4] for r in rows]):
+                js = js[(label[js] != label[i]) & ((part[js] != part[i]) | (held[1] == held[2]))]
+                low.append(np.minimum(name[js], name[i]))
+                high.append(np.maximum(name[js], name[i]))
+                n += len(js)
+                if n > 50_000:
+                    n = 0
+                    yield listed(low, high)
+            yield listed(low, high)
 
         for batch in batches:
-            for key, lo, hi, *row in zip(*(batch.column(i).to_pylist() for i in range(8)), strict=True):
-                if held != (key, lo, hi):
-                    if len(rows) > 1:
-                        yield pairs()
-                    held, rows = (key, lo, hi), []
-                rows.append(tuple(row))
+            for at in range(0, batch.num_rows, 1000):
+                for key, lo, hi, *row in zip(*(c.to_pylist() for c in batch.slice(at, 1000).columns), strict=True):
+                    if held != (key, lo, hi):
+                        if len(rows) > 1:
+                            yield from pairs()
+                        held, rows = (key, lo, hi), []
+                    rows.append(tuple(row))
         if len(rows) > 1:
-            yield pairs()
+            yield from pairs()
+        pa.default_memory_pool().release_unused()
 
     blocks = F.ceil(F.col("n") / block).cast("int")
     part = F.pmod(F.xxhash64("id"), blocks).cast("int")

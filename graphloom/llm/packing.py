@@ -92,7 +92,7 @@ def pieces(docs: DataFrame, capacity: int, path: str | None = None) -> DataFrame
         known = Chunks(path or public_tokenizers.path("word_bpe_49k.json"))
         for batch in batches:
             sizes = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-            share = np.cumsum(sizes) // 4_000_000
+            share = np.cumsum(sizes) // 2_000_000
             for rows in np.split(np.arange(batch.num_rows), np.flatnonzero(np.diff(share)) + 1):
                 if len(rows):
                     part = batch.slice(rows[0], len(rows))
