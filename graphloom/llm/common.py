@@ -104,7 +104,7 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def link_buckets(members: DataFrame, info: DataFrame, verify, compare, block: int = 2048, pivot_rounds: int = 3) -> DataFrame:
+def link_buckets(members: DataFrame, info: DataFrame, verify, compare, block: int = 2048, pivot_rounds: int = 3, few: int = 32) -> DataFrame:
     """Components of the graph whose links are the true pairs among rows that share a bucket.
 
     ``members`` has (key, id, pivot, n): buckets of at least two ids, each with its smallest id and its size.
@@ -113,8 +113,8 @@ def link_buckets(members: DataFrame, info: DataFrame, verify, compare, block: in
     yields for each row i the later rows j that may be linked with it, as (i, array of j).
 
     Pairs of a bucket are not listed while one component holds it: first every member is held against the pivot;
-    then only buckets whose other members still are in several components go on. Those over ``block`` members take
-    more pivots first. What is left is compared across components in cells of two blocks of bounded size each, and only
+    then only buckets whose other members still are in several components go on. Those over ``few`` members take
+    more pivots first, each of which costs no more than a pair a member. What is left is compared across components in cells of two blocks of bounded size each, and only
     pairs that pass ``compare`` are listed and verified, so that no link is lost. Returns (id, label) for linked ids.
     """
     links = stage(verify(members.filter("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()))
@@ -124,13 +124,13 @@ def link_buckets(members: DataFrame, info: DataFrame, verify, compare, block: in
         named = rest.join(labels, "id", "left").select("key", "id", F.coalesce("label", "id").alias("label"))
         state = named.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min("id").alias("pivot"), F.min_by("label", "id").alias("pivot_label"), F.count("*").alias("n")).filter("lo <> hi")
         rest = stage(named.join(state.drop("lo", "hi"), "key"))
-        if turn == pivot_rounds or rest.filter(F.col("n") > block).isEmpty():
+        if turn == pivot_rounds or rest.filter(F.col("n") > few).isEmpty():
             break
-        hot = rest.filter(F.col("n") > block)
+        hot = rest.filter(F.col("n") > few)
         pairs = hot.filter("label <> pivot_label").select(F.col("pivot").alias("a"), F.col("id").alias("b"))
         links = links.unionByName(stage(verify(pairs.distinct())))
         labels = components(links)
-        rest = rest.filter((F.col("n") <= block) | (F.col("id") != F.col("pivot"))).select("key", "id")
+        rest = rest.filter((F.col("n") <= few) | (F.col("id") != F.col("pivot"))).select("key", "id")
     if rest.isEmpty():
         return labels
     found = stage(verify(_compared(rest, info, compare, block).distinct()))
