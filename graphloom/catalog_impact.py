@@ -39,36 +39,37 @@ c{n} AS MATERIALIZED (SELECT * FROM (SELECT concept, mechanism, anchor, b AS id,
 f{n} AS MATERIALIZED (SELECT * FROM c{n} WHERE (anchor, id) NOT IN (SELECT (anchor, id) FROM s{n - 1}) QUALIFY row_number() OVER (PARTITION BY anchor, id ORDER BY ord) = 1),
 s{n} AS MATERIALIZED (SELECT anchor, id FROM s{n - 1} UNION ALL SELECT anchor, id FROM f{n})"""
     routes = " UNION ALL ".join(f"SELECT * FROM {x}" for x in ("f0", *(f"c{n}" for n in range(1, DEPTH + CHAIN_HOPS + 1))))
+    return out + f", routes AS MATERIALIZED ({routes})"
+
+
+def scored_sql(by: str = "", change: str = "'unknown'") -> str:
+    """From ``routes`` to ``impacts`` with roles; ``by`` names, with commas behind, what else a route belongs to."""
     bases = lambda test: "list_filter([" + ", ".join(test) + "], lambda x: x IS NOT NULL)"
     node_test = lambda k: f"type IN ({V.listed(V.BASIS_NODES[k])})"
     ruled = bases([f"CASE WHEN list_has_any(edge_types, [{V.listed(V.BASIS_EDGES[k])}]) OR {node_test(k)} THEN '{k}' END" for k in V.BASIS_EDGES])
     at_anchor = "list_concat(['direct-structural'], " + bases([f"CASE WHEN {node_test(k)} THEN '{k}' END" for k in ("configuration-asset", "async-event", "external-contract")]) + ")"
     signal = " + ".join(f"CASE WHEN list_contains(corroborating, '{k}') THEN {v} ELSE 0 END" for k, v in V.EDGE_SIGNAL.items())
     container = f"mechanism IN ('exact', 'alias') AND type IN ({V.listed(V.CONTAINER_TYPES)}) AND NOT contains(concept, '/')"
-    return out + f""",
-routes AS MATERIALIZED ({routes}),
-near AS (SELECT id, min(distance) AS distance, list_sort(list_distinct(list(concept))) AS anchor_concepts, count(*) > 1 AND bool_or(anchor <> id AND list_has_any(edge_types, [{V.listed(V.PROPAGATING)}])) AS corroborated FROM routes GROUP BY id),
-won AS MATERIALIZED (SELECT id, distance, arg_min({{'path': path, 'edge_types': edge_types, 'concept': concept, 'mechanism': mechanism}}, {{'s': -{V.case("mechanism", V.MECHANISM_STRENGTH, "0")}, 'p': path}}) AS w,
+    obliges = lambda kinds: f"CASE WHEN {change} IN ({V.listed(kinds)}) THEN 'likely' ELSE 'possible' END"
+    duty = f"CASE edge_types[1] WHEN '{V.NEVER_STRONG}' THEN 'possible' " + " ".join(f"WHEN '{k}' THEN {obliges(v)}" for k, v in V.OBLIGES.items()) + f" ELSE {obliges(V.REFERENCE_OBLIGES)} END"
+    rank = lambda c: V.case(c, V.LIKELIHOOD_RANK)
+    strong, predictive = "likelihood IN ('required', 'likely')", "likelihood IN ('required', 'likely', 'possible')"
+    structural = f"basis IN ('direct-structural', 'transitive-structural', {V.listed(V.BASIS_EDGES)})"
+    return f""",
+near AS (SELECT {by}id, min(distance) AS distance, list_sort(list_distinct(list(concept))) AS anchor_concepts, count(*) > 1 AND bool_or(anchor <> id AND list_has_any(edge_types, [{V.listed(V.PROPAGATING)}])) AS corroborated FROM routes GROUP BY {by}id),
+won AS MATERIALIZED (SELECT {by}id, distance, arg_min({{'path': path, 'edge_types': edge_types, 'concept': concept, 'mechanism': mechanism}}, {{'s': -{V.case("mechanism", V.MECHANISM_STRENGTH, "0")}, 'p': path}}) AS w,
   list_sort(list_distinct(flatten(list(edge_types)))) AS corroborating, bool_or(admissible) AS admissible, bool_and(weak) AS weak, any_value(anchor_concepts) AS anchor_concepts, any_value(corroborated) AS corroborated
-  FROM routes JOIN near USING (id, distance) GROUP BY id, distance),
-cand AS (SELECT id, distance, w.path AS path, w.edge_types AS edge_types, w.concept AS concept, w.mechanism AS mechanism, corroborating, admissible, weak, anchor_concepts, corroborated FROM won),
+  FROM routes JOIN near USING ({by}id, distance) GROUP BY {by}id, distance),
+cand AS (SELECT {by}id, distance, w.path AS path, w.edge_types AS edge_types, w.concept AS concept, w.mechanism AS mechanism, corroborating, admissible, weak, anchor_concepts, corroborated FROM won),
 named AS (SELECT c.*, n.category, n.type, {V.case("mechanism", V.MECHANISM_BASIS, "'lexical-only'")} AS from_match FROM cand c JOIN nodes n USING (id) WHERE admissible),
 scored AS (SELECT *, greatest({V.LEAST}, least({V.MOST}, CASE WHEN distance = 0 AND {container} THEN {V.CONTAINER_NAME_SIGNAL} ELSE {V.case("mechanism", V.MECHANISM_SIGNAL, "50")} END + {V.HOP} * distance + {signal}))::BIGINT AS confidence,
   list_sort(CASE WHEN from_match <> 'direct-structural' THEN [from_match] WHEN distance = 0 THEN {at_anchor} WHEN len({ruled}) > 0 THEN {ruled} WHEN distance = 1 THEN ['direct-structural'] ELSE ['transitive-structural'] END) AS evidence_types,
   CASE WHEN distance = 0 AND {container} THEN 'possible' WHEN distance = 0 AND mechanism IN ('semantic', 'lexical') THEN 'possible' WHEN distance = 0 THEN 'required'
     WHEN type IN ({V.listed(V.CONTAINER_TYPES)}) AND mechanism IN ({V.listed(V.GUESSED)}) AND len(corroborating) > 0 AND len(list_filter(corroborating, lambda x: x NOT IN ({V.listed(V.UPWARD_ONLY)}))) = 0 THEN 'unlikely'
-    WHEN mechanism = 'path-segment' THEN 'unlikely' WHEN distance > 1 THEN 'possible' WHEN NOT weak THEN 'likely' ELSE 'possible' END AS proposed,
+    WHEN mechanism = 'path-segment' THEN 'unlikely' WHEN distance > 1 THEN 'possible' WHEN NOT weak THEN 'likely' ELSE {duty} END AS proposed,
   CASE WHEN distance = 0 THEN 'direct' ELSE 'indirect' END AS directness FROM named),
-based AS (SELECT *, arg_min(e, {V.case("e", V.EVIDENCE_RANK)}) AS basis FROM (SELECT *, unnest(evidence_types) AS e FROM scored) GROUP BY ALL EXCLUDE (e)),
-"""
-
-
-def _impact_sql() -> str:
-    base = _walk_sql().replace("based AS (SELECT *, arg_min", "based AS (SELECT * EXCLUDE (e), arg_min").replace("GROUP BY ALL EXCLUDE (e))", "GROUP BY ALL)")
-    rank = lambda c: V.case(c, V.LIKELIHOOD_RANK)
-    strong, predictive = "likelihood IN ('required', 'likely')", "likelihood IN ('required', 'likely', 'possible')"
-    structural = f"basis IN ('direct-structural', 'transitive-structural', {V.listed(V.BASIS_EDGES)})"
-    return base + f"""capped AS (SELECT *, CASE WHEN {rank("proposed")} >= {rank(f"({V.case('basis', V.EVIDENCE)})")} THEN proposed ELSE {V.case("basis", V.EVIDENCE)} END AS likelihood,
+based AS (SELECT * EXCLUDE (e), arg_min(e, {V.case("e", V.EVIDENCE_RANK)}) AS basis FROM (SELECT *, unnest(evidence_types) AS e FROM scored) GROUP BY ALL),
+capped AS (SELECT *, CASE WHEN {rank("proposed")} >= {rank(f"({V.case('basis', V.EVIDENCE)})")} THEN proposed ELSE {V.case("basis", V.EVIDENCE)} END AS likelihood,
   coalesce({V.case("type", V.IMPACT_BY_TYPE)}, {V.case("category", V.IMPACT_BY_CATEGORY)}, 'domain-model') AS impact_type FROM based),
 ruled AS (SELECT *, CASE WHEN likelihood = 'excluded' THEN 'non-goal-excluded' WHEN distance = 0 AND mechanism IN ('exact', 'alias', 'path-suffix') AND {strong} THEN 'named-by-specification'
   WHEN NOT {structural} AND directness = 'direct' AND {strong} THEN 'resolved-by-resemblance' WHEN NOT {structural} THEN 'resemblance-only' WHEN {strong} THEN 'structural-obligation'
@@ -77,18 +78,12 @@ impacts AS (SELECT *, CASE WHEN rule IN ('non-goal-excluded', 'reachable-only')
 """
 
 
-_SQL = _impact_sql()
-
-
-_WALKS: dict = {}
+_SQL = _walk_sql() + scored_sql()
 
 
 def _walked(spark, d):
-    """The walk over a folder's graph, written once a session: all queries over impacts read it."""
-    key = (spark.sparkContext.applicationId, d)
-    if key not in _WALKS:
-        _WALKS[key] = staged(I.traverse(edges(spark, d), _matches(spark, d), DEPTH, CHAIN_HOPS))
-    return _WALKS[key]
+    """The walk over a folder's graph."""
+    return I.traverse(edges(spark, d), _matches(spark, d), DEPTH, CHAIN_HOPS)
 
 
 def _impacts(spark, d):
@@ -179,7 +174,7 @@ def impact_filters(spark, d):
 _SHAPE = "+ a AS (SELECT * FROM nodes WHERE id IN ({})), c AS (SELECT DISTINCT a.id FROM a JOIN edges e ON e.type IN ('PUBLISHES') AND (source_id = a.id OR target_id = a.id)), f AS (SELECT count(*) FILTER (type IN ('table')) AS far_reaching, (SELECT count(*) FROM c) AS chained, count(DISTINCT split_part(path, '/', 1)) AS containers FROM a)"
 
 
-@query(_SHAPE.format("'supplier:1', 'nation:1', 'customer:3'") + " SELECT CASE WHEN far_reaching > 0 OR chained > 0 OR containers > 1 THEN 'distributed' ELSE 'contained' END AS shape, far_reaching, chained, containers, 2 AS max_depth, CASE WHEN far_reaching > 0 OR chained > 0 OR containers > 1 THEN 8 ELSE 1 END AS max_chain FROM f")
+@query(_SHAPE.format("'supplier:1', 'nation:1', 'customer:3'") + " SELECT CASE WHEN far_reaching > 0 OR chained > 0 OR containers > 1 THEN 'distributed' ELSE 'contained' END AS shape, far_reaching, chained, containers, 2 AS max_depth, CASE WHEN far_reaching > 0 OR chained > 0 OR containers > 1 THEN 8 ELSE 1 END AS max_chain, CASE WHEN far_reaching > 0 OR chained > 0 OR containers > 1 THEN 20000 ELSE 2000 END AS max_expansions FROM f")
 def change_shape(spark, d):
     anchors = nodes(spark, d).filter(F.col("id").isin(*MATCHED))
     return I.change_shape(anchors, edges(spark, d), F.split_part("path", F.lit("/"), F.lit(1)))

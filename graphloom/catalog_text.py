@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from graphloom.catalog import query
 from graphloom.functions import scalars as S
 from graphloom.operators import texts as X
+from graphloom.operators.requirements import predicted_change
 from graphloom.plans import vocabulary as V
 from graphloom.plans.lift import table
 
@@ -37,6 +38,22 @@ def change_kind(spark, d):
     return _statements(spark, d).select("p_partkey", S.first_of(F.col("s"), [(n, f"(?i){p}") for n, p in V.CHANGE_KINDS], "unknown").alias("kind"), X.expectation(F.col("s")).alias("expectation"))
 
 
+_SAID = (
+    "must remove `x`", "replaces the constructor", "needs a factory argument", "registers the provider", "reads credentials", "must take another optional argument", "accept a parameter", "keeps its data shape",
+    "is serialised", "offers a page", "sorts what it shows", "stays as it is", "must not change the signature", "renames and adds", "has a composition root", "uses config settings",
+)
+_CHANGES = [(n, f"(?i){p}") for n, p in V.CHANGE_KINDS]
+
+
+@query(f"""WITH s AS (SELECT p_partkey, 'The ' || p_name || ' ' || CASE p_partkey % {len(_SAID)} """ + " ".join(f"WHEN {i} THEN '{t}'" for i, t in enumerate(_SAID)) + f""" END AS s FROM part), k AS (SELECT p_partkey, s, {_cases(_CHANGES, default=repr('unknown'))} AS change FROM s)
+SELECT p_partkey, change, {V.case("change", V.COMPATIBILITY)} AS compatibility, CASE change """ + " ".join(f"WHEN '{n}' THEN lower(regexp_extract(s, '{p}'))" for n, p in _CHANGES) + f" ELSE '{V.NO_CUE}' END AS cue FROM k", lift=False)
+def predicted_changes(spark, d):
+    """Kind, compatibility and cue of what statements predict, with every kind of wording."""
+    tail = F.element_at(F.array(*(F.lit(t) for t in _SAID)), (F.col("p_partkey") % len(_SAID) + 1).cast("int"))
+    rows = table(spark, d, "part").select("p_partkey", F.concat(F.lit("The "), "p_name", F.lit(" "), tail).alias("s"))
+    return rows.select("p_partkey", *predicted_change("s"))
+
+
 @query(f"WITH u AS (SELECT p_partkey, lower(s) AS t FROM {_S}), h AS (SELECT p_partkey, list_reduce(list_prepend(2166136261::HUGEINT, list_transform(range(1, length(t) + 1), lambda i: ascii(t[i])::HUGEINT)), lambda a, b: (xor(a, b) * 16777619) % 4294967296) AS h FROM u) SELECT p_partkey, 'req-' || lpad(printf('%x', h::BIGINT), 8, '0') AS id FROM h", lift=False)
 def content_ids(spark, d):
     return _statements(spark, d).select("p_partkey", S.content_id("req", F.col("s")).alias("id"))

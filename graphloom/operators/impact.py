@@ -56,14 +56,20 @@ def traverse(edges: DataFrame, matches: DataFrame, max_depth: int = 2, max_chain
         if frontier.isEmpty():
             break
         seen = seen.unionByName(frontier.select("concept", "anchor", "id"))
+    return merged(routes, [])
+
+
+def merged(routes: DataFrame, by: list[str]) -> DataFrame:
+    """One row for each node (of each group of ``by``) that routes reach: see ``traverse``."""
+    key = [*by, "id"]
     elsewhere = (F.col("anchor") != F.col("id")) & F.exists("edge_types", lambda t: t.isin(*V.PROPAGATING))
-    near = routes.groupBy("id").agg(F.min("distance").alias("distance"), F.sort_array(F.collect_set("concept")).alias("anchor_concepts"), ((F.count("*") > 1) & F.bool_or(elsewhere)).alias("corroborated"))
+    near = routes.groupBy(*key).agg(F.min("distance").alias("distance"), F.sort_array(F.collect_set("concept")).alias("anchor_concepts"), ((F.count("*") > 1) & F.bool_or(elsewhere)).alias("corroborated"))
     best = F.min_by(F.struct("path", "edge_types", "concept", "mechanism", "ambiguous", "test_only"), F.struct(-F.col("strength"), "path"))
-    won = routes.join(near, ["id", "distance"]).groupBy("id", "distance").agg(
+    won = routes.join(near, [*key, "distance"]).groupBy(*key, "distance").agg(
         best.alias("w"), F.sort_array(F.array_distinct(F.flatten(F.collect_set("edge_types")))).alias("corroborating"), F.bool_or("admissible").alias("admissible"), F.bool_and("weak").alias("weak"),
         F.any_value("anchor_concepts").alias("anchor_concepts"), F.any_value("corroborated").alias("corroborated"),
     )
-    return won.select("id", "distance", "w.*", "corroborating", "admissible", "weak", "anchor_concepts", "corroborated")
+    return won.select(*key, "distance", "w.*", "corroborating", "admissible", "weak", "anchor_concepts", "corroborated")
 
 
 def within_any(column: str, values) -> Column:
@@ -98,23 +104,25 @@ def primary(types: str) -> Column:
     return F.coalesce(F.array_min(ranked)["name"], F.lit("lexical-only"))
 
 
-def proposal(change: str = "unknown", co_change: Column | None = None) -> Column:
-    """The likelihood that a candidate's route proposes, before evidence caps it."""
+def proposal(change: str | Column = "unknown", co_change: Column | None = None) -> Column:
+    """The likelihood that a candidate's route proposes, before evidence caps it; ``change`` is the kind of change."""
+    kind = F.lit(change) if isinstance(change, str) else change
     together = F.lit(False) if co_change is None else F.coalesce(co_change >= 2, F.lit(False))
     fan_out = F.col("type").isin(*V.CONTAINER_TYPES) & F.col("mechanism").isin(*V.GUESSED) & (F.size("corroborating") > 0) & F.forall("corroborating", lambda t: t.isin(*V.UPWARD_ONLY))
     named = F.col("mechanism").isin("exact", "alias") & F.col("type").isin(*V.CONTAINER_TYPES) & ~F.contains("concept", F.lit("/"))
-    obliged = [edge for edge, kinds in V.OBLIGES.items() if change in kinds]
-    other = "likely" if change in V.REFERENCE_OBLIGES else "possible"
+    obliges = lambda kinds: F.when(kind.isin(*kinds), "likely").otherwise("possible")
     link = F.coalesce(F.element_at("edge_types", 1), F.lit(V.NEVER_STRONG))
-    duty = F.when(link == V.NEVER_STRONG, "possible").when(link.isin(*obliged) if obliged else F.lit(False), "likely").when(link.isin(*V.OBLIGES), "possible").otherwise(other)
+    duty = F.when(link == V.NEVER_STRONG, "possible")
+    for edge, kinds in V.OBLIGES.items():
+        duty = duty.when(link == edge, obliges(kinds))
     at_anchor = F.when(named, "possible").when(F.col("mechanism").isin("semantic", "lexical"), "possible").otherwise("required")
     return (
         F.when(F.col("distance") == 0, at_anchor).when(fan_out, "unlikely").when((F.col("mechanism") == "path-segment") & ~together, "unlikely")
-        .when(F.col("distance") > 1, "possible").when(~F.col("weak") | together, "likely").otherwise(duty)
+        .when(F.col("distance") > 1, "possible").when(~F.col("weak") | together, "likely").otherwise(duty.otherwise(obliges(V.REFERENCE_OBLIGES)))
     )
 
 
-def classified(candidates: DataFrame, nodes: DataFrame, change: str = "unknown") -> DataFrame:
+def classified(candidates: DataFrame, nodes: DataFrame, change: str | Column = "unknown") -> DataFrame:
     """Admissible candidates with category, type, directness, confidence, evidence_types, basis, proposed, likelihood (no
     stronger than the basis allows) and impact_type."""
     named = candidates.filter("admissible").join(nodes.select("id", "category", "type"), "id")
@@ -162,11 +170,11 @@ def after_cursor(rows: DataFrame, order: list[tuple[str, bool]], cursor: DataFra
 
 
 def change_shape(anchors: DataFrame, edges: DataFrame, roots: Column) -> DataFrame:
-    """One row: shape, far_reaching, chained, containers, max_depth, max_chain for the nodes of ``anchors`` (id, type, path)."""
+    """One row: shape, far_reaching, chained, containers, max_depth, max_chain, max_expansions for the nodes of ``anchors`` (id, type, path)."""
     ends = edges.filter(F.col("type").isin(*V.CHAIN))
     chained = ends.select(F.col("source_id").alias("id")).unionByName(ends.select(F.col("target_id").alias("id")))
     held = anchors.join(chained.join(anchors.select("id"), "id", "left_semi").distinct().withColumn("chained", F.lit(True)), "id", "left")
     flags = held.agg(F.count("*").alias("n"), F.count_if(F.col("type").isin(*V.FAR_REACHING)).alias("far_reaching"), F.count_if("chained").alias("chained"), F.count_distinct(F.coalesce(roots, F.lit("(unattributed)"))).alias("containers"))
     shape = F.when((F.col("n") == 0) | (F.col("far_reaching") > 0) | (F.col("chained") > 0) | (F.col("containers") > 1), "distributed").otherwise("contained")
     rows = flags.withColumn("shape", shape)
-    return rows.select("shape", "far_reaching", "chained", "containers", *(F.expr(V.case("shape", {k: v[i] for k, v in V.BUDGETS.items()})).alias(name) for i, name in enumerate(("max_depth", "max_chain"))))
+    return rows.select("shape", "far_reaching", "chained", "containers", *(F.expr(V.case("shape", {k: v[i] for k, v in V.BUDGETS.items()})).alias(name) for i, name in enumerate(("max_depth", "max_chain", "max_expansions"))))

@@ -65,14 +65,24 @@ IMPACT_BY_TYPE = {
 IMPACT_BY_CATEGORY = {"data": "data-model", "integration": "event-contract", "infrastructure": "infrastructure"}
 CONSEQUENCES = ("api-contract", "data-model", "migration", "event-contract", "background-processing", "integration", "security", "infrastructure", "deployment", "business-rule")
 
-# Kinds of change by the first pattern that a statement fits.
+# Kinds of change by the first pattern that a statement fits, and what they mean for those who use what changes.
 CHANGE_KINDS = (
     ("remove-api", r"\b(remove|delete|drop|rename|replace)[sd]?\b"),
+    (
+        "change-construction",
+        r"\b(constructor|instantiat\w+|construction|composition root|factory (input|argument|parameter)s?|provider registration|register(ed|s)? (the )?(provider|dependency|service))\b",
+    ),
     ("change-configuration", r"\b(environment (variable|key)s?|config(uration)? (key|value|setting)s?|provider tokens?|credentials?|connection settings)\b"),
+    ("change-api", r"\b(signature|required (argument|parameter)|take (a|an|another)[\w\s-]{0,20}(argument|parameter)|accept (a|an)[\w\s-]{0,20}(argument|parameter))\b"),
     ("change-data-shape", r"\b(payload|schema|response shape|data shape|serial[iz]s?ed?)\b"),
     ("add-api", r"\b(add|introduce|expose|provide|offer)[sd]?\b"),
     ("change-behavior", r"\b(filter|validate|calculate|compute|sort|order|reject|hide|include|exclude)[sd]?\b"),
 )
+COMPATIBILITY = {
+    "remove-api": "breaking", "change-construction": "potentially-breaking", "change-configuration": "potentially-breaking", "change-api": "potentially-breaking",
+    "change-data-shape": "potentially-breaking", "add-api": "additive", "change-behavior": "unknown", "unknown": "unknown",
+}
+NO_CUE = "no explicit change verb"
 # Kinds of change that oblige the other side of a weak link, by its edge type; any other edge type is a reference.
 OBLIGES = {
     "CALLS": ("change-api", "remove-api", "change-data-shape", "change-construction"),
@@ -85,8 +95,10 @@ FAR_REACHING = (
     "topic", "queue", "subscription", "event", "message-broker", "external-api", "contract", "openapi-document", "proto-service", "route", "terraform-resource", "terraform-module", "terraform-local",
     "terraform-output", "terraform-variable", "cloud-run-service", "cloud-run-job", "service-url", "environment-variable", "configuration-file", "database", "table",
 )
-# Budgets (structural depth, chain hops) of a change that stays in one place, and of one that doesn't.
-BUDGETS = {"contained": (2, 1), "distributed": (2, 8)}
+# Budgets (structural depth, chain hops, expansions) of a change that stays in one place, and of one that doesn't.
+BUDGETS = {"contained": (2, 1, 2_000), "distributed": (2, 8, 20_000)}
+# So many impacts of a requirement are kept.
+MOST_IMPACTS = 100
 
 
 def case(column: str, values: dict, default: str = "NULL") -> str:
