@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import led, link_buckets, multi_buckets, slices, small_side, stage, table
+from graphloom.llm.common import free, led, link_buckets, multi_buckets, slices, small_side, stage, table
 
 U = np.uint64
 
@@ -228,17 +228,23 @@ def jaccard_classes(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
 def keep_one(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """``docs`` with only the document of smallest doc_id of each component; columns as they were.
 
-    Of rows that share a doc_id any one stays. Rows without a doc_id aren't compared and stay. Texts aren't shuffled
-    while the ids of what goes are few enough to broadcast.
+    Where rows share a doc_id they are compared row by row, so that of different texts under one doc_id each stays unless it
+    is linked with another row, and of rows that are linked under one doc_id one stays. Rows without a doc_id aren't compared
+    and stay. Texts aren't shuffled while the ids of what goes are few enough to broadcast.
     """
-    classes = stage(jaccard_classes(docs, width, percent))
-    gone = stage(classes.filter("component_id <> doc_id").select("doc_id").distinct())
-    again = stage(classes.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id"))
-    left = docs.join(small_side(gone), "doc_id", "left_anti").select(docs.columns)
+    again = docs.filter("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1")
     if again.isEmpty():
-        return left
-    once = left.join(small_side(again), "doc_id", "left_anti").select(docs.columns)
-    return once.unionByName(left.join(small_side(again), "doc_id", "left_semi").select(docs.columns).dropDuplicates(["doc_id"]))
+        classes = jaccard_classes(docs, width, percent)
+        gone = stage(classes.filter("component_id <> doc_id").select("doc_id").distinct())
+        return docs.join(small_side(gone), "doc_id", "left_anti").select(docs.columns)
+    (row,) = free(docs, "row_mark")
+    rows = stage(docs.withColumn(row, F.monotonically_increasing_id()))
+    named = rows.filter("doc_id is not null")
+    classes = stage(jaccard_classes(named.select(F.col(row).alias("doc_id"), "text"), width, percent).select(F.col("doc_id").alias(row), "component_id"))
+    ids = classes.join(named.select(row, "doc_id"), row)
+    first = ids.groupBy("component_id").agg(F.min(F.struct("doc_id", row))[row].alias("first"))
+    gone = stage(ids.join(first, "component_id").filter(F.col(row) != F.col("first")).select(row))
+    return rows.join(small_side(gone), row, "left_anti").select(docs.columns)
 
 
 def op1_ngram_jaccard(spark, sf_dir: str) -> DataFrame:
