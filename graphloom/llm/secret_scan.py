@@ -235,13 +235,15 @@ class Pairs:
     def carried(self) -> dict[tuple[int, int], tuple[float, str]]:
         """The best weight of each literal's place, over all names that hold it directly or by way of others."""
         best: dict[tuple[int, int], tuple[float, str]] = {}
-        for name in self.literals.keys() | self.named.keys():
-            weight = sensitivity(name)
-            if not weight:
-                continue
-            todo, met = [name], {name}
-            while todo:
+        met: set[str] = set()
+        weights = {name: sensitivity(name) for name in self.literals.keys() | self.named.keys()}
+        for name in sorted((n for n, weight in weights.items() if weight), key=weights.__getitem__, reverse=True):
+            todo, weight = [name], weights[name]
+            while todo:  # the heaviest come first, so that a name is followed once
                 at = todo.pop()
+                if at in met:
+                    continue
+                met.add(at)
                 holds = self.named.get(at, ())
                 for literal, start, end in self.literals.get(at, ()):
                     if literal in holds and self.held(literal):
@@ -249,10 +251,7 @@ class Pairs:
                     if weight > best.get((start, end), (0.0, ""))[0]:
                         best[start, end] = (weight, literal)
                 for other in holds:
-                    for known in (other, other.rpartition(".")[2]):
-                        if known not in met and known in self.literals:
-                            met.add(known)
-                            todo.append(known)
+                    todo += (known for known in (other, other.rpartition(".")[2]) if known not in met and known in self.literals)
         return best
 
     def held(self, name: str) -> bool:
