@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from graphloom.catalog import query
 from graphloom.functions import scalars as S
 from graphloom.operators import graph as G
+from graphloom.operators import ignore as N
 from graphloom.operators import store as T
 from graphloom.operators.graph import shared_folder
 from graphloom.plans.lift import edges, nodes, table
@@ -32,6 +33,24 @@ def file_scan(spark, d):
     return rows.groupBy(F.coalesce("skip", F.lit("kept")).alias("skip")).agg(F.count("*").alias("n"), F.sum("length").alias("bytes"))
 
 
+#: Ignore files by folder: of the root, and one below it.
+IGNORES = {"": "# build output\n\n*.lock\nsrc1/\n!src1/fr/\n/src2/de/*.md   \nes/\n!**/es/7?.md\nsrc4/??/*", "src3": "*.txt\n!keep.txt\n/en/*5.txt\n!1*.txt\nfr", "src4": "!en/"}
+
+
+@query(f"""WITH f AS (SELECT DISTINCT {_PATH} AS path FROM documents WHERE text IS NOT NULL), r(base, place, rx, negated, folders) AS (VALUES
+  ('', 2, '^(?:[^/]+/)*[^/]*\\.lock$', false, false), ('', 3, '^(?:[^/]+/)*src1$', false, true), ('', 4, '^src1/fr$', true, true), ('', 5, '^src2/de/[^/]*\\.md$', false, false), ('', 6, '^(?:[^/]+/)*es$', false, true),
+  ('', 7, '^(?:[^/]+/)*es/7[^/]\\.md$', true, false), ('', 8, '^src4/[^/][^/]/[^/]*$', false, false), ('src3', 0, '^src3/(?:[^/]+/)*[^/]*\\.txt$', false, false), ('src3', 1, '^src3/(?:[^/]+/)*keep\\.txt$', true, false),
+  ('src3', 2, '^src3/en/[^/]*5\\.txt$', false, false), ('src3', 3, '^src3/(?:[^/]+/)*1[^/]*\\.txt$', true, false), ('src3', 4, '^src3/(?:[^/]+/)*fr$', false, false), ('src4', 0, '^src4/(?:[^/]+/)*en$', true, true)),
+e AS (SELECT path, path AS entry, false AS dir, 9 AS depth FROM f UNION ALL SELECT path, split_part(path, '/', 1), true, 1 FROM f UNION ALL SELECT path, split_part(path, '/', 1) || '/' || split_part(path, '/', 2), true, 2 FROM f),
+d AS (SELECT path, entry, depth, arg_max(negated, length(base) * 100 + place) AS back FROM e JOIN r ON (base = '' OR starts_with(entry, base || '/')) AND (dir OR NOT folders) AND regexp_matches(entry, rx) GROUP BY ALL),
+b AS (SELECT path, arg_min(entry, depth) AS "by" FROM d WHERE NOT back GROUP BY path)
+SELECT path, "by" IS NOT NULL AS ignored, "by" FROM f LEFT JOIN b USING (path)""", lift=False)
+def ignored_paths(spark, d):
+    """Files that ignore files leave out, and the folder or file that decides."""
+    rules = N.ignore_rules(spark.createDataFrame(list(IGNORES.items()), "base string, contents string"))
+    return N.ignored_files(_files(spark, d).select("path").distinct(), rules)
+
+
 @query("SELECT root, count(*) AS n, min(path) AS first FROM (SELECT 'parts' AS root, 'parts/' || p_brand || '/' || p_partkey AS path FROM part UNION ALL SELECT 'orders', 'orders/' || o_orderkey FROM orders) GROUP BY 1", lift=False)
 def multi_root_scan(spark, d):
     roots = {"parts": table(spark, d, "part").select(F.concat_ws("/", "p_brand", "p_partkey").alias("path")), "orders": table(spark, d, "orders").select(F.col("o_orderkey").cast("string").alias("path"))}

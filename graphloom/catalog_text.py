@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from graphloom.catalog import query
 from graphloom.functions import scalars as S
+from graphloom.operators import extraction as E
 from graphloom.operators import texts as X
 from graphloom.operators.requirements import predicted_change
 from graphloom.plans import vocabulary as V
@@ -59,7 +60,7 @@ def content_ids(spark, d):
     return _statements(spark, d).select("p_partkey", S.content_id("req", F.col("s")).alias("id"))
 
 
-@query("""WITH m AS (SELECT p_partkey, p_partkey % 12 AS k FROM part) SELECT p_partkey, CASE k WHEN 1 THEN 'blueBolt' WHEN 2 THEN 'order line' WHEN 4 THEN 'user-service' WHEN 5 THEN 'ORDER_STATUS' WHEN 6 THEN 'docs/guide.md' WHEN 7 THEN 'order-service' WHEN 10 THEN 'DB_PASSWORD' WHEN 11 THEN 'OrderLine' ELSE '' END AS concepts FROM m""", lift=False)
+@query("""WITH m AS (SELECT p_partkey, p_partkey % 12 AS k FROM part) SELECT p_partkey, CASE k WHEN 2 THEN 'order line' WHEN 4 THEN 'user-service' WHEN 5 THEN 'ORDER_STATUS' WHEN 6 THEN 'guide.md,docs/guide.md' WHEN 7 THEN 'order-service' WHEN 10 THEN 'DB_PASSWORD' WHEN 11 THEN 'OrderLine' ELSE '' END AS concepts FROM m""", lift=False)
 def concept_mining(spark, d):
     return _statements(spark, d).select("p_partkey", F.array_join(X.concepts(F.col("s")), ",").alias("concepts"))
 
@@ -71,6 +72,66 @@ def section_roles(spark, d):
     return X.sections(table(spark, d, "part").select("p_partkey", text.alias("t")), "p_partkey", "t").select("p_partkey", F.col("line_no").cast("int").alias("line_no"), "heading", "role", "item")
 
 
+#: A specification of a supplier, of one of three makes by its key: with lists, in prose, with labels under a heading without a role.
+_SPECS = (
+    "Intro text for {0} here.\n\n## Requirements\n- The `{0}` must send rows\n  to the `Store`\n  - and count them\n3. R{1}: should log errors\n\n### Details\n* keep `{0}`\n\n## Explicitly unchanged\n- Nothing else\n\nOut of scope\n---\n- Imports of {0}\n",
+    "# Export of {0}\nThe `{0}` must stop at night. Rows are written as text. It will end.\n\n## Background\nIt was slow. Files must be small.\n## Constraints\n- Runs on Java\n",
+    "# About\n- just a note\nFR-{1}: `{0}` could sort\n\nSome words about {0}.\n**Open questions**\n1. Who owns `{0}`?\n",
+)
+
+
+def _spec_rows(spark, d):
+    key = F.col("s_suppkey").cast("string")
+    made = [F.replace(F.replace(F.lit(s), F.lit("{0}"), F.col("s_name")), F.lit("{1}"), key) for s in _SPECS]
+    return table(spark, d, "supplier").select(F.col("s_suppkey").alias("spec"), F.element_at(F.array(*made), (F.col("s_suppkey") % 3 + 1).cast("int")).alias("text"))
+
+
+_DRAFTS = (
+    (0, "requirement", "'The `' || n || '` must send rows to the `Store` - and count them'", "Requirements", "bullet-item", None, "change", None, "functional", "must"),
+    (0, "requirement", "'should log errors'", "Requirements", "explicit-label", "'R' || k", "change", None, "observability", "should"),
+    (0, "requirement", "'keep `' || n || '`'", "Details", "bullet-item", None, "change", None, "functional", None),
+    (0, "ambiguous", "'Nothing else'", "Explicitly unchanged", None, None, None, None, None, None),
+    (0, "question", "'Nothing else'", "Explicitly unchanged", None, None, None, None, None, None),
+    (0, "non-goal", "'Imports of ' || n", "Out of scope", None, None, None, None, None, None),
+    (1, "requirement", "'The `' || n || '` must stop at night.'", "'Export of ' || n", "prose-modal", None, "change", 0.8, "functional", "must"),
+    (1, "ambiguous", "'Rows are written as text.'", "'Export of ' || n", None, None, None, None, None, None),
+    (1, "question", "'Rows are written as text.'", "'Export of ' || n", None, None, None, None, None, None),
+    (1, "requirement", "'It will end.'", "'Export of ' || n", "prose-modal", None, "change", 0.55, "functional", None),
+    (1, "context", "'It was slow. Files must be small.'", "Background", None, None, None, None, None, None),
+    (1, "requirement", "'Files must be small.'", "Background", "prose-modal", None, "change", 0.8, "functional", "must"),
+    (1, "constraint", "'Runs on Java'", "Constraints", None, None, None, None, None, None),
+    (2, "requirement", "'`' || n || '` could sort'", "About", "explicit-label", "'FR-' || k", "change", None, "functional", "could"),
+    (2, "question", "'Who owns `' || n || '`?'", "Open questions", None, None, None, None, None, None),
+)
+_ONE = " UNION ALL ".join(
+    f"SELECT k AS spec, '{kind}' AS kind, {said} AS statement, {head if head.startswith(chr(39)) else repr(head)} AS heading, {repr(origin) if origin else 'NULL'} AS origin, {label or 'NULL'} AS label, {repr(intent) if intent else 'NULL'} AS intent, {sure or 'NULL'}::DOUBLE AS confidence, {repr(type_) if type_ else 'NULL'} AS type, {repr(priority) if priority else 'NULL'} AS priority FROM s WHERE k % 3 = {which}"
+    for which, kind, said, head, origin, label, intent, sure, type_, priority in _DRAFTS
+)
+
+
+@query(f"WITH s AS (SELECT s_suppkey AS k, s_name AS n FROM supplier) {_ONE}", lift=False)
+def extracted_drafts(spark, d):
+    """What specifications of three makes hold: requirements by lists, labels or prose, and what is none."""
+    return E.extracted(_spec_rows(spark, d)).drop("start", "end")
+
+
+@query("""SELECT s_suppkey AS spec, CASE s_suppkey % 3 WHEN 1 THEN 'prose-modal' ELSE 'structured' END AS strategy, CASE s_suppkey % 3 WHEN 0 THEN 3 WHEN 1 THEN 0 ELSE 1 END AS structured,
+CASE s_suppkey % 3 WHEN 1 THEN 3 ELSE 0 END AS prose, CASE s_suppkey % 3 WHEN 1 THEN 1 END AS uncertain, false AS provisional FROM supplier""", lift=False)
+def extraction_quality(spark, d):
+    specs = _spec_rows(spark, d)
+    return E.quality(specs, E.extracted(specs))
+
+
+@query("""WITH s AS (SELECT s_suppkey AS spec, s_suppkey % 3 AS m, s_name AS n FROM supplier)
+SELECT spec, 'The `' || n || '` must send rows' || chr(10) || '  to the `Store`' || chr(10) || '  - and count them' AS slice FROM s WHERE m = 0 UNION ALL SELECT spec, 'should log errors' FROM s WHERE m = 0 UNION ALL SELECT spec, 'keep `' || n || '`' FROM s WHERE m = 0
+UNION ALL SELECT spec, 'Imports of ' || n FROM s WHERE m = 0 UNION ALL SELECT spec, 'Runs on Java' FROM s WHERE m = 1 UNION ALL SELECT spec, '`' || n || '` could sort' FROM s WHERE m = 2 UNION ALL SELECT spec, 'Who owns `' || n || '`?' FROM s WHERE m = 2""", lift=False)
+def extracted_ranges(spark, d):
+    """The parts of the texts that list items came from, cut out by their ranges."""
+    specs = _spec_rows(spark, d)
+    rows = E.extracted(specs).filter("start is not null").select("spec", "start", "end").join(specs, "spec")
+    return rows.select("spec", F.substring("text", F.col("start") + 1, F.col("end") - F.col("start")).alias("slice"))
+
+
 @query(f"WITH s AS {_S} SELECT p_partkey, unnest([0, 1]) AS at, unnest([s || '.', 'It is made by many.']) AS statement FROM s", lift=False)
 def statement_split(spark, d):
     text = F.concat(F.lit("# Part\n\n- "), "s", F.lit(".\nIt is made\nby many. No.\n"))

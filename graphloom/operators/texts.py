@@ -19,9 +19,10 @@ STOP_HEADS = (
     "nominated", "affected", "calling", "consuming",
 )
 CONCEPTS = (
-    r"`([^`]+)`", r"\b([A-Z][a-z0-9]+(?:[A-Z][a-z0-9]+)+)\b", r"\b([a-z]+(?:[A-Z][a-z0-9]+)+)\b", r"\b([A-Z][A-Z0-9]*(?:_[A-Z0-9]+)+)\b", r"\b([a-z][a-z0-9]*(?:-[a-z0-9]+)+)\b",
-    r"\b((?:[A-Za-z0-9_-]+/)+[A-Za-z0-9_.-]+)",
+    r"`([^`]+)`", r"\b([A-Z][a-z0-9]+(?:[A-Z][a-z0-9]+)+)\b", r"\b([a-z][a-z0-9]*(?:[._][a-z0-9]+){1,4})\b", r"\b([A-Z][A-Z0-9]*(?:_[A-Z0-9]+)+)\b", r"\b([a-z][a-z0-9]*(?:-[a-z0-9]+)+)\b",
 )
+PHRASE = r"\b([a-z][a-z0-9]*(?:-[a-z0-9]+)* (?:service|api|gateway|frontend|backend|worker|client|app|server|job|queue|topic|database))\b"
+PATH_SHAPED = r"(?<![:/\w])((?:[A-Za-z0-9_.-]+/)+[A-Za-z0-9_.-]+)\b"
 SECTION_ROLES = (("requirements", r"(?i)requirement|goal|scope"), ("non-goals", r"(?i)non-goal|out of scope"), ("constraints", r"(?i)constraint|limit"), ("questions", r"(?i)question|open"), ("decisions", r"(?i)decision"))
 EXPECTATIONS = (("preserve", r"(?i)\b(must not change|keeps?|preserves?|unchanged)\b"), ("reuse", r"(?i)\b(reuses?|existing)\b"), ("verify", r"(?i)\b(verif(y|ies)|confirm|check)\b"))
 TRANSFORMATIONS = (
@@ -49,9 +50,14 @@ def statements(texts: DataFrame, key: str, column: str) -> DataFrame:
 
 
 def concepts(text: Column) -> Column:
-    """The distinct terms of a statement that may name a part of the system, in order of their kinds and places."""
-    found = F.flatten(F.array(*(F.regexp_extract_all(text, F.lit(p), F.lit(1)) for p in CONCEPTS)))
-    noise = lambda t: F.lower(t).isin(*NOISE) | t.rlike(r"^v?\d+(?:\.\d+)+$") | (F.length(t) > MOST_CHARS) | (F.size(F.split(t, r"\s+")) > MOST_WORDS) | F.split_part(F.lower(t), F.lit("-"), F.lit(1)).isin(*STOP_HEADS)
+    """The distinct terms of a statement that may name a part of the system, in order of their kinds and places: backticked, of
+    several humps, dotted, of capitals, hyphenated, phrases with an architectural noun, paths."""
+    all_of = lambda p: F.regexp_extract_all(text, F.lit(p), F.lit(1))
+    phrases = F.filter(all_of(PHRASE), lambda t: ~F.split_part(t, F.lit(" "), F.lit(1)).isin(*STOP_HEADS))
+    parts = lambda t: F.split(t, "/")
+    path = lambda t: t.rlike(r"\.[A-Za-z0-9]{1,5}$") | (F.size(parts(t)) > 2) | (F.length(parts(t)[0]) >= 4) & ~F.contains(parts(t)[0], F.lit("."))
+    found = F.flatten(F.array(*(all_of(p) for p in CONCEPTS), phrases, F.filter(all_of(PATH_SHAPED), path)))
+    noise = lambda t: F.lower(t).isin(*NOISE) | t.rlike(r"^v?\d+(?:\.\d+)+$") | (F.length(t) > MOST_CHARS) | (F.size(F.split(t, r"\s+")) > MOST_WORDS)
     return F.array_distinct(F.filter(found, lambda t: (F.length(t) > 1) & ~noise(t)))
 
 
