@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from graphloom.catalog import query
 from graphloom.operators import enrich as E
+from graphloom.operators import preflight as P
 from graphloom.operators.graph import count_by, top_per
 from graphloom.plans.lift import edges, edges_of, nid, nodes, table
 
@@ -156,27 +157,20 @@ def disclosure_budget(spark, d):
     return E.disclosed(rows, "p_brand", [F.desc("p_retailprice"), F.col("id")], 100)[1]
 
 
-@query("""WITH s AS (SELECT p_partkey AS requirement, CASE p_partkey % 4 WHEN 0 THEN 'The ' || p_name || ' calls the ' || p_brand || ' over HTTP' WHEN 1 THEN 'The ' || p_name || ' publishes events to ' || p_brand WHEN 2 THEN 'The ' || p_name || ' imports ' || p_brand ELSE 'It is blue' END AS t, p_name, p_brand FROM part)
-SELECT requirement, p_name AS source_ref, CASE requirement % 4 WHEN 0 THEN 'http' WHEN 1 THEN 'event' ELSE 'import' END AS mechanism, p_brand AS target_ref FROM s WHERE requirement % 4 < 3""", lift=False)
+@query("""WITH k AS (SELECT p_partkey AS requirement, p_partkey % 5 AS m, p_name AS n, p_brand AS b, p_partkey AS k FROM part)
+SELECT requirement, mechanism, n AS source_ref, 'apps/' || k || '/x' AS source_path, b AS target_ref, CASE WHEN m <> 1 THEN 'libs/' || b END AS target_path, CASE m WHEN 1 THEN 60 ELSE 85 END AS confidence
+FROM k, (VALUES (0, 'http'), (1, 'event'), (1, 'import'), (2, 'import'), (3, 'http')) t(w, mechanism) WHERE m = w""", lift=False)
 def proposed_edges(spark, d):
-    """What requirement texts propose: source, mechanism and target by their verbs."""
-    k, name, brand = F.col("p_partkey") % 4, F.concat(F.lit("The "), "p_name"), F.col("p_brand")
-    text = F.when(k == 0, F.concat(name, F.lit(" calls the "), brand, F.lit(" over HTTP"))).when(k == 1, F.concat(name, F.lit(" publishes events to "), brand)).when(k == 2, F.concat(name, F.lit(" imports "), brand)).otherwise("It is blue")
-    rows = table(spark, d, "part").select(F.col("p_partkey").alias("requirement"), text.alias("t"))
-    pattern = r"^The (.+?) (calls|publishes|imports)(?: events)?(?: the| to)? (\S+)"
-    part = lambda i: F.regexp_extract("t", pattern, i)
-    verb = F.when(part(2) == "calls", "http").when(part(2) == "publishes", "event").when(part(2) == "imports", "import")
-    return rows.select("requirement", part(1).alias("source_ref"), verb.alias("mechanism"), part(3).alias("target_ref")).filter("mechanism is not null")
-
-
-@query("""WITH a AS (SELECT DISTINCT o_orderkey AS requirement FROM orders WHERE o_orderpriority = '1-URGENT'), b AS (SELECT DISTINCT l_orderkey AS requirement FROM lineitem WHERE l_quantity > 49), c AS (SELECT DISTINCT l_orderkey AS requirement FROM lineitem GROUP BY 1 HAVING count(*) > 6)
-SELECT analyzer, severity, count(*) AS n FROM (SELECT 'assumptions' AS analyzer, 'blocking' AS severity FROM a UNION ALL SELECT 'runtime', 'warning' FROM b UNION ALL SELECT 'config-semantics', 'warning' FROM c) GROUP BY ALL""", lift=False)
-def run_preflight(spark, d):
-    """All analyzers always run; their findings are one table."""
-    line, orders = table(spark, d, "lineitem"), table(spark, d, "orders")
-    told = lambda df, analyzer, severity: df.select(F.lit(analyzer).alias("analyzer"), F.lit(severity).alias("severity"))
-    found = [told(orders.filter("o_orderpriority = '1-URGENT'").select("o_orderkey").distinct(), "assumptions", "blocking"), told(line.filter("l_quantity > 49").select("l_orderkey").distinct(), "runtime", "warning"), told(line.groupBy("l_orderkey").count().filter("count > 6"), "config-semantics", "warning")]
-    return reduce(DataFrame.unionByName, found).groupBy("analyzer", "severity").agg(F.count("*").alias("n"))
+    """What requirement texts propose: mechanisms by their wording, the ends by where the text puts them."""
+    k = F.col("p_partkey") % 5
+    fill = lambda text: F.replace(F.replace(F.lit(text), F.lit("{n}"), F.col("p_name")), F.lit("{b}"), F.col("p_brand"))
+    texts = ("The {n} calls the billing api of {b}.", "The {n} publishes to {b} and depends on it.", "In {n} it imports {b}.", "From {b} the {n} takes rows over HTTP.", "The {n} and {b} are blue.")
+    said = F.element_at(F.array(*(fill(t) for t in texts)), (k + 1).cast("int"))
+    part = table(spark, d, "part")
+    name = F.struct(F.col("p_name").alias("ref"), F.lit("x").alias("id"), F.concat(F.lit("apps/"), "p_partkey", F.lit("/x")).alias("path"))
+    brand = F.struct(F.col("p_brand").alias("ref"), F.when(k != 1, "y").alias("id"), F.when(k != 1, F.concat(F.lit("libs/"), "p_brand")).alias("path"))
+    concepts = part.select(F.col("p_partkey").alias("requirement"), F.posexplode(F.array(brand, name)).alias("place", "c")).select("requirement", "place", "c.*")
+    return P.proposed_edges(part.select(F.col("p_partkey").alias("requirement"), said.alias("statement")), concepts)
 
 
 @query("""WITH u AS (SELECT p_name || ' ' || p_brand AS concept, count(*) AS requirements, count(*) FILTER (p_size > 25) AS near, bool_or(p_size = 1) AS gap, bool_or(p_size = 2) AS external FROM part GROUP BY 1)

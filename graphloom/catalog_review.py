@@ -316,7 +316,7 @@ def constraint_check(spark, d):
     )
     ends = t("region").agg(F.concat(F.min("r_name"), F.lit("/")).alias("first"), F.concat(F.max("r_name"), F.lit("/")).alias("last"))
     made = [("no-peer-http", "forbidden-runtime-call", F.col("first"), F.lit(None), True), ("layers", "boundary-restriction", F.lit(""), F.col("last"), False), ("no-import", "forbidden-dependency", F.lit(""), F.lit(None), True), ("needs-config", "required-config", F.lit("customer#00000000"), F.lit(None), True)]
-    rules = ends.select(F.explode(F.array(*(F.struct(F.lit(n).alias("constraint"), F.lit(k).alias("kind"), s.alias("scope"), a.cast("string").alias("allowed"), F.lit(x).alias("authority")) for n, k, s, a, x in made))).alias("r")).select("r.*")
+    rules = ends.select(F.explode(F.array(*(F.struct(F.lit(n).alias("constraint"), F.lit(k).alias("kind"), s.alias("scope"), F.when(a.isNotNull(), F.array(a.cast("string"))).alias("allowed"), F.lit(x).alias("authority")) for n, k, s, a, x in made))).alias("r")).select("r.*")
     spared = t("customer").filter("c_custkey = 3").select(F.lit("no-import").alias("constraint"), F.col("c_name").alias("subject"))
     return R.constraint_findings(proposed, rules, spared)
 

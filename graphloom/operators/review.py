@@ -188,7 +188,7 @@ def constraint_findings(proposed: DataFrame, constraints: DataFrame, exemptions:
     """(requirement, constraint, severity, confidence): proposed relationships that a constraint forbids and no exemption allows.
 
     ``proposed`` has requirement, mechanism, source_path, source_ref, target_path and confidence (percent); ``constraints`` has
-    constraint, kind, scope (a path prefix, empty for all), allowed (a target prefix, or null) and authority (may it block);
+    constraint, kind, scope (a path prefix, empty for all), allowed (target prefixes, or null) and authority (may it block);
     ``exemptions`` has constraint and subject (a source reference). A blocking finding needs an authority, a source that its path puts in scope and a confidence of 80.
     """
     pairs = [(m, k) for m, kinds in APPLIES.items() for k in kinds]
@@ -198,7 +198,7 @@ def constraint_findings(proposed: DataFrame, constraints: DataFrame, exemptions:
     by_path = F.col("source_path").isNotNull() & F.startswith("source_path", F.col("scope"))
     by_name = (F.length("scope") > 2) & F.contains(F.lower("source_ref"), F.lower(F.regexp_replace("scope", "/+$", "")))
     rows = rows.withColumn("by_path", by_path).filter(F.col("by_path") | (F.col("scope") == "") | by_name)
-    allowed = (F.col("kind") == "boundary-restriction") & F.col("allowed").isNotNull() & (F.col("target_path").isNull() | F.startswith("target_path", F.col("allowed")))
+    allowed = (F.col("kind") == "boundary-restriction") & F.col("allowed").isNotNull() & (F.col("target_path").isNull() | F.exists("allowed", lambda a: F.startswith("target_path", a)))
     rows = rows.filter(~allowed).join(exemptions.select("constraint", F.col("subject").alias("source_ref")), ["constraint", "source_ref"], "left_anti")
     blocking = F.col("authority") & F.col("by_path") & (F.col("confidence") >= 80)
     return rows.select("requirement", "constraint", F.when(blocking, "blocking").otherwise("warning").alias("severity"), F.when(blocking, 90).when(F.col("by_path"), 70).otherwise(50).alias("confidence"))
