@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from graphloom.catalog import query
 from graphloom.operators import enrich as E
+from graphloom.operators import modules as O
 from graphloom.operators import preflight as P
 from graphloom.operators.graph import count_by, top_per
 from graphloom.plans.lift import edges, edges_of, nid, nodes, table
@@ -113,14 +114,29 @@ def export_names(spark, d):
     return E.exported_names(reduce(DataFrame.unionByName, exports), c.select(F.col("c_custkey").alias("file"), F.lit("x").alias("name")), 4).drop("name")
 
 
-@query("""WITH f AS (SELECT 'src/' || p_brand || '/m' || p_size || CASE p_partkey % 3 WHEN 0 THEN '.ts' WHEN 1 THEN '.tsx' ELSE '/index.ts' END AS path FROM part), i AS (SELECT DISTINCT 'src/' || p_brand || '/main.ts' AS importer, './m' || p_size AS specifier, 'src/' || p_brand || '/m' || p_size AS base FROM part UNION SELECT DISTINCT 'src/' || p_brand || '/main.ts', './none', 'src/' || p_brand || '/none' FROM part)
-SELECT importer, specifier, CASE WHEN base || '.ts' IN (FROM f) THEN base || '.ts' WHEN base || '.tsx' IN (FROM f) THEN base || '.tsx' WHEN base || '/index.ts' IN (FROM f) THEN base || '/index.ts' END AS target FROM i""", lift=False)
+@query("""WITH k AS (SELECT DISTINCT p_brand AS b, p_size AS n, p_partkey % 5 AS m FROM part), f AS (SELECT DISTINCT CASE m WHEN 0 THEN 'src/' || b || '/m' || n || '.ts' WHEN 1 THEN 'src/' || b || '/m' || n || '/index.ts' WHEN 2 THEN 'py/' || b || '/m' || n || '.py' WHEN 3 THEN 'java/' || b || '/com/x/M' || n || '.java' ELSE 'packages/' || b || '/m' || n || '.tsx' END AS path FROM k),
+bs AS (SELECT DISTINCT p_brand AS b FROM part), ns AS (SELECT DISTINCT p_size AS n FROM part),
+i AS (SELECT 'src/' || b || '/main.ts' AS importer, './x/../m' || n || '.js' AS specifier, ['src/' || b || '/m' || n || '.ts'] AS tries FROM bs, ns UNION ALL SELECT 'src/' || b || '/sub/main.ts', '../m' || n, ['src/' || b || '/m' || n || '.ts', 'src/' || b || '/m' || n || '/index.ts'] FROM bs, ns
+UNION ALL SELECT 'py/' || b || '/main.py', '.m' || n, ['py/' || b || '/m' || n || '.py'] FROM bs, ns UNION ALL SELECT 'top.ts', '@w/' || b || '/m' || n, ['packages/' || b || '/m' || n || '.tsx'] FROM bs, ns
+UNION ALL SELECT 'top.ts', '~/' || b || '/m' || n, ['src/' || b || '/m' || n || '.ts', 'src/' || b || '/m' || n || '/index.ts'] FROM bs, ns UNION ALL SELECT 'A.java', 'com.x.M' || n, CASE WHEN (SELECT count(*) FROM f WHERE path LIKE '%/com/x/M' || n || '.java') = 1 THEN (SELECT list(path) FROM f WHERE path LIKE '%/com/x/M' || n || '.java') ELSE [] END FROM ns)
+SELECT importer, specifier, list_filter(tries, lambda t: t IN (FROM f))[1] AS target FROM i""".replace("list_filter(tries, lambda t: t IN (FROM f))[1]", "(SELECT u.t FROM (SELECT unnest(tries) AS t, unnest(range(len(tries))) AS r) u JOIN f ON f.path = u.t ORDER BY u.r LIMIT 1)"), lift=False)
 def module_resolution(spark, d):
+    """Imports of every pair of a brand and a size, in three languages, by relative paths, an alias and packages."""
     part = table(spark, d, "part")
-    ending = F.when(F.col("p_partkey") % 3 == 0, ".ts").when(F.col("p_partkey") % 3 == 1, ".tsx").otherwise("/index.ts")
-    files = part.select(F.concat(F.lit("src/"), "p_brand", F.lit("/m"), "p_size", ending).alias("path"))
-    importer = F.concat(F.lit("src/"), "p_brand", F.lit("/main.ts")).alias("importer")
-    return E.resolved_modules(part.select(importer, F.concat(F.lit("./m"), "p_size").alias("specifier")).unionByName(part.select(importer, F.lit("./none").alias("specifier"))), files)
+    text = lambda *x: F.concat(*(F.lit(c) if not c.startswith("p_") else F.col(c).cast("string") for c in x))
+    kinds = (text("src/", "p_brand", "/m", "p_size", ".ts"), text("src/", "p_brand", "/m", "p_size", "/index.ts"), text("py/", "p_brand", "/m", "p_size", ".py"), text("java/", "p_brand", "/com/x/M", "p_size", ".java"), text("packages/", "p_brand", "/m", "p_size", ".tsx"))
+    files = part.select(F.element_at(F.array(*kinds), (F.col("p_partkey") % 5 + 1).cast("int")).alias("path"))
+    brands = part.select("p_brand").distinct()
+    every = brands.crossJoin(F.broadcast(part.select("p_size").distinct()))  # sizes are fifty
+    asked = (
+        (text("src/", "p_brand", "/main.ts"), text("./x/../m", "p_size", ".js")), (text("src/", "p_brand", "/sub/main.ts"), text("../m", "p_size")), (text("py/", "p_brand", "/main.py"), text(".m", "p_size")),
+        (F.lit("top.ts"), text("@w/", "p_brand", "/m", "p_size")), (F.lit("top.ts"), text("~/", "p_brand", "/m", "p_size")), (F.lit("A.java"), text("com.x.M", "p_size")),
+    )
+    imports = every.select(F.explode(F.array(*(F.struct(a.alias("importer"), b.alias("specifier")) for a, b in asked))).alias("i")).select("i.*")
+    none = F.lit(None).cast("string")
+    packages = brands.select(text("@w/", "p_brand").alias("name"), text("packages/", "p_brand", "/").alias("directory"), none.alias("main"), none.alias("module"))
+    aliases = brands.limit(1).select(F.lit("~/*").alias("pattern"), F.array(F.lit("gone/*"), F.lit("src/*")).alias("targets"))
+    return O.resolved(imports, files, packages, aliases)
 
 
 @query("SELECT event_id AS line, user_id AS file, 'svc' || (user_id % 5) || '.' || event_type AS callee FROM events WHERE event_type IN ('purchase', 'signup')", lift=False)

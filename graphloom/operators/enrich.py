@@ -93,15 +93,6 @@ def exported_names(exports: DataFrame, wanted: DataFrame, max_hops: int = 12) ->
     return wanted.select("file", "name").distinct().join(best, ["file", "name"], "left")
 
 
-def resolved_modules(imports: DataFrame, files: DataFrame, endings: tuple[str, ...] = ("", ".ts", ".tsx", "/index.ts")) -> DataFrame:
-    """(importer, specifier, target): the first file that a relative specifier may mean; null if there is none."""
-    folder = F.regexp_replace("importer", "/[^/]*$", "")
-    tries = F.array(*(F.struct(F.lit(i).alias("rank"), F.concat(folder, F.lit("/"), F.regexp_replace("specifier", r"^\./", ""), F.lit(e)).alias("path")) for i, e in enumerate(endings)))
-    each = imports.select("importer", "specifier", F.explode(tries).alias("t")).select("importer", "specifier", "t.*")
-    best = each.join(files.select("path").distinct(), "path").groupBy("importer", "specifier").agg(F.min_by("path", "rank").alias("target"))
-    return imports.select("importer", "specifier").distinct().join(best, ["importer", "specifier"], "left")
-
-
 def call_sites(facts: DataFrame, symbols: DataFrame) -> DataFrame:
     """``facts`` (file, line, callee) whose callee's short name (after the last dot) is a symbol's name."""
     short = F.element_at(F.split("callee", r"\."), -1)
