@@ -129,11 +129,19 @@ def graph_json(spark, d):
     return T.read_graph_json(records, "edge", "id string, type string, source_id string, target_id string")
 
 
-@query("SELECT id, created_at FROM (SELECT 'snap-' || year(o_orderdate) || '-' || month(o_orderdate) AS id, max(o_orderdate)::VARCHAR AS created_at FROM orders GROUP BY 1) ORDER BY created_at DESC, id LIMIT 12", lift=False)
+@query("SELECT 'region-' || r_regionkey AS id, CASE WHEN r_regionkey = 1 THEN '2024-09-09' ELSE '2024-01-0' || (r_regionkey + 1) END AS created_at, count(*) AS nodes, r_regionkey = 1 AS last FROM region JOIN nation ON n_regionkey = r_regionkey WHERE r_regionkey < 3 GROUP BY ALL", lift=False)
 def snapshot_list(spark, d):
-    """The twelve newest snapshots, one a month of orders."""
-    made = table(spark, d, "orders").groupBy(F.concat_ws("-", F.lit("snap"), F.year("o_orderdate"), F.month("o_orderdate")).alias("id")).agg(F.max("o_orderdate").cast("string").alias("created_at"))
-    return made.orderBy(F.desc("created_at"), "id").limit(12)
+    """Snapshots of the nations of three regions in one store; that of the second region is put again at the end."""
+    root, nation = f"{shared_folder(spark)}/store-{uuid.uuid4().hex}", table(spark, d, "nation")
+    put = lambda k, at: T.put_snapshot({"nodes": nation.filter(F.col("n_regionkey") == k)}, f"region-{k}", at, root)
+    for k in range(3):
+        put(k, f"2024-01-0{k + 1}")
+    put(1, "2024-09-09")
+    last, out = T.current_snapshot(spark, root), None
+    for row in T.snapshots(spark, root).collect():
+        one = T.of_snapshot(spark, root, "nodes", row["id"]).agg(F.count("*").alias("nodes")).select(F.lit(row["id"]).alias("id"), F.lit(row["created_at"]).alias("created_at"), "nodes", F.lit(row["id"] == last).alias("last"))
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 @query("WITH e AS (SELECT event_id, user_id, event_type, (props::JSON->>'k')::BIGINT AS line FROM events) SELECT event_id, event_type, line FROM e WHERE event_type IN ('click', 'view') AND user_id IN (SELECT user_id FROM events WHERE event_type = 'purchase' AND value > 90)", lift=False)

@@ -3,43 +3,109 @@
 from __future__ import annotations
 
 import json
+import uuid
 from functools import reduce
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-KINDS = ("snapshots", "nodes", "edges", "evidence", "file_hashes")
 LARGEST_FILE = 1_000_000
 
 
-def put_snapshot(tables: dict[str, DataFrame], snapshot_id: str, created_at: str, root: str) -> None:
-    """Write the tables of a snapshot under ``root``, each into its own folder of that snapshot, then move the pointer.
-
-    Readers follow the pointer, so that a snapshot is seen whole or not at all; one that was there is replaced by writing it again.
+def _files(spark: SparkSession, path: str):
+    """Hadoop's view of a path: its file context, and the path; whatever store the path is in."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    return jvm.org.apache.hadoop.fs.FileContext.getFileContext(at.toUri(), spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
+def _publish(spark: SparkSession, root: str, number: int, record: dict) -> bool:
+    """Put a commit's record under its number, whole and only if there is none yet; whether it was put."""
+    context, at = _files(spark, f"{root}/commits/{number:020d}.json")
+    jvm = spark.sparkContext._jvm
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    draft = jvm.org.apache.hadoop.fs.Path(f"{root}/drafts/{record['data']}.json")
+    fs.mkdirs(at.getParent())
+    out = fs.create(draft, True)
+    out.write(bytearray((json.dumps(record) + "\n").encode()))
+    out.close()
+    try:
+        context.rename(draft, at, spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0))
+    except Py4JJavaError as failed:
+        if "FileAlreadyExists" not in str(failed.java_exception.getClass().getName()):
+            raise
+        fs.delete(draft, False)
+        return False
+    return True
+
+
+def put_snapshot(tables: dict[str, DataFrame], snapshot_id: str, created_at: str, root: str) -> str:
+    """Write the tables of a snapshot under ``root`` and commit them; the folder of this version.
+
+    Each version has a folder of its own that nothing ever writes to again. It is seen once its commit is there: a small file
+    that is put under the next free number by a rename which fails if that number is taken. So a snapshot is seen whole or not at
+    all, writers that meet take numbers one after the other, and putting an id again leaves what is being read as it is.
     """
-    for name, df in tables.items():
-        df.write.mode("overwrite").parquet(f"{root}/{name}/snapshot_id={snapshot_id}")
     spark = next(iter(tables.values())).sparkSession
-    head = spark.createDataFrame([(snapshot_id, created_at)], "id string, created_at string")
-    head.coalesce(1).write.mode("overwrite").parquet(f"{root}/snapshots/id={snapshot_id}")
-    head.coalesce(1).write.mode("append").parquet(f"{root}/pointer")
+    data = uuid.uuid4().hex
+    for name, df in tables.items():
+        df.write.parquet(f"{root}/data/{data}/{name}")
+    number = 1 + (commits(spark, root).agg(F.max("number")).first()[0] or 0)
+    while not _publish(spark, root, number, {"number": number, "id": snapshot_id, "created_at": created_at, "data": data, "tables": sorted(tables)}):
+        number += 1
+    return f"{root}/data/{data}"
+
+
+def commits(spark: SparkSession, root: str) -> DataFrame:
+    """(number, id, created_at, data, tables) of all commits."""
+    schema = "number long, id string, created_at string, data string, tables array<string>"
+    context, at = _files(spark, f"{root}/commits")
+    if not context.util().exists(at):
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).json(f"{root}/commits/*.json")
+
+
+def versions(spark: SparkSession, root: str) -> DataFrame:
+    """The last commit of each snapshot."""
+    last = commits(spark, root).groupBy("id").agg(F.max_by(F.struct("number", "created_at", "data", "tables"), "number").alias("c"))
+    return last.select("id", "c.*")
 
 
 def snapshots(spark: SparkSession, root: str) -> DataFrame:
     """(id, created_at), newest first."""
-    return spark.read.schema("id string, created_at string").parquet(f"{root}/snapshots/*").orderBy(F.desc("created_at"), "id")
+    return versions(spark, root).select("id", "created_at").orderBy(F.desc("created_at"), "id")
 
 
 def current_snapshot(spark: SparkSession, root: str) -> str | None:
-    """The snapshot that the pointer names: the last one moved to."""
-    row = spark.read.schema("id string, created_at string").parquet(f"{root}/pointer").orderBy(F.desc("created_at"), F.desc("id")).first()
+    """The snapshot that was committed last."""
+    row = commits(spark, root).orderBy(F.desc("number")).first()
     return row["id"] if row else None
 
 
+def pinned(spark: SparkSession, root: str, snapshot_id: str) -> str:
+    """The folder of a snapshot's last version. Tables under it stay as they are, whatever is put later."""
+    row = versions(spark, root).filter(F.col("id") == snapshot_id).first()
+    if row is None:
+        raise KeyError(snapshot_id)
+    return f"{root}/data/{row['data']}"
+
+
 def of_snapshot(spark: SparkSession, root: str, name: str, snapshot_id: str) -> DataFrame:
-    """One table of a snapshot; only its folder is read."""
-    return spark.read.parquet(f"{root}/{name}").filter(F.col("snapshot_id") == snapshot_id)
+    """One table of a snapshot's last version, pinned to it; only its folder is read."""
+    return spark.read.parquet(f"{pinned(spark, root, snapshot_id)}/{name}")
+
+
+def swept(spark: SparkSession, root: str, keep: int) -> list[str]:
+    """Delete the data of all but the last ``keep`` commits of each snapshot; the folders deleted. Readers of those must be done."""
+    old = commits(spark, root).withColumn("age", F.row_number().over(W.partitionBy("id").orderBy(F.desc("number")))).filter(F.col("age") > keep)
+    gone = [f"{root}/data/{r['data']}" for r in old.select("data").collect()]  # a row a commit
+    for folder in gone:
+        context, at = _files(spark, folder)
+        if context.util().exists(at):
+            context.delete(at, True)
+    return gone
 
 
 def upserted(old: DataFrame, new: DataFrame, *keys: str) -> DataFrame:
@@ -125,10 +191,6 @@ def manifest_facts(manifests: DataFrame, key: str, column: str) -> DataFrame:
     return first.unionByName(points.select(key, F.lit("entry").alias("block"), "name", "version"))
 
 
-def newest_first(rows: DataFrame, by: str, order: list[Column], k: int) -> DataFrame:
-    return rows.withColumn("place", F.row_number().over(W.partitionBy(by).orderBy(*order))).filter(F.col("place") <= k)
-
-
 def graph_json(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(kind, id, payload): every record as JSON with its version, nulls left out."""
     told = lambda df, kind: df.select(F.lit(kind).alias("kind"), "id", F.to_json(F.struct(F.lit(1).alias("version"), *df.columns)).alias("payload"))
@@ -141,21 +203,6 @@ def read_graph_json(records: DataFrame, kind: str, schema: str) -> DataFrame:
     return read.filter("r.version = 1").select("r.*").drop("version")
 
 
-def config_table(spark: SparkSession, text: str) -> DataFrame:
-    """(key, value) of a nested configuration given as JSON, keys joined by dots; lists by position."""
-    rows: list[tuple[str, str]] = []
-
-    def walk(prefix: str, value) -> None:
-        if isinstance(value, dict | list):
-            for k, v in value.items() if isinstance(value, dict) else enumerate(value):
-                walk(f"{prefix}.{k}" if prefix else str(k), v)
-        else:
-            rows.append((prefix, "" if value is None else str(value)))
-
-    walk("", json.loads(text))
-    return spark.createDataFrame(rows, "key string, value string")
-
-
 def snapshot_round_trip(nodes: DataFrame, edges: DataFrame, root: str) -> tuple[DataFrame, DataFrame]:
     """``nodes`` and ``edges`` written as the current snapshot of ``root`` and read back by the pointer."""
     spark = nodes.sparkSession
