@@ -11,7 +11,9 @@ from graphloom.catalog import query
 from graphloom.operators import enrich as E
 from graphloom.operators import modules as O
 from graphloom.operators import preflight as P
+from graphloom.operators import surfaces as U
 from graphloom.operators.graph import count_by, top_per
+from graphloom.operators.matching import match_concepts
 from graphloom.plans.lift import edges, edges_of, nid, nodes, table
 
 
@@ -189,13 +191,33 @@ def proposed_edges(spark, d):
     return P.proposed_edges(part.select(F.col("p_partkey").alias("requirement"), said.alias("statement")), concepts)
 
 
-@query("""WITH u AS (SELECT p_name || ' ' || p_brand AS concept, count(*) AS requirements, count(*) FILTER (p_size > 25) AS near, bool_or(p_size = 1) AS gap, bool_or(p_size = 2) AS external FROM part GROUP BY 1)
-SELECT concept, requirements, CASE WHEN gap THEN 'coverage-gap' WHEN external THEN 'external-dependency' WHEN requirements > 1 THEN 'new-surface' WHEN near > 0 THEN 'terminology-mismatch' ELSE 'insufficient-evidence' END AS kind FROM u""", lift=False)
+#: Statements of suppliers, by their key; {0} is what each names.
+_NAMING = ("Add the route {0} here", "It reads {0}", "Call {0} of the external service", "Rename {0} in the schema", "Use the topic {0}")
+_NAMES = ("'/api/r' || k % 7", "'src/f' || k % 5 || '.ts'", "'Thing' || k % 3", "'word'", "'NoSuch_' || k % 4")
+_UNKNOWN = f"""s AS (SELECT s_suppkey AS k FROM supplier), u AS (SELECT k, {"CASE (k // 5) % 5 " + " ".join(f"WHEN {i} THEN {n}" for i, n in enumerate(_NAMES)) + " END"} AS concept, k % 5 AS said FROM s)"""
+
+
+def _unknown(spark, d):
+    """(requirement, statement, concept) of suppliers."""
+    k = F.col("s_suppkey")
+    named = (F.concat(F.lit("/api/r"), k % 7), F.concat(F.lit("src/f"), k % 5, F.lit(".ts")), F.concat(F.lit("Thing"), k % 3), F.lit("word"), F.concat(F.lit("NoSuch_"), k % 4))
+    concept = F.element_at(F.array(*(n.cast("string") for n in named)), (F.floor(k / 5) % 5 + 1).cast("int"))
+    said = F.element_at(F.array(*(F.lit(t) for t in _NAMING)), (k % 5 + 1).cast("int"))
+    rows = table(spark, d, "supplier").select(k.cast("string").alias("requirement"), said.alias("said"), concept.alias("concept"))
+    return rows.select("requirement", F.replace("said", F.lit("{0}"), F.col("concept")).alias("statement"), "concept")
+
+
+@query(f"""WITH {_UNKNOWN}, g AS (SELECT concept, bool_or(said = 0) AS creates, bool_or(said = 2) AS outside, bool_or(said = 4) AS sibling, array_to_string(list_sort(list(k::VARCHAR)), ',') AS requirements FROM u GROUP BY 1),
+c AS (SELECT *, CASE WHEN concept LIKE '/%' THEN 'route' WHEN contains(concept, '/') THEN 'path' WHEN concept = 'word' THEN 'term' ELSE 'identifier' END AS shape, CASE WHEN concept LIKE 'Thing%' THEN concept || 'A,' || concept || 'B' ELSE '' END AS nearest FROM g),
+r AS (SELECT *, list_filter([CASE WHEN outside THEN 'external-dependency' END, CASE WHEN shape <> 'term' AND (creates OR sibling) THEN 'new-surface' END, CASE WHEN nearest <> '' THEN 'terminology-mismatch' END], lambda x: x IS NOT NULL) AS readings FROM c)
+SELECT concept, shape, coalesce(readings[1], 'insufficient-evidence') AS kind, array_to_string(CASE WHEN len(readings) = 0 THEN ['new-surface', 'external-dependency', 'coverage-gap', 'terminology-mismatch'] ELSE readings[2:] END, ',') AS others, requirements, nearest,
+CASE coalesce(readings[1], '') WHEN 'external-dependency' THEN 70 WHEN 'new-surface' THEN 70 WHEN 'terminology-mismatch' THEN 60 ELSE 30 END AS confidence FROM r""", lift=False)
 def unresolved_surfaces(spark, d):
-    """Concepts that nothing matches: how many requirements name each, and the first reading that its signals support."""
-    u = table(spark, d, "part").groupBy(F.concat_ws(" ", "p_name", "p_brand").alias("concept")).agg(F.count("*").alias("requirements"), F.count_if(F.col("p_size") > 25).alias("near"), F.bool_or(F.col("p_size") == 1).alias("gap"), F.bool_or(F.col("p_size") == 2).alias("external"))
-    kind = F.when(F.col("gap"), "coverage-gap").when(F.col("external"), "external-dependency").when(F.col("requirements") > 1, "new-surface").when(F.col("near") > 0, "terminology-mismatch").otherwise("insufficient-evidence")
-    return u.select("concept", "requirements", kind.alias("kind"))
+    """What the absence of the concepts of suppliers' requirements may mean."""
+    rows = _unknown(spark, d)
+    near = rows.filter("concept like 'Thing%'").select("concept", F.explode(F.array(F.concat("concept", F.lit("A")), F.concat("concept", F.lit("B")))).alias("name"))
+    out = U.unresolved_surfaces(rows.select("requirement", "statement"), rows.select("requirement", "concept"), near, nodes(spark, d))
+    return out.select("concept", "shape", "kind", *(F.array_join(c, ",").alias(c) for c in ("others", "requirements", "nearest")), "confidence")
 
 
 @query("SELECT o_orderkey, o_orderpriority, total FROM (SELECT o_orderkey, o_orderpriority, count(*) OVER () AS total, row_number() OVER (ORDER BY o_orderpriority, o_orderkey) AS p FROM orders WHERE o_orderstatus = 'F') WHERE p > 40 AND p <= 60", lift=False)
@@ -225,9 +247,14 @@ def evidence_provenance(spark, d):
     return pairs.groupBy("s").agg(F.when(named > 0, "USER_SUPPLIED").otherwise("GRAPH_DERIVED").alias("provenance"), named.alias("named"), F.count("*").alias("n"))
 
 
-@query("SELECT k AS concept_kind, code, count(*) AS n FROM (SELECT p_partkey % 4 AS k, CASE p_partkey % 4 WHEN 0 THEN 'unknown-concept' WHEN 1 THEN 'ambiguous-concept' END AS code FROM part WHERE p_partkey % 4 < 2 UNION ALL SELECT 0, 'unresolved-concept' FROM part WHERE p_partkey % 4 = 0) GROUP BY ALL", lift=False)
+@query("""WITH s AS (SELECT s_suppkey AS k FROM supplier), c AS (SELECT k::VARCHAR AS requirement, CASE k % 4 WHEN 0 THEN 'NoSuch' || k WHEN 1 THEN 'no-such-thing' WHEN 2 THEN (SELECT min(n_name) FROM nation) ELSE 'Twins' END AS concept FROM s)
+SELECT requirement, unnest(CASE WHEN concept = 'Twins' THEN ['ambiguous-concept'] ELSE ['unknown-concept', 'unresolved-concept'] END) AS code, concept FROM c WHERE concept LIKE 'NoSuch%' OR concept = 'Twins'""", lift=False)
 def match_warnings(spark, d):
-    """Warnings of a match: unknown concepts are told twice, ambiguous ones once."""
-    k = F.col("p_partkey") % 4
-    codes = F.when(k == 0, F.array(F.lit("unknown-concept"), F.lit("unresolved-concept"))).when(k == 1, F.array(F.lit("ambiguous-concept")))
-    return table(spark, d, "part").select(k.alias("concept_kind"), F.explode(codes).alias("code")).groupBy("concept_kind", "code").agg(F.count("*").alias("n"))
+    """Warnings of what suppliers' requirements name: nothing, a phrase, a nation, and one of many services of one name."""
+    k = F.col("s_suppkey")
+    first = table(spark, d, "nation").agg(F.min("n_name").alias("n_name"))
+    concept = F.when(k % 4 == 0, F.concat(F.lit("NoSuch"), k)).when(k % 4 == 1, "no-such-thing").when(k % 4 == 2, F.col("n_name")).otherwise("Twins")
+    asked = table(spark, d, "supplier").crossJoin(F.broadcast(first)).select(k.cast("string").alias("requirement"), concept.alias("concept"))
+    twins = table(spark, d, "nation").select(F.concat(F.lit("twin:"), "n_nationkey").alias("id"), F.lit("application").alias("category"), F.lit("service").alias("type"), F.lit("Twins").alias("name"), F.concat(F.col("n_nationkey").cast("string"), F.lit("/twins")).alias("path"), F.lit("static-analysis").alias("provenance"))
+    none = first.select(F.col("n_name").alias("concept"), F.col("n_name").alias("alias")).limit(0)
+    return U.match_warnings(asked, match_concepts(asked, nodes(spark, d).unionByName(twins), none))

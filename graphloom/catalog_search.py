@@ -75,12 +75,12 @@ def fuzzy_name_match(spark, d):
     return M.similar_names(concepts, name.select(F.explode(F.array(F.col("p_name"), F.concat("p_name", F.lit("Service")))).alias("name")))
 
 
-@query(f"""+ c AS (SELECT n_name AS concept FROM nation UNION SELECT replace(lower(s_name), '#', ' ') FROM supplier UNION SELECT 'big ' || p_name FROM part UNION SELECT 'no ' || n_name FROM nation UNION SELECT p_name FROM part UNION SELECT s_name || ' alpha' FROM supplier WHERE s_suppkey < 7),
+@query(f"""+ c AS (SELECT n_name AS concept FROM nation UNION SELECT replace(lower(s_name), '#', ' ') FROM supplier UNION SELECT 'big_' || replace(p_name, ' ', '_') FROM part UNION SELECT 'big ' || p_name FROM part UNION SELECT 'no ' || n_name FROM nation UNION SELECT p_name FROM part UNION SELECT s_name || ' alpha' FROM supplier WHERE s_suppkey < 7),
 n AS (SELECT *, {_NORM.format("name")} AS t FROM nodes), e AS (SELECT concept, n.id, n.category, n.path FROM c JOIN n ON {_NORM.format("concept")} = t),
 clash AS (SELECT DISTINCT concept FROM (SELECT concept, category, count(*) AS k, count(DISTINCT split_part(path, '/', 1)) AS p FROM e GROUP BY ALL) WHERE k > 3 AND p > 1),
 rest AS (SELECT concept FROM c WHERE concept NOT IN (SELECT concept FROM e)), al AS (SELECT concept, n.id FROM rest JOIN n ON concept LIKE '% alpha' AND {_NORM.format("replace(concept, ' alpha', '')")} = t),
 names AS (SELECT DISTINCT name FROM n), p AS (SELECT concept, name, {_TOKENS.format("concept")} AS ct, {_TOKENS.format("name")} AS nt, {_NORM.format("concept")} AS cn, {_NORM.format("name")} AS nn FROM rest, names),
-alike AS (SELECT DISTINCT concept, n.id FROM p JOIN n USING (name) WHERE list_has_any(ct, nt) AND contains(' ' || array_to_string(CASE WHEN len(ct) <= len(nt) THEN nt ELSE ct END, ' ') || ' ', ' ' || array_to_string(CASE WHEN len(ct) <= len(nt) THEN ct ELSE nt END, ' ') || ' ') AND least(length(cn), length(nn))::DOUBLE / greatest(length(cn), length(nn)) >= 0.6),
+alike AS (SELECT DISTINCT concept, n.id FROM p JOIN n USING (name) WHERE NOT contains(concept, ' ') AND NOT regexp_matches(concept, '^[a-z][a-z0-9]*(?:-[a-z0-9]+)+$') AND list_has_any(ct, nt) AND contains(' ' || array_to_string(CASE WHEN len(ct) <= len(nt) THEN nt ELSE ct END, ' ') || ' ', ' ' || array_to_string(CASE WHEN len(ct) <= len(nt) THEN ct ELSE nt END, ' ') || ' ') AND least(length(cn), length(nn))::DOUBLE / greatest(length(cn), length(nn)) >= 0.6),
 few AS (SELECT concept, count(*) AS k FROM alike GROUP BY 1),
 a AS (SELECT concept, 'exact' AS outcome, id, 0 AS tier FROM e UNION ALL SELECT concept, 'alias', id, 1 FROM al UNION ALL SELECT concept, 'name-similarity', id, 2 FROM alike JOIN few USING (concept) WHERE k <= 3),
 b AS (SELECT * FROM a WHERE concept NOT IN (FROM clash) QUALIFY tier = min(tier) OVER (PARTITION BY concept)), k AS (SELECT concept, outcome, id FROM b QUALIFY row_number() OVER (PARTITION BY concept ORDER BY id) <= 5)
@@ -89,7 +89,7 @@ def concept_matching(spark, d):
     t = lambda n: table(spark, d, n)
     alpha = t("supplier").filter("s_suppkey < 7").select(F.concat("s_name", F.lit(" alpha")).alias("concept"), F.col("s_name").alias("alias"))
     asked = t("nation").select(F.explode(F.array(F.col("n_name"), F.concat(F.lit("no "), "n_name"))).alias("concept")).unionByName(t("supplier").select(F.replace(F.lower("s_name"), F.lit("#"), F.lit(" ")).alias("concept")))
-    asked = asked.unionByName(t("part").select(F.explode(F.array(F.concat(F.lit("big "), "p_name"), F.col("p_name"))).alias("concept"))).unionByName(alpha.select("concept"))
+    asked = asked.unionByName(t("part").select(F.explode(F.array(F.concat(F.lit("big_"), F.replace("p_name", F.lit(" "), F.lit("_"))), F.concat(F.lit("big "), "p_name"), F.col("p_name"))).alias("concept"))).unionByName(alpha.select("concept"))
     return M.match_concepts(asked, nodes(spark, d), alpha)
 
 

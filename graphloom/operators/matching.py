@@ -98,6 +98,11 @@ def reranked(hits: DataFrame, intent: str) -> DataFrame:
     return members.unionByName(rows.filter(~counted).withColumn("overflow", F.lit(False)))
 
 
+def speculative(concept: str) -> Column:
+    """Whether a concept was mined from prose, not written as an identifier: such a one resolves strongly or not at all."""
+    return F.contains(concept, F.lit(" ")) | F.col(concept).rlike(r"^[a-z][a-z0-9]*(?:-[a-z0-9]+)+$")
+
+
 def resolve_paths(references: DataFrame, nodes: DataFrame) -> DataFrame:
     """(reference, outcome, via, path, places) for each distinct reference: the one path (whatever its case) that it is, else that ends
     with it at a segment's start; several are ambiguous. Null paths are none. Suffixes are exploded and hash-joined."""
@@ -154,20 +159,22 @@ def similar_names(concepts: DataFrame, names: DataFrame) -> DataFrame:
 def match_concepts(concepts: DataFrame, nodes: DataFrame, aliases: DataFrame) -> DataFrame:
     """(concept, outcome, id): up to five nodes for each concept, or one row without a node where it is ambiguous or unknown.
 
-    In turn: nodes of that name (but for case and punctuation) or path, those of its alias, one to three similar names, then
+    In turn: nodes of that name (but for case and punctuation) or path, those of its alias, one to three similar names (of a concept
+    that isn't speculative), then
     packages and workspaces that lie right below a directory of that name, then files. Nodes of tests count only if there are no others.
     An exact name of more than three nodes of one category in several top-level directories is ambiguous.
     """
     asked = staged(concepts.select("concept").distinct().withColumn("target", S.normalized(F.col("concept"))))
     test = (F.col("type") == "test") | F.coalesce(F.col("path").rlike(r"(?i)(^|/)(tests?|__tests__|spec)/|\.(test|spec)\.[a-z0-9]+$"), F.lit(False))
     held = staged(nodes.select("id", "category", "type", "name", "path", S.normalized(F.col("name")).alias("target"), test.alias("is_test")))
-    named = asked.filter("target <> ''").join(held.select("id", "target"), "target").select("concept", "id")
+    part_of = F.col("type").isin(*MEMBERS)  # a phrase never names a member
+    named = asked.filter("target <> ''").join(held.select("id", "target", part_of.alias("member")), "target").filter(~(speculative("concept") & F.col("member"))).select("concept", "id")
     pathed = asked.join(held.select("id", F.col("path").alias("concept")), "concept").select("concept", "id")
     exact = staged(named.unionByName(pathed).distinct().withColumn("tier", F.lit(0)).withColumn("mechanism", F.lit("exact")))
     other = aliases.select("concept", S.normalized(F.col("alias")).alias("target")).join(asked.select("concept"), "concept", "left_semi")
     by_alias = other.join(held.select("id", "target"), "target").select("concept", "id", F.lit(1).alias("tier"), F.lit("alias").alias("mechanism"))
     rest = staged(asked.join(exact.select("concept"), "concept", "left_anti"))
-    alike = staged(similar_names(rest, held).join(held.select("name", "id"), "name").select("concept", "id").distinct())
+    alike = staged(similar_names(rest.filter(~speculative("concept")), held).join(held.select("name", "id"), "name").select("concept", "id").distinct())
     few = alike.groupBy("concept").agg(F.count("*").alias("n"))
     similar = alike.join(few.filter(F.col("n") <= MOST_SIMILAR), "concept").select("concept", "id", F.lit(2).alias("tier"), F.lit("name-similarity").alias("mechanism"))
     parts = F.split("path", "/")

@@ -13,7 +13,7 @@ from graphloom.functions.scalars import first_of
 from graphloom.operators import impact as I
 from graphloom.operators import texts as X
 from graphloom.operators.graph import staged
-from graphloom.operators.matching import match_concepts
+from graphloom.operators.matching import match_concepts, speculative
 from graphloom.plans import vocabulary as V
 
 
@@ -115,11 +115,6 @@ def change_shapes(requirements: DataFrame, anchors: DataFrame, edges: DataFrame)
     return rows.select("*", *(F.expr(V.case("shape", {k: v[i] for k, v in V.BUDGETS.items()})).alias(name) for i, name in enumerate(("max_depth", "max_chain", "max_expansions"))))
 
 
-def speculative(concept: str):
-    """Whether a concept was mined from prose, not written as an identifier."""
-    return F.contains(concept, F.lit(" ")) | F.col(concept).rlike(r"^[a-z][a-z0-9]*(?:-[a-z0-9]+)+$")
-
-
 def impact_model(requirements: DataFrame, nodes: DataFrame, edges: DataFrame, aliases: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Impacts and warnings of ``requirements`` (requirement, statement).
 

@@ -71,3 +71,18 @@ GUARDS = (
 BOUNDLESS = r"(?i)\b(?:nothing|anything|everything)\b|\b(?:all|any|no)\s+(?:other|remaining)\b|\bthe\s+rest\b|\b(?:any|every|some)where\s+else\b"
 CONFIDENCE = {"guard": 0.8, "modal": 0.8, "imperative": 0.65, "will": 0.55}
 PROVISIONAL_OVER = 3
+
+# What statements say of the things they name: that they come into being, that they lie outside, of which kind they are.
+CREATION = r"(?i)\b(add|adds|adding|new|create|creates|creating|introduce|introduces|support for|index|model|models|modelled|emit|emits|expose|exposes|record|records|classify|classifies|derive|derives|represent|represents|extract|extracts|validate|validates)\b"
+OUTSIDE = r"(?i)\b(third[- ]party|external (?:service|system|api)|vendor|upstream provider|sendgrid|stripe|twilio)\b"
+SURFACES = (
+    (r"(?i)\b(localization|localisation|i18n|translation|locale)\b", ("locale-bundle", "translation-key")),
+    (r"(?i)\b(route|endpoint|path)\b", ("api-endpoint", "controller", "handler")),
+    (r"(?i)\b(schema|contract)\b", ("json-schema", "openapi-document", "schema")),
+    (r"(?i)\b(migration)\b", ("migration",)),
+    (r"(?i)\b(feature flag)\b", ("feature-flag",)),
+    (r"(?i)\b(event|topic|queue)\b", ("topic", "pubsub-topic", "domain-event")),
+)
+READINGS = {"coverage-gap": 80, "external-dependency": 70, "new-surface": 70, "terminology-mismatch": 60, "insufficient-evidence": 30}
+OPEN_READINGS = ("new-surface", "external-dependency", "coverage-gap", "terminology-mismatch")
+MOST_NEAREST = 5
