@@ -47,13 +47,18 @@ def bean_injection(spark, d):
     return E.injections(wants, part)
 
 
-@query("""WITH s AS (SELECT 'seg' || (c_custkey % 20) AS key, CASE WHEN c_custkey % 20 < 10 THEN 'v' || (c_custkey % 20) ELSE 'v' || c_custkey END AS value FROM customer), a AS (SELECT key, min(value) AS value FROM s GROUP BY 1 HAVING count(DISTINCT value) = 1)
-SELECT s_suppkey, CASE s_suppkey % 3 WHEN 0 THEN 'plain' WHEN 1 THEN value ELSE coalesce(value, 'none') END AS resolved FROM supplier LEFT JOIN a ON s_suppkey % 3 <> 0 AND key = 'seg' || (s_suppkey % 20)""", lift=False)
+@query("""WITH s AS (SELECT 'seg' || (c_custkey % 20) AS key, CASE WHEN c_custkey % 20 = 4 THEN '${seg1}' WHEN c_custkey % 20 = 5 THEN 'a b' WHEN c_custkey % 20 < 10 THEN 'v' || (c_custkey % 20) ELSE 'v' || c_custkey END AS value FROM customer WHERE c_custkey % 20 <> 6), a AS (SELECT key, min(value) AS value, count(DISTINCT value) AS n FROM s GROUP BY 1),
+r AS (SELECT s_suppkey, s_suppkey % 4 AS m, n, value FROM supplier LEFT JOIN a ON key = 'seg' || (s_suppkey % 20)), x AS (SELECT *, CASE WHEN n = 1 THEN value WHEN n IS NULL AND m = 2 THEN 'none' END AS found FROM r),
+y AS (SELECT *, CASE WHEN m IN (0, 3) THEN 'not-a-placeholder' WHEN n > 1 THEN 'conflict' WHEN n = 1 AND contains(value, '${') THEN 'nested' WHEN found IS NULL THEN 'unknown-key' WHEN contains(found, ' ') THEN 'not-a-bare-name' END AS refusal FROM x)
+SELECT s_suppkey, CASE WHEN refusal IS NULL THEN found END AS resolved, refusal FROM y""", lift=False)
 def placeholder_values(spark, d):
-    settings = table(spark, d, "customer").select(F.concat(F.lit("seg"), F.col("c_custkey") % 20).alias("key"), F.concat(F.lit("v"), F.when(F.col("c_custkey") % 20 < 10, F.col("c_custkey") % 20).otherwise(F.col("c_custkey"))).alias("value"))
-    key = F.concat(F.lit("${seg"), F.col("s_suppkey") % 20)
-    raw = F.when(F.col("s_suppkey") % 3 == 0, "plain").when(F.col("s_suppkey") % 3 == 1, F.concat(key, F.lit("}"))).otherwise(F.concat(key, F.lit(":none}")))
-    return E.placeholders(table(spark, d, "supplier").select("s_suppkey", raw.alias("raw")), "raw", settings).select("s_suppkey", "resolved")
+    """What placeholders of suppliers stand for, by the settings of customers; why others are refused."""
+    k = F.col("c_custkey") % 20
+    value = F.when(k == 4, "${seg1}").when(k == 5, "a b").otherwise(F.concat(F.lit("v"), F.when(k < 10, k).otherwise(F.col("c_custkey"))))
+    settings = table(spark, d, "customer").filter(k != 6).select(F.concat(F.lit("seg"), k).alias("key"), value.alias("value"))
+    key, m = F.concat(F.lit("${seg"), F.col("s_suppkey") % 20), F.col("s_suppkey") % 4
+    raw = F.when(m == 0, "plain").when(m == 1, F.concat(key, F.lit("}"))).when(m == 2, F.concat(key, F.lit(":none}"))).otherwise(F.concat(F.lit("x-"), key, F.lit("}")))
+    return E.placeholders(table(spark, d, "supplier").select("s_suppkey", raw.alias("raw")), "raw", settings).select("s_suppkey", "resolved", "refusal")
 
 
 @query(r"""WITH e AS (SELECT DISTINCT 'page' || page_id AS endpoint, 'GET' AS verb, regexp_replace(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '/+$', '') AS route FROM pages WHERE page_id % 3 = 0),

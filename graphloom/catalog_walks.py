@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from graphloom.catalog import query
 from graphloom.operators import graph as G
+from graphloom.operators import preflight as P
 from graphloom.operators import walks as K
 from graphloom.plans.lift import edges, edges_of, nid, nodes, table
 
@@ -114,15 +115,16 @@ def runtime_paths(spark, d):
     return K.runtime_paths(held, links, held.filter("type = 'service-url'"))
 
 
-@query("""WITH r AS (SELECT unnest(['Brand#1', 'Brand#2', 'Brand#3', 'Brand#4']) AS name), got AS (SELECT DISTINCT o_custkey, p_brand FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey)
-SELECT c_custkey, name FROM customer, r WHERE NOT EXISTS (SELECT 1 FROM got WHERE o_custkey = c_custkey AND p_brand = name)""", lift=False)
+@query("""WITH w AS (SELECT 'order:' || o_orderkey AS start, c_nationkey AS n FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_acctbal >= 0 AND c_mktsegment <> 'MACHINERY')
+SELECT start, 'nation:' || n AS process, CASE n % 4 WHEN 1 THEN 'DB_URL' WHEN 2 THEN 'API_URL' ELSE 'API_URL,DB_URL' END AS missing FROM w WHERE n % 4 > 0""", lift=False)
 def config_gaps(spark, d):
-    """Names that each process needs and doesn't receive."""
-    needs = F.array(*(F.lit(f"Brand#{i}") for i in (1, 2, 3, 4)))
-    asked = table(spark, d, "customer").select("c_custkey", F.explode(needs).alias("name"))
-    bought = table(spark, d, "lineitem").join(table(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(table(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey"))
-    got = bought.select(F.col("o_custkey").alias("c_custkey"), F.col("p_brand").alias("name")).distinct()
-    return asked.join(got, ["c_custkey", "name"], "left_anti")
+    """The processes on the ways of orders' traffic that don't receive what is needed there."""
+    held, links = _runtime(spark, d)
+    nation = table(spark, d, "nation").select(nid("nation", "n_nationkey").alias("id"), (F.col("n_nationkey") % 4).alias("m"))
+    processes = nation.filter("m in (0, 1)").select("id", F.lit("API_URL").alias("name")).unionByName(nation.filter("m in (0, 2)").select("id", F.lit("DB_URL").alias("name")))
+    needs = nation.select(F.explode(F.array(F.lit("DB_URL"), F.lit("API_URL"))).alias("name")).distinct()
+    _, gaps = P.config_gaps(K.runtime_paths(held, links, held.filter("type = 'service-url'")), held, processes, needs)
+    return gaps.select("start", F.col("hop").alias("process"), F.array_join("missing", ",").alias("missing"))
 
 
 @query("""+ e AS (SELECT DISTINCT c_nationkey AS a, s_nationkey AS b FROM calls JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey WHERE c_nationkey < s_nationkey AND (c_nationkey * 7 + s_nationkey) % 3 = 0),

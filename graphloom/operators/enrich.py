@@ -35,12 +35,28 @@ def injections(wants: DataFrame, provides: DataFrame) -> DataFrame:
     return wants.join(only, "type_name").select("consumer", "provider", "type_name")
 
 
-def placeholders(values: DataFrame, column: str, settings: DataFrame) -> DataFrame:
-    """``values`` with resolved: ``${key:default}`` replaced by the setting of that key if all settings of it agree, else the default, else null."""
-    agreed = settings.groupBy("key").agg(F.count_distinct("value").alias("n"), F.min("value").alias("value")).filter("n = 1").select(F.col("key").alias("_key"), F.col("value").alias("_set"))
-    key, default = F.regexp_extract(column, r"^\$\{([^:}]+)", 1), F.when(F.col(column).rlike(r"^\$\{[^:}]+:"), F.regexp_extract(column, r"^\$\{[^:}]+:([^}]*)\}", 1))
-    rows = values.withColumn("_k", key).withColumn("_d", default).join(agreed, F.col("_k") == F.col("_key"), "left")
-    return rows.withColumn("resolved", F.when(F.col(column).rlike(r"^\$\{"), F.coalesce("_set", "_d")).otherwise(F.col(column))).drop("_k", "_d", "_key", "_set")
+def placeholders(values: DataFrame, column: str, settings: DataFrame, module: str | None = None) -> DataFrame:
+    """``values`` with resolved and refusal, one of which is null: what ``${key}`` or ``${key:default}`` stands for.
+
+    A text that is not just one placeholder, or not a bare name in the end (it has white space or a slash), is refused, and so is a
+    key that is set to several values, to another placeholder (nothing is expanded twice), or to nothing without a default. With
+    ``module``, a column of both tables, a setting holds in its own module.
+    """
+    by = ["_module"] if module else []
+    own = F.col(module) if module else F.lit(None)
+    agreed = settings.select("key", "value", own.alias("_module")).groupBy(F.col("key").alias("_key"), "_module").agg(F.count_distinct("value").alias("_n"), F.min("value").alias("_set"))
+    agreed = agreed if by else agreed.drop("_module")
+    pattern = r"^\$\{([^{}:]+)(?::([^{}]*))?\}$"
+    whole, key, default = F.col(column).rlike(pattern), F.trim(F.regexp_extract(column, pattern, 1)), F.regexp_extract(column, pattern, 2)
+    rows = values.withColumn("_key", F.when(whole & (key != ""), key)).withColumn("_module", own)
+    rows = rows.join(agreed, ["_key", *by], "left")
+    found = F.when(F.col("_n") == 1, F.col("_set")).when(F.col("_n").isNull() & (default != ""), default)
+    bare = found.rlike(r"^[^\s/]+$")
+    refusal = (
+        F.when(F.col("_key").isNull(), "not-a-placeholder").when(F.col("_n") > 1, "conflict").when((F.col("_n") == 1) & F.contains("_set", F.lit("${")), "nested")
+        .when(found.isNull(), "unknown-key").when(~bare, "not-a-bare-name")
+    )
+    return rows.select(*values.columns, F.when(refusal.isNull(), found).alias("resolved"), refusal.alias("refusal"))
 
 
 def linked_calls(calls: DataFrame, endpoints: DataFrame) -> DataFrame:

@@ -143,6 +143,19 @@ def check_assumptions(requirements: DataFrame, nodes: DataFrame, edges: DataFram
     return finding(judged, "check-assumptions", F.col("requirement"), "invalid-assumption", F.when(F.col("unsure"), "warning").otherwise("blocking"), F.when(F.col("unsure"), 60).otherwise(90), F.concat_ws(".", "qualifier", "member"), F.when(F.col("unsure"), "unverified-assumption").otherwise("verified-contradiction"))
 
 
+def config_gaps(paths: DataFrame, topology: DataFrame, processes: DataFrame, needs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The processes on each path, (start, reason, at, hop), and of those the ones that lack what is needed, with missing (sorted names).
+
+    ``paths`` are as ``walks.runtime_paths`` gives them, ``processes`` (id, name) what each process receives, ``needs`` (name).
+    """
+    serving = topology.filter(F.col("type").isin(*(t for t, kind in K.HOP_KINDS.items() if kind == "process"))).select(F.col("id").alias("hop"))
+    hops = paths.select("start", "reason", F.posexplode(F.split("hops", ">")).alias("at", "hop")).join(serving, "hop")
+    wanted = needs.agg(F.array_sort(F.collect_set("name")).alias("wanted"))  # what a plan needs: a short list
+    given = processes.groupBy(F.col("id").alias("hop")).agg(F.collect_set("name").alias("given"))
+    missing = F.array_except("wanted", F.coalesce("given", F.array().cast("array<string>")))
+    return hops, hops.join(given, "hop", "left").crossJoin(F.broadcast(wanted)).select("start", "reason", "at", "hop", missing.alias("missing")).filter(F.size("missing") > 0)
+
+
 def check_runtime(topology: DataFrame, links: DataFrame, starts: DataFrame, processes: DataFrame, needs: DataFrame, plan: DataFrame) -> DataFrame:
     """What traffic meets on its way and the plan misses: processes without needed configuration; else a way that could not be read
     to its end, and a serving process that the plan does not touch.
@@ -151,12 +164,8 @@ def check_runtime(topology: DataFrame, links: DataFrame, starts: DataFrame, proc
     a process receives, ``needs`` (name), ``plan`` (id) what the plan configures.
     """
     paths = staged(K.runtime_paths(topology, links, starts))
-    serving = topology.filter(F.col("type").isin(*(t for t, kind in K.HOP_KINDS.items() if kind == "process"))).select(F.col("id").alias("hop"))
-    hops = paths.select("start", "reason", F.posexplode(F.split("hops", ">")).alias("at", "hop")).join(serving, "hop")
-    wanted = needs.agg(F.array_sort(F.collect_set("name")).alias("wanted"))  # what a plan needs: a short list
-    given = processes.groupBy(F.col("id").alias("hop")).agg(F.collect_set("name").alias("given"))
-    missing = F.array_except("wanted", F.coalesce("given", F.array().cast("array<string>")))
-    gaps = staged(hops.join(given, "hop", "left").crossJoin(F.broadcast(wanted)).select("start", "reason", "at", "hop", missing.alias("missing")).filter(F.size("missing") > 0))
+    hops, gaps = config_gaps(paths, topology, processes, needs)
+    gaps = staged(gaps)
     sure = F.col("reason").isNull()
     out = finding(gaps, "check-runtime", None, "runtime-topology-gap", F.when(sure, "blocking").otherwise("warning"), F.when(sure, 85).otherwise(55), F.concat("start", F.lit(" at "), "hop"), F.array_join("missing", ", "))
     clear = paths.join(gaps.select("start").distinct(), "start", "left_anti")
