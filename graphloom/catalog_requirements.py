@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from graphloom.catalog import query
 from graphloom.catalog_impact import scored_sql
+from graphloom.operators import clarify as C
 from graphloom.operators import requirements as R
 from graphloom.operators.graph import staged
 from graphloom.plans import vocabulary as V
@@ -112,3 +113,50 @@ def requirement_chains(spark, d):
     )
     routes, _ = R.guarded_walk(relays, seeds)
     return routes.groupBy("requirement", "id").agg(F.min("distance").alias("distance"), F.min("chain").alias("chain"), F.min("path").alias("path"))
+
+
+def _readings(spark, d):
+    """Readings of a requirement on each supplier: the supplier itself, a nation, and a customer; those of every fifth agree."""
+    s, n = table(spark, d, "supplier"), table(spark, d, "nation")
+    k = F.col("s_suppkey")
+    rows = s.join(n, F.col("n_nationkey") == F.col("s_nationkey"))
+    customer = F.concat(F.lit("Customer#"), F.lpad(k.cast("string"), 9, "0"))
+    reading = lambda title, concept: F.struct(F.lit(title).alias("title"), F.concat(F.lit(f"It is about {title} "), k.cast("string"), F.lit(".")).alias("assumption"), F.array(concept).alias("concepts"))
+    every = F.array(reading("the supplier", F.col("s_name")), reading("its place", F.when(k % 5 == 0, F.col("s_name")).otherwise(F.col("n_name"))), reading("a customer", customer))
+    drafts = rows.select(F.concat(F.lit("r-"), k.cast("string")).alias("requirement"), F.posexplode(every).alias("place", "r")).select("requirement", "place", "r.*")
+    return drafts, nodes(spark, d), edges(spark, d, ("CONTAINS", "PUBLISHES"))
+
+
+_READ = """+ drafts AS (SELECT s_suppkey AS k, 'r-' || s_suppkey AS req, unnest([0, 1, 2]) AS place, unnest([s_name, CASE WHEN s_suppkey % 5 = 0 THEN s_name ELSE n_name END, 'Customer#' || lpad(s_suppkey::VARCHAR, 9, '0')]) AS concept FROM supplier JOIN nation ON s_nationkey = n_nationkey),
+seeds AS MATERIALIZED (SELECT req || '#' || place AS requirement, 'unknown' AS change, concept, n.id, 1 AS rank, 'distributed' AS shape, 8 AS max_chain, 20000 AS most FROM drafts JOIN nodes n ON concept = name)"""
+_PRINTS = _READ + walk_sql(10, "type IN ('CONTAINS', 'PUBLISHES')") + """,
+best AS (SELECT requirement, id, bool_or(admissible) AS ok FROM (SELECT *, min(distance) OVER (PARTITION BY requirement, id) AS least FROM kept) WHERE distance = least GROUP BY 1, 2),
+prints AS MATERIALIZED (SELECT split_part(requirement, '#', 1) AS req, split_part(requirement, '#', 2)::INT AS place, id, category, type, name FROM best JOIN nodes USING (id) WHERE ok),
+sides AS (SELECT p.req, o.place, p.id, p.category, p.name FROM prints p, (SELECT unnest([1, 2]) AS place) o WHERE p.place = 0 UNION ALL SELECT req, place, id, category, name FROM prints WHERE place > 0),
+apart AS (SELECT req, place, id, any_value(category) AS category, any_value(name) AS name FROM sides GROUP BY ALL HAVING count(*) = 1),
+differ AS (SELECT req, place, count(*) AS divergent, CASE WHEN bool_or(category IN ('data', 'integration')) THEN 'blocking' WHEN bool_or(category = 'infrastructure') OR count(*) >= 2 THEN 'important' ELSE 'minor' END AS severity, array_to_string(list(name ORDER BY id)[:4], ', ') AS names FROM apart GROUP BY 1, 2),
+titles AS (SELECT unnest([0, 1, 2]) AS place, unnest(['the supplier', 'its place', 'a customer']) AS title)
+"""
+
+
+@query(_PRINTS + """SELECT req AS requirement, place, '''the supplier'' or ''' || title || '''? The readings lead to different changes in ' || names || ' — It is about the supplier ' || split_part(req, '-', 2) || '. Or: It is about ' || title || ' ' || split_part(req, '-', 2) || '.' AS question, divergent, severity FROM differ JOIN titles USING (place)
+WHERE NOT (place = 1 AND req = 'r-1')""")
+def clarifying_questions(spark, d):
+    """What competing readings of suppliers' requirements raise, but for what was asked before."""
+    drafts, held, links = _readings(spark, d)
+    none = table(spark, d, "region").select(F.col("r_name").alias("concept"), F.col("r_name").alias("alias")).limit(0)
+    prints = staged(C.footprints(drafts, held, links, none))
+    differences = staged(C.compared(drafts, prints, held))
+    known = C.questions(drafts, differences, none.select(F.col("concept").alias("question"))).filter("requirement = 'r-1' and place = 1").select("question")
+    return C.questions(drafts, differences, known).drop("id")
+
+
+@query(_PRINTS + """, held AS (SELECT req, place, count(*) AS components, count(*) FILTER (category = 'data') AS data, count(*) FILTER (type = 'domain-event' OR category = 'integration') AS events FROM prints GROUP BY 1, 2),
+used AS (SELECT req, place FROM differ UNION SELECT req, 0 FROM differ)
+SELECT req AS requirement, place, title, coalesce(components, 0) AS components, CASE WHEN components + 2 * data + 2 * events >= 15 THEN 'high' WHEN components + 2 * data + 2 * events >= 6 THEN 'medium' ELSE 'low' END AS complexity, CASE WHEN events > 0 THEN 2 ELSE 1 END AS risks
+FROM used JOIN titles USING (place) LEFT JOIN held USING (req, place)""")
+def clarifying_options(spark, d):
+    drafts, held, links = _readings(spark, d)
+    none = table(spark, d, "region").select(F.col("r_name").alias("concept"), F.col("r_name").alias("alias")).limit(0)
+    _, options = C.clarified(drafts, held, links, none, none.select(F.col("concept").alias("question")))
+    return options.select("requirement", "place", "title", "components", "complexity", F.size("risks").alias("risks"))
