@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import tempfile
 import uuid
@@ -65,6 +66,17 @@ def small_side(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_
     return F.broadcast(df) if most <= size else df
 
 
+#: Gives freed memory of this process back, where the C library can.
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def release() -> None:
+    """At the end of a task: what its arrays held goes back to the machine, as the next task may run in the same worker."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
+
+
 def slices(batch: pa.RecordBatch, column: int, most: int = 4_000_000):
     """``batch`` in parts of about ``most`` bytes of the (string) column, one row at least; copies nothing."""
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 64
@@ -174,7 +186,7 @@ def _compared(rest: DataFrame, info: DataFrame, compare, block: int) -> DataFram
                     rows.append(tuple(row))
         if len(rows) > 1:
             yield from pairs()
-        pa.default_memory_pool().release_unused()
+        release()
 
     blocks = F.ceil(F.col("n") / block).cast("int")
     part = F.pmod(F.xxhash64("id"), blocks).cast("int")
@@ -213,7 +225,7 @@ def flat(df: DataFrame, *lists: str, most: int = 100_000) -> DataFrame:
                     if len(key):
                         owner = np.repeat(batch.column(0).slice(start, end - start).to_numpy(), sizes[start:end])
                         yield pa.RecordBatch.from_arrays([key, pa.array(owner, pa.int64()), pa.array(np.full(len(key), min(more, 1)), pa.int64())], names=["key", "id", "more"])
-        pa.default_memory_pool().release_unused()
+        release()
 
     return df.select("id", *lists).mapInArrow(run, "key long, id long, more long")
 

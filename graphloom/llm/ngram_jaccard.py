@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import free, led, link_buckets, multi_buckets, slices, small_side, stage, table
+from graphloom.llm.common import free, led, link_buckets, multi_buckets, release, slices, small_side, stage, table
 
 U = np.uint64
 
@@ -136,7 +136,7 @@ def features(docs: DataFrame, width: int, percent: int, most: int = 250_000) ->
                         yield flush()
         if rows:
             yield flush()
-        pa.default_memory_pool().release_unused()
+        release()
 
     lists = ", ".join(f"{x} array<long>" for x in ("sole", "lead", "tail"))
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, f"doc_id long, n long, h1 long, h2 long, sketch binary, {lists}")
@@ -175,6 +175,7 @@ def verified(docs: DataFrame, info: DataFrame, width: int, percent: int):
                 keep.append(100 * both >= percent * (len(last[1]) + len(other) - both))
             keep = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([a.filter(keep), b.filter(keep)], names=["a", "b"])
+        release()
 
     def verify(pairs: DataFrame) -> DataFrame:
         left = info.select(F.col("doc_id").alias("a"), F.col("n").alias("n_a"), F.col("sketch").alias("s_a"))
