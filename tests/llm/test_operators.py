@@ -323,7 +323,7 @@ def test_leaks_of_numbers_and_short_items(spark):
     rows = [(i, f"{other} {x} {other}") for i, x in items.items()] + [(7, f"{other}. {re.sub('[0-9]+', lambda m: str(int(m[0]) + 50), mean)}"), (8, other), (9, "What is 13 + 45 * 7 - 3 + 9 - 16 / 5 + 22?")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = {(r.doc_id, r.item_id) for r in decontaminate.find_leaks(docs, spark.createDataFrame(list(items.items()), "item_id long, text string")).collect()}
-    assert got == {(1, 1), (2, 2), (3, 3), (4, 4), (5, 5), (7, 3)}
+    assert got == {(1, 1), (2, 2), (3, 3), (4, 4), (5, 5), (7, 3), (9, 1)}
 
 
 def test_toxicity_held_out(spark):
