@@ -5,9 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from graphloom.catalog import _SNAP, _snapshots, query
-from graphloom.operators import graph as G
 from graphloom.operators import rules as R
-from graphloom.plans.lift import edges, edges_of, nid, nodes, table
+from graphloom.plans.lift import edges_of, nid, table
 from graphloom.streaming.windows import counted_windows
 
 _OWNER = "JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey JOIN nation cn ON c_nationkey = cn.n_nationkey JOIN nation sn ON s_nationkey = sn.n_nationkey"

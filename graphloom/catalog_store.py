@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from graphloom.catalog import query
@@ -11,7 +9,7 @@ from graphloom.functions import scalars as S
 from graphloom.operators import graph as G
 from graphloom.operators import ignore as N
 from graphloom.operators import store as T
-from graphloom.operators.graph import shared_folder
+from graphloom.operators.graph import scratch
 from graphloom.plans.lift import edges, nodes, table
 
 _PATH = "source || '/' || lang || '/' || doc_id || CASE doc_id % 5 WHEN 0 THEN '.test.md' WHEN 1 THEN '.md' WHEN 2 THEN '.lock' ELSE '.txt' END"
@@ -86,7 +84,7 @@ def artifact_status(spark, d):
 @query("SELECT id, category, type, name, path, provenance FROM nodes")
 def graph_load(spark, d):
     """Nodes of the current snapshot, written under a pointer and read back by it."""
-    root = f"{shared_folder(spark)}/store-{uuid.uuid4().hex}"
+    root = scratch(spark, "store")
     held, _ = T.snapshot_round_trip(nodes(spark, d), edges(spark, d, ("CONTAINS",)), root)
     return held.select("id", "category", "type", "name", "path", "provenance")
 
@@ -132,7 +130,7 @@ def graph_json(spark, d):
 @query("SELECT 'region-' || r_regionkey AS id, CASE WHEN r_regionkey = 1 THEN '2024-09-09' ELSE '2024-01-0' || (r_regionkey + 1) END AS created_at, count(*) AS nodes, r_regionkey = 1 AS last FROM region JOIN nation ON n_regionkey = r_regionkey WHERE r_regionkey < 3 GROUP BY ALL", lift=False)
 def snapshot_list(spark, d):
     """Snapshots of the nations of three regions in one store; that of the second region is put again at the end."""
-    root, nation = f"{shared_folder(spark)}/store-{uuid.uuid4().hex}", table(spark, d, "nation")
+    root, nation = scratch(spark, "store"), table(spark, d, "nation")
     put = lambda k, at: T.put_snapshot({"nodes": nation.filter(F.col("n_regionkey") == k)}, f"region-{k}", at, root)
     for k in range(3):
         put(k, f"2024-01-0{k + 1}")

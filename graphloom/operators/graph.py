@@ -75,14 +75,21 @@ def shared_folder(spark) -> str:
     return found
 
 
+def scratch(spark, name: str) -> str:
+    """A new folder of its own in the shared folder; it goes when the session ends, with all that is written in it."""
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.mkdirs(target)
+    fs.deleteOnExit(target)
+    return path
+
+
 def staged(df: DataFrame) -> DataFrame:
     """Written to the shared folder and read back, so that lineage ends there; the files go when the session ends."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/graph-{uuid.uuid4().hex}"
+    path = scratch(df.sparkSession, "graph") + "/rows"
     df.write.parquet(path)
-    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def distances(edges: DataFrame, anchors: DataFrame, max_depth: int, directed: bool = False) -> DataFrame:

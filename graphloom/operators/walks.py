@@ -54,7 +54,7 @@ def shortest_paths(edges: DataFrame, anchors: DataFrame, max_depth: int) -> Data
     ones that of the first discovery, in the order of the frontier, then outgoing before incoming, then edge ids."""
     out = edges.select(F.col("source_id").alias("a"), F.col("target_id").alias("b"), F.concat(F.lit("0"), "id").alias("hop"))
     walk = staged(out.unionByName(edges.select(F.col("target_id").alias("a"), F.col("source_id").alias("b"), F.concat(F.lit("1"), "id").alias("hop"))))
-    known = staged(anchors.select("id", F.lit(0).alias("depth"), F.col("id").alias("path"), F.array("id").alias("ord")))
+    known = staged(anchors.select("id").distinct().select("id", F.lit(0).alias("depth"), F.col("id").alias("path"), F.array("id").alias("ord")))
     frontier = known
     for depth in range(1, max_depth + 1):
         reached = walk.join(frontier.withColumnRenamed("id", "a"), "a").select(F.col("b").alias("id"), F.lit(depth).alias("depth"), F.concat("path", F.lit(">"), "b").alias("path"), F.concat("ord", F.array("hop")).alias("ord"))

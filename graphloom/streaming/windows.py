@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.operators.graph import shared_folder
+from graphloom.operators.graph import scratch
 
 
 def counted_windows(spark: SparkSession, path: str, time: str, width: str, key: str, late: str | None = None) -> DataFrame:
@@ -19,7 +17,7 @@ def counted_windows(spark: SparkSession, path: str, time: str, width: str, key:
     repeated batch replaces its output; the latest row of a window counts. Without ``late`` no row is
     dropped, and the state is one count a window and key; with it (an interval) later rows are dropped and state ends.
     """
-    folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    folder = scratch(spark, "stream")
     schema = spark.read.parquet(path).schema
     rows = spark.readStream.schema(schema).parquet(path).select(F.col(time).cast("timestamp").alias("_time"), key)
     if late:

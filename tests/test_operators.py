@@ -81,3 +81,9 @@ def test_divergence_and_empty_counts(spark):
 def test_statement_helpers(spark):
     row = spark.createDataFrame([("/a/:id/{x}/7/",)], "p string").select(X.route(F.col("p")).alias("r"), X.escaped_xml(F.lit("<a & 'b'>")).alias("x"), X.clipped(F.lit("abcdef"), 4).alias("c"), X.plural(F.lit(1), "node", "nodes").alias("n")).first()
     assert tuple(row) == ("/a/{}/{}/{}", "&lt;a &amp; &#39;b&#39;&gt;", "abc…", "1 node")
+
+
+def test_a_repeated_anchor_gives_no_repeated_rows(spark):
+    edges = spark.createDataFrame([("e", "CALLS", "a", "b")], "id string, type string, source_id string, target_id string")
+    got = K.shortest_paths(edges, spark.createDataFrame([("a",), ("a",)], "id string"), 2).collect()
+    assert sorted((r["id"], r["path"]) for r in got) == [("a", "a"), ("b", "a>b")]
