@@ -11,7 +11,7 @@ from graphloom.operators import preflight as P
 from graphloom.operators.graph import staged
 from graphloom.plans.lift import nid, table
 
-SEGMENTS = ("AUTOMOBILE", "BUILDING", "FURNITURE", "MACHINERY", "HOUSEHOLD", "NOWHERE")
+SEGMENTS = ("AUTOMOBILE", "BUILDING", "FURNITURE", "MACHINERY", "NOWHERE", "HOUSEHOLD")
 NEEDED = ("API_URL", "DB_URL")
 DEFAULTS = ('"{}"', "None", "8080", None, "''", "false")
 
@@ -88,6 +88,13 @@ def preflight_verdicts(spark, d):
     return P.verdicts(given["requirements"], P.preflight(told, spark))
 
 
+@query(f"WITH {_FOUND} SELECT requirement, severity, confidence, subject, detail FROM found WHERE analyzer = 'check-assumptions'", lift=False)
+def assumption_check(spark, d):
+    """Members that requirements of suppliers take for granted, and that no class of the hierarchy declares."""
+    given = _inputs(spark, d)
+    return P.check_assumptions(given["requirements"], given["nodes"], given["edges"]).select("requirement", "severity", "confidence", "subject", "detail")
+
+
 @query("""WITH c AS (SELECT source, unnest(['services/' || source, 'services/' || lang]) AS home, count(*) AS n FROM documents GROUP BY source, lang), f AS (SELECT DISTINCT source, lang FROM documents WHERE source IS NOT NULL)
 SELECT 'forbidden-runtime-call' AS kind, 'https?://' || source AS subject, 'services/' || lang || '/**' AS scope, 'blocking' AS severity, 'recognized' AS extraction, 'billing,' || lang AS exempt, 1::BIGINT AS sources FROM f
 UNION ALL SELECT 'must-pass-check', 'python ci/scripts/check-' || source || '-' || lang || '.py', '**', 'blocking', 'recognized', '', 1 FROM f

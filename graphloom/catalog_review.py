@@ -366,17 +366,3 @@ def context_export(spark, d):
     pick = F.element_at(F.array(*(F.lit(n) for n in ("required", "likely", "possible", "excluded"))), ((F.col("o_custkey") + F.col("l_suppkey")) % 4 + 1).cast("int"))
     rows = _snapshots(spark, d).filter("was and o_custkey % 5 <> 2").select(F.col("o_custkey").alias("requirement"), F.col("l_suppkey").alias("node"), pick.alias("likelihood")).filter(F.col("likelihood").isin("required", "likely"))
     return rows.select("requirement", F.to_json(F.struct("requirement", "node", "likelihood")).alias("payload"))
-
-
-@query("""WITH m AS (SELECT p_partkey AS requirement, 'customer:' || (p_partkey % (SELECT count(*) FROM customer)) AS container, 'Brand#' || (1 + p_partkey % 26) AS member FROM part),
-got AS (SELECT DISTINCT 'customer:' || o_custkey AS container, p_brand AS member FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey)
-SELECT requirement, m.container, m.member, CASE WHEN got.member IS NULL THEN 'invalid-assumption' ELSE 'verified' END AS finding FROM m LEFT JOIN got ON m.container = got.container AND m.member = got.member""", lift=False)
-def assumption_check(spark, d):
-    """Members that requirements mention (`Container.member` in backticks), looked up among those declared."""
-    total = table(spark, d, "customer").agg(F.count("*").alias("n"))
-    text = F.concat(F.lit("It reads `customer:"), (F.col("p_partkey") % F.col("n")).cast("string"), F.lit("."), F.concat(F.lit("Brand#"), (1 + F.col("p_partkey") % 26).cast("string")), F.lit("` first."))
-    rows = table(spark, d, "part").crossJoin(F.broadcast(total)).select(F.col("p_partkey").alias("requirement"), text.alias("t"))
-    said = rows.select("requirement", F.explode(F.regexp_extract_all("t", F.lit("`([^`]+)`"), F.lit(1))).alias("m")).select("requirement", F.split_part("m", F.lit("."), F.lit(1)).alias("container"), F.split_part("m", F.lit("."), F.lit(2)).alias("member"))
-    bought = table(spark, d, "lineitem").join(table(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(table(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey"))
-    got = bought.select(F.concat(F.lit("customer:"), "o_custkey").alias("container"), F.col("p_brand").alias("member"), F.lit(True).alias("there")).distinct()
-    return said.join(got, ["container", "member"], "left").select("requirement", "container", "member", F.when(F.col("there"), "verified").otherwise("invalid-assumption").alias("finding"))
