@@ -72,23 +72,23 @@ def sectioned(lines: DataFrame) -> DataFrame:
     return rows.filter(F.col("title").isNull() & ~F.col("skip")).drop("title", "skip")
 
 
-def started(line: Column) -> list[Column]:
+def started(line: Column, labels: str = T.LABEL) -> list[Column]:
     """What a line starts as a list item, columns origin (null: no item; "plain": by its section), label and rest."""
     bare = F.trim(line)
     inner = F.regexp_replace(bare, T.NUMBERED, "")
-    numbered, named = bare.rlike(T.NUMBERED), inner.rlike(T.LABEL)
-    label = lambda t: F.regexp_replace(F.regexp_extract(t, T.LABEL, 1), r"\s+", "-")
+    numbered, named = bare.rlike(T.NUMBERED), inner.rlike(labels)
+    label = lambda t: F.regexp_replace(F.regexp_extract(t, labels, 1), r"\s+", "-")
     cut = lambda pattern: F.regexp_replace(bare, pattern, "")
-    owned, task, bullet = bare.rlike(T.LABEL), bare.rlike(T.TASK), bare.rlike(T.BULLET)
+    owned, task, bullet = bare.rlike(labels), bare.rlike(T.TASK), bare.rlike(T.BULLET)
     origin = F.when(owned, "explicit-label").when(task, "task-item").when(numbered, F.when(named, "explicit-label").otherwise("numbered-item")).when(bullet, "plain")
     told = F.when(owned, label(bare)).when(task, F.lit(None)).when(numbered, F.when(named, label(inner)).otherwise(F.regexp_extract(bare, T.NUMBERED, 1)))
-    rest = F.when(owned, cut(T.LABEL)).when(task, cut(T.TASK)).when(numbered, F.when(named, F.regexp_replace(inner, T.LABEL, "")).otherwise(inner)).when(bullet, cut(T.BULLET))
+    rest = F.when(owned, cut(labels)).when(task, cut(T.TASK)).when(numbered, F.when(named, F.regexp_replace(inner, labels, "")).otherwise(inner)).when(bullet, cut(T.BULLET))
     return [origin.alias("origin"), told.alias("label"), rest.alias("rest")]
 
 
-def scanned(body: DataFrame) -> DataFrame:
+def scanned(body: DataFrame, labels: str = T.LABEL) -> DataFrame:
     """Body lines with origin, label, rest, fence (a fence's own line) and fenced (between fences of one section)."""
-    rows = body.select("*", *started(F.col("line")), F.col("line").rlike(T.FENCE).alias("fence"))
+    rows = body.select("*", *started(F.col("line"), labels), F.col("line").rlike(T.FENCE).alias("fence"))
     inside = F.coalesce(F.sum(F.col("fence").cast("int")).over(_in_order("spec", "section", end=-1)), F.lit(0)) % 2 == 1
     return rows.withColumn("fenced", inside & ~F.col("fence"))
 
@@ -175,17 +175,17 @@ def admission(text: Column) -> Column:
     return F.when(guard, sure["guard"]).when(text.rlike(T.STRONG_MODAL), sure["modal"]).when(directive(text), sure["imperative"]).otherwise(sure["will"])
 
 
-def extracted(specs: DataFrame) -> DataFrame:
+def extracted(specs: DataFrame, labels: str = T.LABEL) -> DataFrame:
     """(spec, kind, statement, heading, origin, label, intent, confidence, type, priority, start, end) of (spec, text).
 
     kind is requirement, constraint, question, context, implementation-note, non-goal or ambiguous. Where a text has any list of
     requirements (sections of that role, or labels of its author's anywhere), those are its requirements; else its prose is
     read sentence by sentence, with the confidence of the sign that admits each. start and end are the range of a list item.
-    Of equal statements (whatever their case) the first is kept. A null text gives nothing. One text is one row, and so are
+    Of equal statements (whatever their case) the first is kept. ``labels`` is what an author's label looks like. A null text gives nothing. One text is one row, and so are
     its lines one group.
     """
     body = staged(sectioned(lines_of(specs.select("spec", "text"))))
-    rows = staged(scanned(body))
+    rows = staged(scanned(body, labels))
     role, text = F.col("role"), F.col("text")
     listed, prose = items(rows), paragraphs(rows)
     requiring = role.isin(*T.REQUIRING)

@@ -34,6 +34,8 @@ COLON_HEADING = r"^[A-Z][^:]{0,47}:$"
 PSEUDO_LEVEL, PSEUDO_CHARS, PSEUDO_WORDS = 3, 60, 6
 FENCE = r"^\s*(```|~~~)"
 LABEL = r"^\**((?:[A-Z]{1,4})[-\s]?\d{1,3}(?:\.\d{1,2})?)\**\s*[:.)\]–—-]\s+(?=\S)"
+#: The same for authors who number past 999.
+LONG_LABEL = LABEL.replace(r"\d{1,3}(?:", r"\d+(?:")
 NUMBERED = r"^(\d{1,3})[.)]\s+(?=\S)"
 TASK = r"^[-*+]\s+\[[ xX]\]\s+(?=\S)"
 BULLET = r"^[-*+•–—]\s+(?=\S)"
