@@ -87,3 +87,14 @@ def test_a_repeated_anchor_gives_no_repeated_rows(spark):
     edges = spark.createDataFrame([("e", "CALLS", "a", "b")], "id string, type string, source_id string, target_id string")
     got = K.shortest_paths(edges, spark.createDataFrame([("a",), ("a",)], "id string"), 2).collect()
     assert sorted((r["id"], r["path"]) for r in got) == [("a", "a"), ("b", "a>b")]
+
+
+def test_distances_write_each_edge_once(spark, monkeypatch):
+    """Neither both directions of the edges nor their distinct pairs are written or shuffled as a whole before the walk."""
+    from graphloom.operators import graph as G
+
+    written, staged = [], G.staged
+    monkeypatch.setattr(G, "staged", lambda df: written.append((df.count(), "Exchange" in df._jdf.queryExecution().executedPlan().toString())) or staged(df))
+    edges = spark.createDataFrame([("CONTAINS", "a", "b"), ("CALLS", "a", "b"), ("CALLS", "b", "a"), ("CALLS", "b", "c"), ("CALLS", "d", "c")], "type string, source_id string, target_id string")
+    got = G.distances(edges, spark.createDataFrame([("a",)], "id string"), 5)
+    assert sorted(map(tuple, got.collect())) == [("a", 0), ("b", 1), ("c", 2), ("d", 3)] and written[0] == (5, False)
