@@ -116,6 +116,20 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
+def grown(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """Rows (id, label) of the components that ``labels`` are of and more ``links`` (a, b): as ``components`` of all links gives them,
+    from the graph of those components that the new links join."""
+    of = lambda side: labels.select(F.col("id").alias(side), F.col("label").alias(f"{side}_label"))
+    named = links.select("a", "b").join(of("a"), "a", "left").join(of("b"), "b", "left")
+    joins = stage(named.select(F.coalesce("a_label", "a").alias("a"), F.coalesce("b_label", "b").alias("b")).filter("a <> b").distinct())
+    if joins.isEmpty():
+        return labels
+    above = components(joins).select(F.col("id").alias("label"), F.col("label").alias("above"))
+    moved = labels.join(above, "label", "left").select("id", F.coalesce("above", "label").alias("label"))
+    new = above.join(labels.select(F.col("id").alias("label")), "label", "left_anti").select(F.col("label").alias("id"), F.col("above").alias("label"))
+    return stage(moved.unionByName(new))
+
+
 def link_buckets(members: DataFrame, info: DataFrame, verify, compare, block: int = 2048, pivot_rounds: int = 3, few: int = 32) -> DataFrame:
     """Components of the graph whose links are the true pairs among rows that share a bucket.
 
@@ -131,22 +145,30 @@ def link_buckets(members: DataFrame, info: DataFrame, verify, compare, block: in
     """
     links = stage(verify(members.filter("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()))
     labels = components(links)
-    rest = members.filter("n > 2 and id <> pivot").select("key", "id")
-    for turn in range(pivot_rounds + 1):
-        named = rest.join(labels, "id", "left").select("key", "id", F.coalesce("label", "id").alias("label"))
+
+    def apart(rows):
+        """Rows (key, id) of the buckets that several components hold."""
+        named = rows.join(labels, "id", "left").select("key", "id", F.coalesce("label", "id").alias("label"))
         state = named.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min("id").alias("pivot"), F.min_by("label", "id").alias("pivot_label"), F.count("*").alias("n")).filter("lo <> hi")
-        rest = stage(named.join(state.drop("lo", "hi"), "key"))
-        if turn == pivot_rounds or rest.filter(F.col("n") > few).isEmpty():
+        return stage(named.join(state.drop("lo", "hi"), "key"))
+
+    rest = apart(members.filter("n > 2 and id <> pivot").select("key", "id"))
+    hot = rest.filter(F.col("n") > few)
+    aside = rest.filter(F.col("n") <= few).select("key", "id")  # small buckets wait until the large ones have had their pivots
+    moved = False
+    for _ in range(pivot_rounds):
+        if hot.isEmpty():
             break
-        hot = rest.filter(F.col("n") > few)
         pairs = hot.filter("label <> pivot_label").select(F.col("pivot").alias("a"), F.col("id").alias("b"))
-        links = links.unionByName(stage(verify(pairs.distinct())))
-        labels = components(links)
-        rest = rest.filter((F.col("n") <= few) | (F.col("id") != F.col("pivot"))).select("key", "id")
+        labels, moved = grown(labels, stage(verify(pairs.distinct()))), True
+        hot = apart(hot.filter("id <> pivot").select("key", "id"))
+        aside = aside.unionByName(hot.filter(F.col("n") <= few).select("key", "id"))
+        hot = hot.filter(F.col("n") > few)
+    if moved:
+        rest = apart(aside).unionByName(hot)
     if rest.isEmpty():
         return labels
-    found = stage(verify(_compared(rest, info, compare, block).distinct()))
-    return labels if found.isEmpty() else components(links.unionByName(found))
+    return grown(labels, stage(verify(_compared(rest, info, compare, block).distinct())))
 
 
 def _compared(rest: DataFrame, info: DataFrame, compare, block: int) -> DataFrame:

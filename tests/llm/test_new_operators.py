@@ -208,3 +208,23 @@ def test_keep_one_of_rows_under_one_doc_id(spark):
 def test_long_chains_of_names():
     text = "\n".join(f"token{i} = token{i + 1}" for i in range(8000)) + "\ntoken8000 = 'Zx9Kq81mmPw2vbTT45'"
     assert [text[a:b] for a, _, b in secret_scan.lexed_spans(text)] == ["Zx9Kq81mmPw2vbTT45"]
+
+
+def test_components_grow_as_if_made_of_all_links(spark, monkeypatch):
+    """Labels after more links are those of all links, and what is known already isn't walked again."""
+    import random
+
+    from graphloom.llm import common
+
+    rng = random.Random(5)
+    frame = lambda rows: spark.createDataFrame(rows, "a long, b long")
+    first, more = ([(rng.randrange(60), rng.randrange(60)) for _ in range(n)] for n in (30, 15))
+    chain = [(i, i + 1) for i in range(100, 140)]
+    labels = common.components(frame(first + chain))
+    walked, whole = [], common.components
+    monkeypatch.setattr(common, "components", lambda links: walked.append(links.count()) or whole(links))
+    got = {tuple(r) for r in common.grown(labels, frame(more)).collect()}
+    assert walked and max(walked) <= len(more)
+    want = {tuple(r) for r in whole(frame(first + chain + more)).collect()}
+    assert got - {(a, a) for a, b in first + more if a == b} == want - {(a, a) for a, b in first + more if a == b}
+    assert common.grown(labels, frame([(100, 140)])) is labels
