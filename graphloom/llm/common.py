@@ -130,7 +130,7 @@ def grown(labels: DataFrame, links: DataFrame) -> DataFrame:
     return stage(moved.unionByName(new))
 
 
-def link_buckets(members: DataFrame, info: DataFrame, verify, compare, block: int = 2048, pivot_rounds: int = 3, few: int = 32) -> DataFrame:
+def link_buckets(members: DataFrame, info: DataFrame, verify, compare, block: int = 2048, pivot_rounds: int = 3, few: int = 32, exact: bool = False) -> DataFrame:
     """Components of the graph whose links are the true pairs among rows that share a bucket.
 
     ``members`` has (key, id, pivot, n): buckets of at least two ids, each with its smallest id and its size.
@@ -142,6 +142,9 @@ def link_buckets(members: DataFrame, info: DataFrame, verify, compare, block: in
     then only buckets whose other members still are in several components go on. Those over ``few`` members take
     more pivots first, each of which costs no more than a pair a member. What is left is compared across components in cells of two blocks of bounded size each, and only
     pairs that pass ``compare`` are listed and verified, so that no link is lost. Returns (id, label) for linked ids.
+
+    With ``exact``, ``compare`` also gets the labels, and what it yields are true links, enough of them to join all rows of a cell
+    that true links join. Then nothing more is verified, and only buckets over a block take more pivots.
     """
     links = stage(verify(members.filter("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()))
     labels = components(links)
@@ -153,6 +156,7 @@ def link_buckets(members: DataFrame, info: DataFrame, verify, compare, block: in
         return stage(named.join(state.drop("lo", "hi"), "key"))
 
     rest = apart(members.filter("n > 2 and id <> pivot").select("key", "id"))
+    few = max(few, block) if exact else few
     hot = rest.filter(F.col("n") > few)
     aside = rest.filter(F.col("n") <= few).select("key", "id")  # small buckets wait until the large ones have had their pivots
     moved = False
@@ -168,10 +172,11 @@ def link_buckets(members: DataFrame, info: DataFrame, verify, compare, block: in
         rest = apart(aside).unionByName(hot)
     if rest.isEmpty():
         return labels
-    return grown(labels, stage(verify(_compared(rest, info, compare, block).distinct())))
+    pairs = _compared(rest, info, compare, block, exact).distinct()
+    return grown(labels, stage(pairs if exact else verify(pairs)))
 
 
-def _compared(rest: DataFrame, info: DataFrame, compare, block: int) -> DataFrame:
+def _compared(rest: DataFrame, info: DataFrame, compare, block: int, exact: bool) -> DataFrame:
     """Pairs (a, b) across components that pass ``compare``, from rows (key, id, label, n)."""
 
     def cells(batches):
@@ -188,7 +193,7 @@ def _compared(rest: DataFrame, info: DataFrame, compare, block: int) -> DataFram
             if (label == label[0]).all():
                 return
             low, high, n = [], [], 0
-            for i, js in compare(size, [r[4] for r in rows]):
+            for i, js in compare(size, [r[4] for r in rows], *([label] if exact else [])):
                 js = js[(label[js] != label[i]) & ((part[js] != part[i]) | (held[1] == held[2]))]
                 low.append(np.minimum(name[js], name[i]))
                 high.append(np.maximum(name[js], name[i]))

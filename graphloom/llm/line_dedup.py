@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import free, led, link_buckets, multi_buckets, slices, small_side, stage, table
+from graphloom.llm.common import free, led, link_buckets, multi_buckets, release, slices, small_side, stage, table
 
 
 def segments(length: int, t: int) -> list[tuple[int, int]]:
@@ -141,7 +141,8 @@ def lines_of(docs: DataFrame, edits: int, min_chars: int, most: int = 250_000) -
                         yield flush()
         if keys:
             yield flush()
-        pa.default_memory_pool().release_unused()
+        seen.clear()
+        release()
 
     lists = ", ".join(f"{x} array<long>" for x in ("sole", "lead", "tail"))
     return docs.select(F.col("doc_id").cast("long"), "text", "row").mapInArrow(run, f"doc_id long, line_no int, row long, id long, {lists}")
@@ -170,6 +171,7 @@ def classed(docs: DataFrame, edits: int, min_chars: int) -> DataFrame:
         for batch in batches:
             keep = pa.array([within(x, y, edits) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)], pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(i).filter(keep) for i in (0, 1)], names=["a", "b"])
+        release()
 
     def verify(pairs: DataFrame) -> DataFrame:
         pairs = stage(pairs)
@@ -177,20 +179,26 @@ def classed(docs: DataFrame, edits: int, min_chars: int) -> DataFrame:
         both = pairs.join(held.select(F.col("id").alias("a"), F.col("line").alias("x")), "a").join(held.select(F.col("id").alias("b"), F.col("line").alias("y")), "b")
         return both.select("a", "b", "x", "y").mapInArrow(near, "a long, b long")
 
-    def compare(size, raw):
-        held = [r.decode() for r in raw]
+    def compare(size, raw, label):
+        held, label = [r.decode() for r in raw], label.copy()
         one, two = np.array([marks(x) for x in held], np.uint64).T
         for i in range(len(held) - 1):
             end = int(np.searchsorted(size, size[i] + edits, "right"))
             close = np.bitwise_count(one[i + 1 : end] ^ one[i]) <= 2 * edits
             close &= np.bitwise_count(two[i + 1 : end] ^ two[i]) <= 4 * edits
-            yield i, np.array([j for j in (np.flatnonzero(close) + i + 1).tolist() if within(held[i], held[j], edits)], np.int64)
+            close &= label[i + 1 : end] != label[i]
+            links = []
+            for j in (np.flatnonzero(close) + i + 1).tolist():
+                if label[j] != label[i] and within(held[i], held[j], edits):
+                    links.append(j)
+                    label[label == label[j]] = label[i]  # what a link has joined needs no other link
+            yield i, np.array(links, np.int64)
 
     def info(ids: DataFrame) -> DataFrame:
         return texts(ids).select("id", F.char_length("line").cast("long").alias("size"), F.col("line").cast("binary").alias("sketch"))
 
     members = stage(multi_buckets(made.select("id", "sole", "lead", "tail")))
-    labels = link_buckets(members, info, verify, compare)
+    labels = link_buckets(members, info, verify, compare, exact=True)
     rows = stage(made.select("doc_id", "line_no", "row", "id").join(small_side(labels), "id", "left").withColumn("class_id", F.coalesce("label", "id")).drop("label"))
     several = stage(rows.groupBy("class_id").agg(F.count("*").alias("class_lines")).filter("class_lines > 1"))
     place = F.struct("doc_id", "line_no", "row")
@@ -238,6 +246,7 @@ def drop_duplicate_lines(docs: DataFrame, edits: int = 2, min_chars: int = 16) -
                     texts.append("\n".join(x for i, x in enumerate(text.split("\n")) if i not in at_all or (i, name_of(trimmed(x))) not in out))
                 columns = [pa.array(texts, pa.string()) if i == at else part.column(i) for i in range(len(names))]
                 yield pa.RecordBatch.from_arrays(columns, names=names)
+        release()
 
     shorter = joined.filter(F.col(gone).isNotNull() & F.col("text").isNotNull()).mapInArrow(cut, docs.schema).filter(F.trim(F.regexp_replace("text", r"\s+", " ")) != "")
     if "n_chars" in names:

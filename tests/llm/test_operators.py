@@ -387,3 +387,17 @@ def test_empty_tables(spark, empty):
     assert packing.pack_documents(empty).count() == 0
     assert secret_scan.scan_secrets(empty).count() == 0
     assert len(registry.QUERIES) == 10
+
+
+def test_lines_of_a_large_bucket_are_joined_without_more_pivots(spark, monkeypatch):
+    # chains of lines one edit apart, with one common segment: one bucket, many components
+    line = lambda g, k: "a common start of every line " + chr(97 + g) * 12 + "".join("xy"[i < k] for i in range(12))
+    docs = spark.createDataFrame([(100 * g + k, line(g, k)) for g in range(12) for k in range(0, 12, 2)], "doc_id long, text string")
+    from graphloom.llm import common
+
+    rounds, grown = [], common.grown
+    monkeypatch.setattr(common, "grown", lambda labels, links: rounds.append(1) or grown(labels, links))
+    classes = {r["doc_id"]: r["class_id"] for r in line_dedup.line_classes(docs).collect()}
+    assert len(set(classes.values())) == 12
+    assert all(classes[100 * g + k] == classes[100 * g] for g in range(12) for k in range(0, 12, 2))
+    assert len(rounds) <= 1
