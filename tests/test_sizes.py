@@ -24,3 +24,11 @@ def test_ends_of_other_kinds_go_where_they_are_read(spark):
     bare = spark.createDataFrame([(f"n{i}",) for i in range(150)], "id string")  # too many kinds to tell
     named = spark.createDataFrame([("1", "n1", "n149"), ("2", "n1", "n150")], "id string, source_id string, target_id string")
     assert [r["id"] for r in G.induced(named, bare).collect()] == ["1"]
+
+
+def test_only_large_groups_are_dealt_by_range(spark):
+    rows = spark.createDataFrame([(k, f"{i:03d}") for k, n in (("a", 40), ("b", 3), (None, 2)) for i in range(n)], "k string, o string")
+    for most in (10, 100):
+        got = {(r["k"], r["o"]): r["n"] for r in K.numbered_by(rows, "k", ["o"], "n", most).collect()}
+        assert got == {(k, f"{i:03d}"): i + 1 for k, n in (("a", 40), ("b", 3), (None, 2)) for i in range(n)}
+    assert "join" not in plan(K.numbered_by(rows, "k", ["o"], "n")).lower()
