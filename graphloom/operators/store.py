@@ -184,11 +184,14 @@ def manifest_facts(manifests: DataFrame, key: str, column: str) -> DataFrame:
     blocks = ("dependencies", "devDependencies", "peerDependencies", "optionalDependencies")
     schema = ", ".join(f"`{b}` map<string, string>" for b in blocks) + ", `main` string, `module` string, `bin` map<string, string>"
     read = manifests.select(key, F.from_json(column, schema).alias("m"))
-    each = [read.select(key, F.lit(i).alias("place"), F.lit(b).alias("block"), F.explode(F.col(f"m.{b}")).alias("name", "version")) for i, b in enumerate(blocks)]
-    first = reduce(DataFrame.unionByName, each).groupBy(key, "name").agg(F.min_by(F.struct("block", "version"), "place").alias("b")).select(key, "b.block", "name", "b.version")
-    points = read.select(key, F.explode(F.create_map(F.lit("main"), F.col("m.main"), F.lit("module"), F.col("m.module"))).alias("name", "version")).filter("version is not null")
-    points = points.unionByName(read.select(key, F.explode("m.bin").alias("name", "version")))
-    return first.unionByName(points.select(key, F.lit("entry").alias("block"), "name", "version"))
+    row = lambda place, block, name, version: F.struct(F.lit(place).alias("place"), F.lit(block).alias("block"), name.alias("name"), version.alias("version"))
+    of_map = lambda c, place, block: F.coalesce(F.transform(F.map_entries(c), lambda e: row(place, block, e["key"], e["value"])), F.array())
+    points = F.filter(F.array(*(row(len(blocks), "entry", F.lit(n), F.col(f"m.{n}")) for n in ("main", "module"))), lambda x: x["version"].isNotNull())
+    every = F.concat(*(of_map(f"m.{b}", i, b) for i, b in enumerate(blocks)), points, of_map("m.bin", len(blocks), "entry"))
+    each = read.select(key, F.explode(every).alias("e")).select(key, "e.*")  # a manifest is read once
+    own = F.when(F.col("place") == len(blocks), F.monotonically_increasing_id() + 1).otherwise(0)  # entry points all stay
+    first = each.withColumn("own", own).groupBy(key, "name", "own").agg(F.min_by(F.struct("block", "version"), "place").alias("b"))
+    return first.select(key, "b.block", "name", "b.version")
 
 
 def graph_json(nodes: DataFrame, edges: DataFrame) -> DataFrame:

@@ -32,3 +32,10 @@ def test_only_large_groups_are_dealt_by_range(spark):
         got = {(r["k"], r["o"]): r["n"] for r in K.numbered_by(rows, "k", ["o"], "n", most).collect()}
         assert got == {(k, f"{i:03d}"): i + 1 for k, n in (("a", 40), ("b", 3), (None, 2)) for i in range(n)}
     assert "join" not in plan(K.numbered_by(rows, "k", ["o"], "n")).lower()
+
+
+def test_a_manifest_is_read_once(spark):
+    text = '{"dependencies": {"x": "1"}, "peerDependencies": {"x": "2", "y": "3"}, "main": "m.js", "bin": {"main": "b.js"}}'
+    facts = T.manifest_facts(spark.createDataFrame([(1, text), (2, "{}"), (3, None)], "k int, t string"), "k", "t")
+    assert sorted((r["k"], r["block"], r["name"], r["version"]) for r in facts.collect()) == [(1, "dependencies", "x", "1"), (1, "entry", "main", "b.js"), (1, "entry", "main", "m.js"), (1, "peerDependencies", "y", "3")]
+    assert len(re.findall("Generate", plan(facts))) == 1
