@@ -39,3 +39,10 @@ def test_a_manifest_is_read_once(spark):
     facts = T.manifest_facts(spark.createDataFrame([(1, text), (2, "{}"), (3, None)], "k int, t string"), "k", "t")
     assert sorted((r["k"], r["block"], r["name"], r["version"]) for r in facts.collect()) == [(1, "dependencies", "x", "1"), (1, "entry", "main", "b.js"), (1, "entry", "main", "m.js"), (1, "peerDependencies", "y", "3")]
     assert len(re.findall("Generate", plan(facts))) == 1
+
+
+def test_parts_follow_the_size_of_the_files(spark, monkeypatch):
+    monkeypatch.setattr(G, "PART_BYTES", 1000)
+    for name in ("cochange_pairs", "cochange_rule_support"):
+        found = [int(x) for x in re.findall(r"RepartitionByExpression \[.*\], (\d+)", plan(catalog.QUERIES[name](spark, FOLDER)))]
+        assert found and min(found) > 50, name
