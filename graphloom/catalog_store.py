@@ -111,7 +111,8 @@ def diff_parse(spark, d):
     s = F.when(F.col("l_linestatus") == "O", "M").when(F.col("l_returnflag") == "R", "R100").when(F.col("l_returnflag") == "A", "A").otherwise("D")
     nul = F.lit("\x00")
     old = F.when(s == "R100", F.concat(F.lit("s"), "l_suppkey", nul)).otherwise("")
-    text = table(spark, d, "lineitem").select("l_orderkey", F.concat(s, nul, old, F.lit("p"), "l_partkey", nul).alias("e")).groupBy("l_orderkey").agg(F.array_join(F.collect_list("e"), "").alias("text"))
+    line = table(spark, d, "lineitem")
+    text = G.spread(line.select("l_orderkey", F.concat(s, nul, old, F.lit("p"), "l_partkey", nul).alias("e")), G.parts_for(line), "l_orderkey").groupBy("l_orderkey").agg(F.array_join(F.collect_list("e"), "").alias("text"))
     return T.name_status(text, "l_orderkey", "text").groupBy("l_orderkey", "status", "path", "old_path").agg(F.count("*").alias("n"))
 
 

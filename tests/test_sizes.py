@@ -43,6 +43,6 @@ def test_a_manifest_is_read_once(spark):
 
 def test_parts_follow_the_size_of_the_files(spark, monkeypatch):
     monkeypatch.setattr(G, "PART_BYTES", 1000)
-    for name in ("cochange_pairs", "cochange_rule_support"):
+    for name in ("cochange_pairs", "cochange_rule_support", "diff_parse"):
         found = [int(x) for x in re.findall(r"RepartitionByExpression \[.*\], (\d+)", plan(catalog.QUERIES[name](spark, FOLDER)))]
         assert found and min(found) > 50, name
