@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.operators.graph import small, staged
+from graphloom.operators.graph import parts_for, small, spread, staged
 from graphloom.operators.texts import route
 
 # Files that say what they are by their path; fixed values, in this order.
@@ -17,7 +17,7 @@ DETECTORS = (("migration", r"(^|/)(migrations?|flyway|liquibase)/"), ("docker-im
 def enriched(parts: list[DataFrame], nodes: DataFrame) -> DataFrame:
     """Edges of several sources (id, type, source_id, target_id): of equal ids that of the first source, and only those whose ends are nodes."""
     ranked = reduce(DataFrame.unionByName, [df.select("id", "type", "source_id", "target_id", F.lit(i).alias("rank")) for i, df in enumerate(parts)])
-    first = ranked.groupBy("id").agg(F.min_by(F.struct("type", "source_id", "target_id"), F.struct("rank", "type", "source_id", "target_id")).alias("e")).select("id", "e.*")
+    first = spread(ranked, parts_for(ranked), "id").groupBy("id").agg(F.min_by(F.struct("type", "source_id", "target_id"), F.struct("rank", "type", "source_id", "target_id")).alias("e")).select("id", "e.*")
     ends = nodes.select(F.col("id").alias("n"))
     return first.join(ends, F.col("source_id") == F.col("n"), "left_semi").join(ends, F.col("target_id") == F.col("n"), "left_semi")
 
@@ -118,9 +118,10 @@ def call_sites(facts: DataFrame, symbols: DataFrame) -> DataFrame:
 def references(edges: DataFrame, nodes: DataFrame, kinds: dict[str, tuple[str, str]]) -> DataFrame:
     """(kind, id, other, name): for each kind of reference (edge type, and which end asks) the other ends with their names."""
     rows = []
-    for kind, (type_, end) in kinds.items():
-        mine, other = ("source_id", "target_id") if end == "source" else ("target_id", "source_id")
-        rows.append(edges.filter(F.col("type") == type_).select(F.lit(kind).alias("kind"), F.col(mine).alias("id"), F.col(other).alias("other")))
+    for type_ in dict.fromkeys(t for t, _ in kinds.values()):  # edges of a type are read once
+        asked = [(kind, ("source_id", "target_id") if end == "source" else ("target_id", "source_id")) for kind, (t, end) in kinds.items() if t == type_]
+        each = F.explode(F.array(*(F.struct(F.lit(kind).alias("kind"), F.col(mine).alias("id"), F.col(other).alias("other")) for kind, (mine, other) in asked)))
+        rows.append(edges.filter(F.col("type") == type_).select(each.alias("r")).select("r.*"))
     return reduce(DataFrame.unionByName, rows).join(nodes.select(F.col("id").alias("other"), "name"), "other").select("kind", "id", "other", "name")
 
 

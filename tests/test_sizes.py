@@ -41,8 +41,16 @@ def test_a_manifest_is_read_once(spark):
     assert len(re.findall("Generate", plan(facts))) == 1
 
 
+def test_edges_of_a_type_are_read_once(spark):
+    edges = spark.createDataFrame([("CALLS", "a", "b"), ("OTHER", "a", "b")], "type string, source_id string, target_id string")
+    nodes = spark.createDataFrame([("a", "A"), ("b", "B")], "id string, name string")
+    out = E.references(edges, nodes, {"callers": ("CALLS", "target"), "callees": ("CALLS", "source")})
+    assert sorted(map(tuple, out.collect())) == [("callees", "a", "b", "B"), ("callers", "b", "a", "A")]
+    assert "Union" not in plan(out)
+
+
 def test_parts_follow_the_size_of_the_files(spark, monkeypatch):
     monkeypatch.setattr(G, "PART_BYTES", 1000)
-    for name in ("cochange_pairs", "cochange_rule_support", "diff_parse"):
+    for name in ("cochange_pairs", "cochange_rule_support", "enrichment", "diff_parse"):
         found = [int(x) for x in re.findall(r"RepartitionByExpression \[.*\], (\d+)", plan(catalog.QUERIES[name](spark, FOLDER)))]
         assert found and min(found) > 50, name
