@@ -5,6 +5,7 @@ import re
 from graphloom import catalog, catalog_enrich, catalog_store  # noqa: F401 (they register their queries)
 from graphloom.operators import enrich as E
 from graphloom.operators import graph as G
+from graphloom.operators import impact as I
 from graphloom.operators import store as T
 from graphloom.operators import walks as K
 
@@ -54,3 +55,12 @@ def test_parts_follow_the_size_of_the_files(spark, monkeypatch):
     for name in ("cochange_pairs", "cochange_rule_support", "enrichment", "diff_parse"):
         found = [int(x) for x in re.findall(r"RepartitionByExpression \[.*\], (\d+)", plan(catalog.QUERIES[name](spark, FOLDER)))]
         assert found and min(found) > 50, name
+
+
+def test_the_edges_of_a_walk_are_written_once(spark, monkeypatch):
+    written, staged = [], I.staged
+    monkeypatch.setattr(I, "staged", lambda df: written.append(df.columns) or staged(df))
+    edges = spark.createDataFrame([("1", "CALLS", "a", "b")], "id string, type string, source_id string, target_id string")
+    matches = spark.createDataFrame([("ex", "b", "exact", False, False)], "concept string, id string, mechanism string, ambiguous boolean, test_only boolean")
+    assert {r["id"] for r in I.traverse(edges, matches, 1, 0).collect()} == {"a", "b"}
+    assert written[0] == ["id", "type", "source_id", "target_id"]
