@@ -136,6 +136,7 @@ def features(docs: DataFrame, width: int, percent: int, most: int = 250_000) ->
                         yield flush()
         if rows:
             yield flush()
+        words.clear()
         release()
 
     lists = ", ".join(f"{x} array<long>" for x in ("sole", "lead", "tail"))
@@ -175,6 +176,7 @@ def verified(docs: DataFrame, info: DataFrame, width: int, percent: int):
                 keep.append(100 * both >= percent * (len(last[1]) + len(other) - both))
             keep = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([a.filter(keep), b.filter(keep)], names=["a", "b"])
+        words.clear()
         release()
 
     def verify(pairs: DataFrame) -> DataFrame:

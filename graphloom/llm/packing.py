@@ -9,8 +9,8 @@ pieces of its length.
 from __future__ import annotations
 
 import re
+from array import array
 from collections import defaultdict
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import numbered, stage, table
+from graphloom.llm.common import numbered, release, slices, stage, table
 
 #: Printable ASCII and the letters of Latin-1, which the tokenizer's normal form leaves as they are but for the case.
 PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]+")
@@ -26,8 +26,12 @@ PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]+")
 PART = re.compile("'(?:s|t|re|ve|m|ll|d)|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
 
 
+def packed_ids(ids: list[int]) -> bytes:
+    return array("I", ids).tobytes()
+
+
 class Words(dict):
-    """Lower-case plain word to token ids; forgets everything at a bounded size."""
+    """Lower-case plain word to token ids, as bytes of 32-bit integers; forgets everything at a bounded size."""
 
     def __init__(self, model):
         from tokenizers.pre_tokenizers import ByteLevel
@@ -36,10 +40,10 @@ class Words(dict):
         bytes_of = ByteLevel(add_prefix_space=False, use_regex=False)
         self.letters = {i: bytes_of.pre_tokenize_str(chr(i))[0][0] for i in range(0xDF, 0x100)}
 
-    def __missing__(self, word: str) -> list[int]:
-        if len(self) > 200_000:
+    def __missing__(self, word: str) -> bytes:
+        if len(self) > 50_000:
             self.clear()
-        ids = [t.id for t in self.model.tokenize(word if word.isascii() else word.translate(self.letters))]
+        ids = packed_ids([t.id for t in self.model.tokenize(word if word.isascii() else word.translate(self.letters))])
         if len(word) < 64:
             self[word] = ids
         return ids
@@ -54,23 +58,23 @@ class Chunks:
         self.tokenizer = tokenizers.Tokenizer.from_file(path)
         self.words = Words(self.tokenizer.model)
 
-    def chunk(self, chunk: str) -> list[int]:
+    def chunk(self, chunk: str) -> bytes:
         """The ids of a text without white space. What is not plain, or may hold a special token, goes to the tokenizer."""
         if not PLAIN.fullmatch(chunk) or "<|" in chunk:
-            return self.tokenizer.encode(chunk, add_special_tokens=False).ids
+            return packed_ids(self.tokenizer.encode(chunk, add_special_tokens=False).ids)
         words = self.words
         lower = chunk.lower()
         if lower.isalpha():
             return words[lower]
-        return [i for w in PART.findall(lower) for i in words[w]]
+        return b"".join([words[w] for w in PART.findall(lower)])
 
     def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts one after the other, each text closed by id 0; and the number of ids of each."""
         lists = pc.ascii_split_whitespace(pc.fill_null(texts.cast(pa.string()), ""))
         coded = lists.flatten().dictionary_encode()
         found = [self.chunk(c) for c in coded.dictionary.to_pylist()]
-        sizes = np.fromiter(map(len, found), np.int64, len(found))
-        flat = np.fromiter(chain.from_iterable(found), np.uint32, int(sizes.sum()))
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        flat = np.frombuffer(b"".join(found), np.uint32)
         first = np.cumsum(sizes) - sizes
         code = coded.indices.to_numpy(zero_copy_only=False)
         each = sizes[code]
@@ -89,14 +93,14 @@ def pieces(docs: DataFrame, capacity: int, path: str | None = None) -> DataFrame
     def run(batches):
         import public_tokenizers
 
+        release()  # what earlier stages left in this worker
         known = Chunks(path or public_tokenizers.path("word_bpe_49k.json"))
+        release()  # what reading the model took
         for batch in batches:
-            sizes = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-            share = np.cumsum(sizes) // 2_000_000
-            for rows in np.split(np.arange(batch.num_rows), np.flatnonzero(np.diff(share)) + 1):
-                if len(rows):
-                    part = batch.slice(rows[0], len(rows))
-                    yield cut(part.column(0).to_numpy(zero_copy_only=False), *known.ids(part.column(1)))
+            for part in slices(batch, 1, 500_000):
+                yield cut(part.column(0).to_numpy(zero_copy_only=False), *known.ids(part.column(1)))
+        del known
+        release()
 
     def cut(doc_id, ids, sizes):
         count = -(-sizes // capacity)

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import slices, stage, table
+from graphloom.llm.common import release, slices, stage, table
 
 WORD = re.compile(r"[^\W\d_]+")
 #: Lengths of the leading parts of words that are features.
@@ -200,7 +200,8 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> Da
         for batch in batches:
             for part in slices(batch, at, 1_000_000):
                 yield part.filter(pa.array(np.round(scores(part.column(at).to_pylist(), model, known)[:, 0], 6) < threshold))
-        pa.default_memory_pool().release_unused()
+        del known
+        release()
 
     return docs.mapInArrow(run, docs.schema)
 

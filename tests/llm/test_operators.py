@@ -401,3 +401,17 @@ def test_lines_of_a_large_bucket_are_joined_without_more_pivots(spark, monkeypat
     assert len(set(classes.values())) == 12
     assert all(classes[100 * g + k] == classes[100 * g] for g in range(12) for k in range(0, 12, 2))
     assert len(rounds) <= 1
+
+
+def test_packing_words_stay_small():
+    import public_tokenizers
+    import pyarrow as pa
+
+    known = packing.Chunks(public_tokenizers.path("word_bpe_49k.json"))
+    texts = [f"Was it {i}x{i * 7919} naïve?" for i in range(50)]
+    ids, sizes = known.ids(pa.array(texts[:50]))
+    assert ids.tolist() == [i for t in texts[:50] for i in [*known.tokenizer.encode(t, add_special_tokens=False).ids, 0]]
+    assert len(sizes) == 50 and all(isinstance(x, bytes) for x in known.words.values())
+    for t in range(60_000):
+        known.chunk("w" + "".join(chr(97 + int(d)) for d in str(t)))
+    assert len(known.words) <= 50_001
