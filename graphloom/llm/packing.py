@@ -24,6 +24,10 @@ from graphloom.llm.common import numbered, release, slices, stage, table
 PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]+")
 #: How the tokenizer parts a lower-case chunk of those; every part is one word of its model.
 PART = re.compile("'(?:s|t|re|ve|m|ll|d)|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
+#: Chunks of letters alone, which are one word each.
+LETTERS = "^[A-Za-zÀ-ÖØ-öø-ÿ]+$"
+#: So many words are remembered, and so many bytes of texts are tokenized at once.
+MOST_WORDS, SLICE_BYTES = 50_000, 4_000_000
 
 
 def packed_ids(ids: list[int]) -> bytes:
@@ -31,7 +35,7 @@ def packed_ids(ids: list[int]) -> bytes:
 
 
 class Words(dict):
-    """Lower-case plain word to token ids, as bytes of 32-bit integers; forgets everything at a bounded size."""
+    """Lower-case plain word to token ids, as bytes of 32-bit integers; none is added beyond a bounded size, as common words come early."""
 
     def __init__(self, model):
         from tokenizers.pre_tokenizers import ByteLevel
@@ -41,14 +45,23 @@ class Words(dict):
         self.letters = {i: bytes_of.pre_tokenize_str(chr(i))[0][0] for i in range(0xDF, 0x100)}
 
     def __missing__(self, word: str) -> bytes:
-        if len(self) > 50_000:
-            self.clear()
         ids = packed_ids([t.id for t in self.model.tokenize(word if word.isascii() else word.translate(self.letters))])
-        if len(word) < 64:
+        if len(word) < 64 and len(self) < MOST_WORDS:
             self[word] = ids
         return ids
 
 
+class Slice(dict):
+    """The words of one slice, each of which is looked up once; no more than the slice holds."""
+
+    def __init__(self, words: Words):
+        self.words = words
+
+    def __missing__(self, word: str) -> bytes:
+        ids = self[word] = self.words[word]
+        return ids
+
+
 class Chunks:
     """Token ids of texts, by way of the chunks between white space, which the tokenizer drops."""
 
@@ -58,11 +71,11 @@ class Chunks:
         self.tokenizer = tokenizers.Tokenizer.from_file(path)
         self.words = Words(self.tokenizer.model)
 
-    def chunk(self, chunk: str) -> bytes:
+    def chunk(self, chunk: str, words: dict | None = None) -> bytes:
         """The ids of a text without white space. What is not plain, or may hold a special token, goes to the tokenizer."""
         if not PLAIN.fullmatch(chunk) or "<|" in chunk:
             return packed_ids(self.tokenizer.encode(chunk, add_special_tokens=False).ids)
-        words = self.words
+        words = self.words if words is None else words
         lower = chunk.lower()
         if lower.isalpha():
             return words[lower]
@@ -72,16 +85,17 @@ class Chunks:
         """All ids of the texts one after the other, each text closed by id 0; and the number of ids of each."""
         lists = pc.ascii_split_whitespace(pc.fill_null(texts.cast(pa.string()), ""))
         coded = lists.flatten().dictionary_encode()
-        found = [self.chunk(c) for c in coded.dictionary.to_pylist()]
-        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
-        flat = np.frombuffer(b"".join(found), np.uint32)
-        first = np.cumsum(sizes) - sizes
-        code = coded.indices.to_numpy(zero_copy_only=False)
-        each = sizes[code]
-        ends = np.concatenate([[0], np.cumsum(each)])
-        every = flat[np.repeat(first[code] - ends[:-1], each) + np.arange(ends[-1])]
-        stops = ends[np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))]
-        return np.insert(every, stops, 0).astype("<u4"), np.diff(stops, prepend=0) + 1
+        chunks, words = coded.dictionary, Slice(self.words)
+        alone = pc.match_substring_regex(chunks, LETTERS)
+        found = np.empty(len(chunks) + 1, object)
+        found[:-1][alone.to_numpy(zero_copy_only=False)] = list(map(words.__getitem__, pc.utf8_lower(chunks.filter(alone)).to_pylist()))
+        found[:-1][~alone.to_numpy(zero_copy_only=False)] = [self.chunk(c, words) for c in chunks.filter(pc.invert(alone)).to_pylist()]
+        found[-1] = packed_ids([0])  # closes a text
+        stops = np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))
+        code = np.insert(coded.indices.to_numpy(zero_copy_only=False), stops, len(chunks))
+        every = np.frombuffer(b"".join(found[code].tolist()), np.uint32)
+        ends = np.cumsum((np.fromiter(map(len, found), np.int64, len(found)) // 4)[code])
+        return every.astype("<u4", copy=False), np.diff(ends[stops + np.arange(len(stops))], prepend=0)
 
 
 def pieces(docs: DataFrame, capacity: int, path: str | None = None) -> DataFrame:
@@ -97,7 +111,7 @@ def pieces(docs: DataFrame, capacity: int, path: str | None = None) -> DataFrame
         known = Chunks(path or public_tokenizers.path("word_bpe_49k.json"))
         release()  # what reading the model took
         for batch in batches:
-            for part in slices(batch, 1, 500_000):
+            for part in slices(batch, 1, SLICE_BYTES):
                 yield cut(part.column(0).to_numpy(zero_copy_only=False), *known.ids(part.column(1)))
         del known
         release()

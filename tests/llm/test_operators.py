@@ -415,3 +415,25 @@ def test_packing_words_stay_small():
     for t in range(60_000):
         known.chunk("w" + "".join(chr(97 + int(d)) for d in str(t)))
     assert len(known.words) <= 50_001
+
+
+def test_packing_looks_a_word_up_once_a_slice():
+    import public_tokenizers
+    import pyarrow as pa
+
+    class Counted:
+        def __init__(self, model):
+            self.model, self.calls = model, 0
+
+        def tokenize(self, word):
+            self.calls += 1
+            return self.model.tokenize(word)
+
+    known = packing.Chunks(public_tokenizers.path("word_bpe_49k.json"))
+    known.words.model = counted = Counted(known.words.model)
+    words = ["w" + "".join(chr(97 + int(d)) for d in str(t)) for t in range(60_000)]
+    texts = [" ".join(words), None, "", " ".join(f"{w.title()}," for w in words)]
+    ids, sizes = known.ids(pa.array(texts))
+    assert counted.calls <= 60_001 and len(known.words) <= 50_000
+    assert ids.tolist() == [i for t in texts for i in [*known.tokenizer.encode(t or "", add_special_tokens=False).ids, 0]]
+    assert sizes.sum() == len(ids) and sizes[1] == sizes[2] == 1
