@@ -105,3 +105,30 @@ def test_predicted_changes(spark):
     for r in frame.select("s", *R.predicted_change("s")).collect():
         assert (r["change"], r["compatibility"], r["cue"]) == cases[r["s"]]
     assert frame.filter(F.col("s").isNull()).count() == 0
+
+
+def test_a_later_seed_takes_no_steps_that_earlier_ones_have_used_up(spark, monkeypatch):
+    edges = [(f"e{i:03}", "CALLS", "hub", f"n{i}") for i in range(60)] + [(f"f{i:03}", "CALLS", "other", f"n{i}") for i in range(60)]
+    schema = "requirement string, rank int, concept string, mechanism string, ambiguous boolean, test_only boolean, id string, max_depth int, max_chain int, max_expansions int"
+    rows = [("r", 1, "hub", "exact", False, False, "hub", 2, 0, 70), ("r", 2, "other", "exact", False, False, "other", 2, 0, 70)]
+    written, staged = [], R.staged
+    monkeypatch.setattr(R, "staged", lambda df: written.append(staged(df)) or written[-1])
+    nodes = spark.createDataFrame([("n1", "data", "table")], "id string, category string, type string")
+    routes, spent = R.packed_walk(spark.createDataFrame(edges, "id string, type string, source_id string, target_id string"), spark.createDataFrame(rows, schema), nodes=nodes)
+    assert routes.filter("rank = 1").count() == 71 and routes.filter("rank = 2").count() == 1
+    assert [tuple(r) for r in routes.filter("node is not null").select("id", "node.type").distinct().collect()] == [("n1", "table")]
+    assert spent.first()["exhausted"] and spent.first()["expansions"] == 70
+    taken = [df.filter("rank = 2").selectExpr("sum(size(steps)) as n").first()["n"] for df in written if {"rank", "steps", "level"} <= set(df.columns)]
+    assert sum(n or 0 for n in taken) <= 10
+
+
+def test_packed_walk_is_the_guarded_one(spark):
+    rng = random.Random(7)
+    edges = sorted({(f"e{i:03}", rng.choice(KINDS), f"n{rng.randint(0, 5)}", f"n{rng.randint(6, 24)}") for i in range(70)})
+    limits = lambda: (rng.randint(1, 2), rng.randint(0, 3), rng.choice([3, 25, 60, 5000]))
+    rows = [(f"r{k}", rank, f"c{rank}", "exact", False, False, f"n{rng.randint(0, 30)}", *own) for k in range(8) for own in [limits()] for rank in (1, 2)]
+    schema = "requirement string, rank int, concept string, mechanism string, ambiguous boolean, test_only boolean, id string, max_depth int, max_chain int, max_expansions int"
+    given = spark.createDataFrame(edges, "id string, type string, source_id string, target_id string"), spark.createDataFrame(rows, schema)
+    (one, told), (other, said) = R.guarded_walk(*given), R.packed_walk(*given)
+    assert sorted(map(str, one.collect())) == sorted(map(str, other.select(one.columns).collect()))
+    assert sorted(told.collect()) == sorted(said.collect())
