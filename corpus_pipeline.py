@@ -23,7 +23,8 @@ def without_benchmark(spark, docs, sf_dir):
 
 
 def packed(spark, docs, sf_dir):
-    return packing.pack_documents(docs)
+    """In small portions, as the executors still hold what the stages before have grown to."""
+    return packing.pack_documents(docs, slice_bytes=1_000_000, batch_rows=500)
 
 
 STAGES = [

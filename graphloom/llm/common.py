@@ -6,6 +6,7 @@ import ctypes
 import re
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -66,6 +67,19 @@ def small_side(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_
     return F.broadcast(df) if most <= size else df
 
 
+@contextmanager
+def arrow_rows(spark: SparkSession, most: int | None):
+    """What runs meanwhile hands its Python workers ``most`` rows at once, or as many as the session says if that is null."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    if most:
+        spark.conf.set(name, most)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 #: Gives freed memory of this process back, where the C library can.
 _TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
 

@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import numbered, release, slices, stage, table
+from graphloom.llm.common import arrow_rows, numbered, release, slices, stage, table
 
 #: Printable ASCII and the letters of Latin-1, which the tokenizer's normal form leaves as they are but for the case.
 PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]+")
@@ -98,10 +98,10 @@ class Chunks:
         return every.astype("<u4", copy=False), np.diff(ends[stops + np.arange(len(stops))], prepend=0)
 
 
-def pieces(docs: DataFrame, capacity: int, path: str | None = None) -> DataFrame:
+def pieces(docs: DataFrame, capacity: int, path: str | None = None, slice_bytes: int = SLICE_BYTES) -> DataFrame:
     """(doc_id, piece, start, length, ids): each document's ids and then id 0, cut only where longer than ``capacity``.
 
-    ids are little-endian unsigned 32-bit integers. Whole texts are tokenized; null texts are empty.
+    ids are little-endian unsigned 32-bit integers. Whole texts are tokenized, about ``slice_bytes`` of them at once; null texts are empty.
     """
 
     def run(batches):
@@ -111,8 +111,10 @@ def pieces(docs: DataFrame, capacity: int, path: str | None = None) -> DataFrame
         known = Chunks(path or public_tokenizers.path("word_bpe_49k.json"))
         release()  # what reading the model took
         for batch in batches:
-            for part in slices(batch, 1, SLICE_BYTES):
+            for part in slices(batch, 1, slice_bytes):
                 yield cut(part.column(0).to_numpy(zero_copy_only=False), *known.ids(part.column(1)))
+            if slice_bytes < SLICE_BYTES:
+                release()
         del known
         release()
 
@@ -208,15 +210,18 @@ def pack(rows: DataFrame, capacity: int) -> DataFrame:
     return ranked.select(*names, "number").mapInArrow(place, f"{schema}, sequence_id long, offset long")
 
 
-def pack_documents(docs: DataFrame, capacity: int = 2048, path: str | None = None) -> DataFrame:
+def pack_documents(docs: DataFrame, capacity: int = 2048, path: str | None = None, slice_bytes: int = SLICE_BYTES, batch_rows: int | None = None) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset for every piece of ``docs`` (doc_id, text).
 
     Documents are token ids and then id 0; only longer ones than ``capacity`` are cut, into pieces of that length and a
     rest. Null and empty texts have one piece of one id. Repeated rows are packed each. Other columns are ignored. An
-    empty table gives an empty result.
+    empty table gives an empty result. Where memory is short, fewer bytes of texts at once (``slice_bytes``) and fewer rows
+    handed to a worker at once (``batch_rows``) take more time and give the same rows.
     """
-    cut = pieces(docs, capacity, path).select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
-    return pack(stage(cut), capacity)
+    cut = pieces(docs, capacity, path, slice_bytes).select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
+    with arrow_rows(docs.sparkSession, batch_rows):
+        written = stage(cut)
+    return pack(written, capacity)
 
 
 def op10_packing(spark, sf_dir: str) -> DataFrame:
