@@ -50,7 +50,7 @@ def _heritage(spark, d) -> tuple[DataFrame, DataFrame]:
     """Classes of customers: a heritage by key, members named by the brands of the parts they order, and some boundaries."""
     c = table(spark, d, "customer").select("c_custkey")
     bought = table(spark, d, "lineitem").join(table(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(table(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey"))
-    members = bought.select("o_custkey", "p_brand").distinct()
+    members = G.staged(bought.select("o_custkey", "p_brand").distinct())  # read for each use of nodes and edges
     kind = F.when(F.col("c_custkey") % 50 == 13, K.OPEN).otherwise("class")
     held = c.select(nid("customer", "c_custkey").alias("id"), kind.alias("type"), F.concat(F.lit("C"), "c_custkey").alias("name"))
     held = held.unionByName(members.select(F.concat_ws("/", nid("customer", "o_custkey"), "p_brand").alias("id"), F.lit("field").alias("type"), F.concat(F.lit("C"), "o_custkey", F.lit("."), "p_brand").alias("name")))

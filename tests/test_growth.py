@@ -3,6 +3,7 @@
 import pytest
 
 from graphloom.operators import matching as M
+from graphloom.operators import walks as K
 
 
 @pytest.mark.parametrize("place, met", [(24, True), (25, False)])
@@ -14,3 +15,17 @@ def test_neighbours_are_counted_not_ranked(spark, place, met):
     got = {r["id"]: r["match_kind"] for r in out.collect()}
     assert got == {f"n{place:02d}": "exact", "leaf": "related"} | ({"hub": "related"} if met else {})
     assert "Window" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_members_look_types_up_once(spark, monkeypatch):
+    """Dotted names, optional members and open boundaries."""
+    kinds = [("a", "class", "A"), ("b", "class", "B"), ("c", "class", "C"), ("x", K.OPEN, "X"), ("c.m", "field", "C.m?"), ("c.n", "field", "other.m"), ("b.p", "field", "p.q"), ("nameless", "field", None)]
+    nodes = spark.createDataFrame(kinds, "id string, type string, name string")
+    links = [("EXTENDS", "a", "b"), ("EXTENDS", "b", "c"), ("IMPLEMENTS", "b", "x"), ("DECLARES_MEMBER", "c", "c.m"), ("DECLARES_MEMBER", "c", "c.n"), ("DECLARES_MEMBER", "b", "b.p"), ("DECLARES_MEMBER", "b", "nameless")]
+    edges = spark.createDataFrame([(f"{t}:{a}->{b}", t, a, b) for t, a, b in links], "id string, type string, source_id string, target_id string")
+    wanted = spark.createDataFrame([("a", "m"), ("a", "p.q"), ("a", "q"), ("c", "m"), ("c", "other.m")], "id string, member string")
+    written, staged = [], K.staged
+    monkeypatch.setattr(K, "staged", lambda df: written.append(df.columns) or staged(df))
+    got = {(r["id"], r["member"]): (r["provider"], r["open"], r["supertypes"]) for r in K.resolve_members(nodes, edges, wanted).collect()}
+    assert got == {("a", "m"): ("c", None, None), ("a", "p.q"): ("b", None, None), ("a", "q"): (None, True, 2), ("c", "m"): ("c", None, None), ("c", "other.m"): ("c", None, None)}
+    assert ["provider", "next", "hop", "next_closed"] in written
