@@ -45,11 +45,11 @@ def _inputs(spark, d):
     held = nation.select(nid("nation", "n_nationkey").alias("id"), F.lit("class").alias("type"), F.col("n_name").alias("name")).unionByName(region.select(nid("region", "r_regionkey").alias("id"), open_.alias("type"), F.col("r_name").alias("name"))).unionByName(fields.drop("source_id"))
     ends = fields.select(F.lit("DECLARES_MEMBER").alias("type"), "source_id", F.col("id").alias("target_id")).unionByName(nation.select(F.lit("EXTENDS").alias("type"), nid("nation", "n_nationkey").alias("source_id"), nid("region", "n_regionkey").alias("target_id")))
     links = ends.select(F.concat_ws(":", "type", "source_id", "target_id").alias("id"), "type", "source_id", "target_id")
-    topology, ways = _runtime(spark, d)
+    topology, ways = map(staged, _runtime(spark, d))
     names = F.explode(F.when(F.col("n_nationkey") % 3 == 0, F.array(*(F.lit(n) for n in NEEDED))).otherwise(F.array(F.lit(NEEDED[0]))))
     default = F.element_at(F.array(*(F.lit(x) for x in DEFAULTS)), (F.col("p_partkey") % len(DEFAULTS) + 1).cast("int"))
     return {
-        "requirements": requirements, "concepts": concepts, "constraints": staged(N.merged_constraints(calls.unionByName(advice))), "nodes": staged(held), "edges": staged(links), "topology": staged(topology), "links": staged(ways),
+        "requirements": requirements, "concepts": concepts, "constraints": staged(N.merged_constraints(calls.unionByName(advice))), "nodes": staged(held), "edges": staged(links), "topology": topology, "links": ways,
         "starts": topology.filter("type = 'service-url'").select("id"), "processes": nation.select(nid("nation", "n_nationkey").alias("id"), names.alias("name")), "needs": region.select(F.explode(F.array(*(F.lit(n) for n in NEEDED))).alias("name")).distinct(),
         "plan": nation.filter("n_nationkey < 3").select(nid("nation", "n_nationkey").alias("id")),
         "declarations": t("part").select(F.concat(F.lit("P"), "p_partkey").alias("name"), F.concat(F.lit("conf/"), "p_brand").alias("path"), default.alias("default"), (F.col("p_partkey") % 4 == 1).alias("tolerant")),

@@ -149,11 +149,11 @@ def config_gaps(paths: DataFrame, topology: DataFrame, processes: DataFrame, nee
     ``paths`` are as ``walks.runtime_paths`` gives them, ``processes`` (id, name) what each process receives, ``needs`` (name).
     """
     serving = topology.filter(F.col("type").isin(*(t for t, kind in K.HOP_KINDS.items() if kind == "process"))).select(F.col("id").alias("hop"))
-    hops = paths.select("start", "reason", F.posexplode(F.split("hops", ">")).alias("at", "hop")).join(serving, "hop")
+    hops = paths.select("start", "reason", F.posexplode(F.split("hops", ">")).alias("at", "hop")).join(small(serving), "hop")
     wanted = needs.agg(F.array_sort(F.collect_set("name")).alias("wanted"))  # what a plan needs: a short list
     given = processes.groupBy(F.col("id").alias("hop")).agg(F.collect_set("name").alias("given"))
     missing = F.array_except("wanted", F.coalesce("given", F.array().cast("array<string>")))
-    return hops, hops.join(given, "hop", "left").crossJoin(F.broadcast(wanted)).select("start", "reason", "at", "hop", missing.alias("missing")).filter(F.size("missing") > 0)
+    return hops, hops.join(small(given), "hop", "left").crossJoin(F.broadcast(wanted)).select("start", "reason", "at", "hop", missing.alias("missing")).filter(F.size("missing") > 0)
 
 
 def check_runtime(topology: DataFrame, links: DataFrame, starts: DataFrame, processes: DataFrame, needs: DataFrame, plan: DataFrame) -> DataFrame:

@@ -29,3 +29,19 @@ def test_members_look_types_up_once(spark, monkeypatch):
     got = {(r["id"], r["member"]): (r["provider"], r["open"], r["supertypes"]) for r in K.resolve_members(nodes, edges, wanted).collect()}
     assert got == {("a", "m"): ("c", None, None), ("a", "p.q"): ("b", None, None), ("a", "q"): (None, True, 2), ("c", "m"): ("c", None, None), ("c", "other.m"): ("c", None, None)}
     assert ["provider", "next", "hop", "next_closed"] in written
+
+
+def test_nodes_where_chains_meet_are_broadcast(spark, monkeypatch):
+    """Many starts, one resource: from the second step on, no side of a join is shuffled."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        nodes = spark.createDataFrame([(f"u{i}", "service-url") for i in range(40)] + [("r", "cloud-run-service"), ("p", "runtime-process"), ("h", "handler")], "id string, type string")
+        edges = spark.createDataFrame([("ROUTES_TO", f"u{i}", "r") for i in range(39)] + [("ROUTES_TO", "u39", "nowhere"), ("RESOLVES_TO", "r", "p"), ("RUNS_IN", "p", "h")], "type string, source_id string, target_id string")
+        plans, staged = [], K.staged
+        monkeypatch.setattr(K, "staged", lambda df: plans.append((df.columns, df._jdf.queryExecution().executedPlan().toString())) or staged(df))
+        got = {r["start"]: (r["hops"], r["reason"]) for r in K.runtime_paths(nodes, edges, nodes.filter("type = 'service-url'")).collect()}
+        assert got == {f"u{i}": (f"u{i}>r>p>h", None) for i in range(39)}
+        steps = [p for c, p in plans if "ended" in c]
+        assert len(steps) == 4 and not any("SortMergeJoin" in p for p in steps[1:])
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
