@@ -132,3 +132,36 @@ def test_packed_walk_is_the_guarded_one(spark):
     (one, told), (other, said) = R.guarded_walk(*given), R.packed_walk(*given)
     assert sorted(map(str, one.collect())) == sorted(map(str, other.select(one.columns).collect()))
     assert sorted(told.collect()) == sorted(said.collect())
+
+
+@pytest.mark.parametrize("sign", ["", ">"])
+def test_strongest_are_those_of_merged_routes(spark, monkeypatch, sign):
+    """Two seeds of unlike strength, names that are no nodes, parallel routes; with ``sign`` ids have the sign that parts paths."""
+    rng = random.Random(3)
+    name = lambda i: f"n{i}{sign}x"
+    edges = sorted({(f"e{i:03}", rng.choice(KINDS), name(rng.randint(0, 9)), name(rng.randint(6, 40))) for i in range(160)})
+    rows = [(f"r{k}", rank, f"c{rank}", how, rank == 2, False, name(rng.randint(0, 14)), 2, 2, rng.choice([60, 5000])) for k in range(4) for rank, how in ((1, "name-similarity"), (2, "exact"))]
+    schema = "requirement string, rank int, concept string, mechanism string, ambiguous boolean, test_only boolean, id string, max_depth int, max_chain int, max_expansions int"
+    nodes = spark.createDataFrame([(name(i), "application", rng.choice(("service", "package"))) for i in range(38)], "id string, category string, type string")
+    w = R.walk(spark.createDataFrame(edges, "id string, type string, source_id string, target_id string"), spark.createDataFrame(rows, schema), nodes=nodes)
+    whole = [r.asDict() for r in I.confident(I.merged(R.routes_of(w, True), ["requirement"]), nodes).collect()]
+    if not sign:
+        monkeypatch.setattr(I, "merged", None)  # routes aren't merged as rows with their paths
+    most, found = 3, {}
+    for r in R.strongest(w, most).collect():
+        found.setdefault(r["requirement"], {})[r["id"]] = r.asDict()
+    for k in {r["requirement"] for r in whole}:
+        mine = [r for r in whole if r["requirement"] == k]
+        reached = sorted((-r["confidence"] for r in mine if r["distance"] > 0))
+        wanted = {r["id"] for r in mine if r["distance"] == 0 or sum(-c > r["confidence"] for c in reached) + sum(x["distance"] == 0 for x in mine) <= most}
+        assert {r["id"] for r in mine if r["distance"] == 0} <= set(found[k]) <= wanted
+        ranked = sorted(mine, key=lambda r: (r["distance"] > 0, -r["confidence"], r["id"]))
+        for r in ranked:
+            if r["id"] in found[k]:
+                got = found[k][r["id"]]
+                assert all(got[c] == r[c] for c in ("distance", "path", "concept", "mechanism", "corroborating", "weak", "confidence", "type"))
+                assert got["over"] == len(mine) - most and got["farthest"] == max((x["confidence"] for x in mine if x["distance"] > 0), default=None)
+        alike = lambda r: tuple(map(str, (r["distance"], r["confidence"], r["corroborating"], r["weak"], r["edge_types"], r["mechanism"], r["type"])))
+        for r in mine:  # what is left out has enough before it that are like it but for the id
+            if r["id"] in wanted - set(found[k]):
+                assert sum(alike(x) == alike(r) and x["id"] < r["id"] for x in mine) > most
