@@ -13,6 +13,9 @@ from graphloom.operators.texts import route
 # Files that say what they are by their path; fixed values, in this order.
 DETECTORS = (("migration", r"(^|/)(migrations?|flyway|liquibase)/"), ("docker-image", r"(^|/)Dockerfile(\.[a-z]+)?$"), ("ci-check", r"(^|/)\.github/workflows/[^/]+\.ya?ml$"), ("configuration-file", r"\.(ya?ml|toml|ini)$"))
 
+#: So many calls or endpoints of a route make a slice, of which all pairs with a slice of the other side are made in a task.
+SLICE_ROWS = 1_500
+
 
 def enriched(parts: list[DataFrame], nodes: DataFrame) -> DataFrame:
     """Edges of several sources (id, type, source_id, target_id): of equal ids that of the first source, and only those whose ends are nodes."""
@@ -60,9 +63,27 @@ def placeholders(values: DataFrame, column: str, settings: DataFrame, module: st
 
 
 def linked_calls(calls: DataFrame, endpoints: DataFrame) -> DataFrame:
-    """(caller, endpoint, verb): calls (caller, verb, path) to endpoints (endpoint, verb, path) of the same verb and route; others have no endpoint."""
-    known = endpoints.select("endpoint", F.upper("verb").alias("verb"), route(F.col("path")).alias("route")).distinct()
-    return calls.select("caller", F.upper("verb").alias("verb"), route(F.col("path")).alias("route")).join(known, ["verb", "route"], "left").select("caller", "endpoint", "verb")
+    """(caller, endpoint, verb): calls (caller, verb, path) to endpoints (endpoint, verb, path) of the same verb and route; others have no endpoint.
+
+    All pairs of a route are listed. Its calls and its endpoints are dealt over slices of about ``SLICE_ROWS``, and each slice of the one meets each of
+    the other, so that a task holds one slice and makes some squares of it, however many pairs a route has.
+    """
+    key, none = ["verb", "route"], F.lit(0).cast("long")
+    known = staged(endpoints.select("endpoint", F.upper("verb").alias("verb"), route(F.col("path")).alias("route")).distinct())
+    asked = staged(calls.select("caller", F.upper("verb").alias("verb"), route(F.col("path")).alias("route")))
+    sizes = staged(asked.groupBy(*key).agg(F.count("*").alias("calls")).join(known.groupBy(*key).agg(F.count("*").alias("ends")), key))
+    parts = 1 + (sizes.agg(F.sum(F.col("calls").cast("double") * F.col("ends"))).first()[0] or 0) // SLICE_ROWS**2
+    slices = lambda n: F.expr(f"1 + {n} div {SLICE_ROWS}L")
+    large = small(sizes.filter((F.col("calls") > SLICE_ROWS) | (F.col("ends") > SLICE_ROWS)).select(*key, slices("calls").alias("across"), slices("ends").alias("down")))
+
+    def dealt(rows, own, mine, other):
+        """In a slice of its own side, and copied to each of the other; routes of which there are few are one slice."""
+        each = F.explode(F.sequence(none, F.coalesce(F.col(other), F.lit(1)) - 1)).alias(f"{other}_slice")
+        place = F.coalesce(F.pmod(F.xxhash64(own), mine), none).alias(f"{mine}_slice")
+        return spread(rows.join(large, key, "left").select(own, *key, place, each), int(parts), *key, "across_slice", "down_slice")
+
+    found = dealt(asked, "caller", "across", "down").join(dealt(known, "endpoint", "down", "across").hint("shuffle_hash"), [*key, "across_slice", "down_slice"], "left")
+    return found.select("caller", "endpoint", "verb")
 
 
 def delivery_chains(*hops: tuple[DataFrame, str, str]) -> DataFrame:

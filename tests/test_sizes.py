@@ -2,6 +2,8 @@
 
 import re
 
+from pyspark.sql import functions as F
+
 from graphloom import catalog, catalog_enrich, catalog_store  # noqa: F401 (they register their queries)
 from graphloom.operators import enrich as E
 from graphloom.operators import graph as G
@@ -64,3 +66,15 @@ def test_the_edges_of_a_walk_are_written_once(spark, monkeypatch):
     matches = spark.createDataFrame([("ex", "b", "exact", False, False)], "concept string, id string, mechanism string, ambiguous boolean, test_only boolean")
     assert {r["id"] for r in I.traverse(edges, matches, 1, 0).collect()} == {"a", "b"}
     assert written[0] == ["id", "type", "source_id", "target_id"]
+
+
+def test_pairs_of_a_route_are_dealt_over_slices(spark, monkeypatch):
+    """A route of very many pairs isn't made by one task, and what has no endpoint or no route stays."""
+    monkeypatch.setattr(E, "SLICE_ROWS", 10, raising=False)
+    calls = [(i, "get", "/en/7") for i in range(95)] + [(200, "get", "/none"), (201, "post", "/en/8"), (202, "get", None), (203, "get", "/few"), (203, "get", "/few")]
+    ends = [(f"p{i}", "get", f"/en/{i}") for i in range(35)] + [("p0", "get", "/en/1"), ("q", "get", "/few"), ("r", "get", None)]
+    out = E.linked_calls(spark.createDataFrame(calls, "caller long, verb string, path string"), spark.createDataFrame(ends, "endpoint string, verb string, path string"))
+    rows = sorted((r["caller"], str(r["endpoint"]), r["verb"]) for r in out.collect())
+    assert rows == sorted([(i, f"p{j}", "GET") for i in range(95) for j in range(35)] + [(200, "None", "GET"), (201, "None", "POST"), (202, "None", "GET"), (203, "q", "GET"), (203, "q", "GET")])
+    most = max(r["count"] for r in out.filter("endpoint like 'p%'").groupBy(F.spark_partition_id().alias("part")).count().collect())
+    assert most < 95 * 35 / 3
